@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding, simhash, tokens
+from . import decontam, langid, mixing, quality, sharding, simhash, suffix, tokens
 from .common import scratch
 
 
@@ -31,6 +31,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _held_out(mod: int) -> Column:
     """crc32(doc_id as text) mod ``mod`` is 2."""
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % mod == 2
@@ -56,5 +62,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_quality_rules, op6_language_id, op7_mixing, op8_sharding, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_quality_rules, op4_suffix_dedup, op6_language_id, op7_mixing, op8_sharding, op9_decontamination)}
 ORACLES = {"op7_mixing": mixing.ORACLE}
