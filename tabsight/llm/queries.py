@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding, simhash, suffix, tokens
+from . import decontam, langid, lm, mixing, quality, sharding, simhash, suffix, tokens
 from .common import scratch
 
 
@@ -62,5 +62,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_quality_rules, op4_suffix_dedup, op6_language_id, op7_mixing, op8_sharding, op9_decontamination)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, ~_held_out(7))
+    return scored.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_quality_rules, op4_suffix_dedup, op6_language_id, op7_mixing, op8_sharding, op9_decontamination, op10_lm_scoring)}
 ORACLES = {"op7_mixing": mixing.ORACLE}
