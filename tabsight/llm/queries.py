@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, mixing, quality, sharding, simhash, suffix, tokens
+from . import decontam, langid, lines, lm, mixing, quality, sharding, simhash, suffix, tokens
 from .common import scratch
 
 
@@ -37,6 +37,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+
+
 def _held_out(mod: int) -> Column:
     """crc32(doc_id as text) mod ``mod`` is 2."""
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % mod == 2
@@ -68,5 +73,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_quality_rules, op4_suffix_dedup, op6_language_id, op7_mixing, op8_sharding, op9_decontamination, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_quality_rules, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_mixing, op8_sharding, op9_decontamination, op10_lm_scoring)}
 ORACLES = {"op7_mixing": mixing.ORACLE}
