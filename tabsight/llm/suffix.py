@@ -225,6 +225,28 @@ class Hasher:
         return least[first].view(np.int64), whole.view(np.int64), first, end - first
 
 
+def _settled(f, s, doc, tie, p, n):
+    """The runs of a chunk, those that repeat another of it marked (n below 0) and dealt by their place.
+
+    So a chunk sends one row of any run to its minimizer's task, however often the run occurs."""
+    order = np.argsort(f, kind="stable")
+    g = f[order]
+    twice = np.zeros(len(g), bool)
+    twice[1:] = g[1:] == g[:-1]
+    twice[:-1] |= twice[1:]
+    order = order[twice]
+    order = order[np.lexsort((p[order], tie[order], doc[order], s[order], f[order]))]
+    later = np.concatenate([[False], (f[order][1:] == f[order][:-1]) & (s[order][1:] == s[order][:-1])]) if len(order) else np.zeros(0, bool)
+    # Rows of one place are a repeated document's, not repeats.
+    lead = np.flatnonzero(~later)[np.cumsum(~later) - 1] if len(order) else order
+    at, first = order[later], order[lead[later]]
+    at = at[(doc[at] != doc[first]) | (tie[at] != tie[first]) | (p[at] != p[first])]
+    n, f = n.copy(), f.copy()
+    n[at] = -n[at]
+    f[at] = _mix(doc[at].view(np.uint64) * np.uint64(_BASE) + p[at].astype(np.uint64)).view(np.int64)
+    return f, s, doc, tie, p, n
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of each row of ``docs``.
 
@@ -251,11 +273,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     f, s, p, n = hasher.runs(whole[lo : lo + PIECE + LENGTH - 1])
                     held.append((f, s, np.full(len(f), doc, np.int64), np.full(len(f), tie, np.int64), (p + lo).astype(np.int64), n.astype(np.int32)))
                     size += len(f)
-                if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _settled(*map(np.concatenate, zip(*held, strict=True)))], names)
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _settled(*map(np.concatenate, zip(*held, strict=True)))], names)
 
     def meet(batches):
         table = pa.Table.from_batches(list(batches))
@@ -263,6 +285,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             return
         f, s, doc, tie, p, n = (np.asarray(c.combine_chunks()) for c in table.columns)
         del table
+        done = n < 0
+        if done.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f[done], doc[done], tie[done], p[done], (p - n - 1 + LENGTH)[done], np.zeros(int(done.sum()), bool))], ["f", "doc", "tie", "start", "end", "ask"])
+            f, s, doc, tie, p, n = (x[~done] for x in (f, s, doc, tie, p, n))
         # Most minimizers are unique: only the others are sorted as a whole.
         order = np.argsort(f, kind="stable")
         g = f[order]

@@ -9,8 +9,10 @@ any store that Spark reaches holds them, and a lost executor's rows are written
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -22,56 +24,97 @@ from pyspark.sql import functions as F
 from .common import ranges, stored
 
 #: Ids in a file, about. Pieces of text whose ids a worker remembers.
-IDS_PER_FILE, CACHE = 1 << 24, 400_000
+IDS_PER_FILE, CACHE = 1 << 24, 300_000
 
 #: Number of bytes of each of the four ids of a control byte.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.int32)
 
-_GAP = re.compile(r" (?:\s|$)")
+#: White space other than single blanks and line ends between other characters.
+_ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_RARE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?= \S)")
+#: The characters that stand for the 256 bytes in byte-level vocabularies.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut before each blank that a non-blank follows.
+    """The text cut before each blank that a non-blank follows, and around single line ends.
 
     A byte-level pre-tokenizer never makes a token across such a place, so ids of the pieces are ids of the text.
     """
-    if _GAP.search(text):
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD) or (not text.isascii() and _RARE.search(text)):
         return [x for x in _CUT.split(text) if x]
-    parts = text.split(" ")
-    return [*parts[:1], *(f" {x}" for x in parts[1:])] if parts[0] else [f" {x}" for x in parts[1:]]
+    out: list[str] = []
+    for line in text.split("\n"):
+        parts = line.replace(" ", "\n ").split("\n")
+        out += parts
+        out.append("\n")
+    out.pop()
+    return out
 
 
-class Encoder:
-    """Ids of texts by the tokenizers library, remembering the ids of up to CACHE pieces."""
+class Encoder(dict):
+    """{piece: its ids as bytes} by the tokenizers library; remembers some CACHE to 2 CACHE pieces.
+
+    A piece that is one word, or a word and a full stop or comma, goes to the library's model at once, as its
+    pre-tokenizer would hand it over; any other piece goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
-        cut = [pieces(x) for x in texts]
-        known = self.known
-        new = [x for x in set(chain.from_iterable(cut)) if x not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(chain.from_iterable(cut)))
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        tail = np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, x), tail]), "<u4") for x in cut]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
+        #: Two or four bytes an id, as the vocabulary needs.
+        self.code, self.width = ("H", "<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", "<u4")
+        plain = json.loads(self.tokenizer.to_str())
+        self.direct = plain["normalizer"] is None and (plain["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not plain["pre_tokenizer"].get("add_prefix_space") and plain["model"]["type"] == "BPE"
+
+    def __missing__(self, x: str) -> bytes:
+        found = self.older.get(x)
+        if found is None:
+            core = x[:-1] if len(x) > 1 and x[-1] in ".," else x
+            if self.direct and (core[1:] if core[0] == " " else core).isalpha():
+                found = array(self.code, [t.id for t in self.tokenize(core.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+                if core is not x:
+                    found += array(self.code, [t.id for t in self.tokenize(x[-1])]).tobytes()
+            else:
+                found = array(self.code, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
+        self[x] = found
+        return found
+
+    def ids(self, text: str, end: bytes) -> bytes:
+        """All ids of a text and the ids in ``end``, as bytes of the encoder's width."""
+        if len(self) > CACHE:  # the pieces met since the last turn stay at hand
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, pieces(text))) + end
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One a worker process, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def encode(ranks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     """(control, data) of each array of ranks."""
     n = np.array([len(x) for x in ranks], np.int64)
     flat = np.concatenate(ranks).astype("<u4") if len(ranks) else np.zeros(0, "<u4")
-    size = 1 + (flat > 0xFF).astype(np.int64) + (flat > 0xFFFF) + (flat > 0xFFFFFF)
-    data = flat.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
-    at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+    size = 1 + (flat > 0xFF).astype(np.uint8)
+    if wide := int(flat.max(initial=0)) > 0xFFFF:
+        size += (flat > 0xFFFF).view(np.uint8) + (flat > 0xFFFFFF).view(np.uint8)
+    raw = flat.view(np.uint8).reshape(-1, 4) if wide else flat.astype("<u2").view(np.uint8).reshape(-1, 2)
+    data = raw[np.arange(raw.shape[1], dtype=np.uint8) < size[:, None]].tobytes()
+    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(n)])]
     padded = -(-n // 4) * 4
     codes = np.zeros(int(padded.sum()), np.uint8)
     codes[ranges(np.cumsum(padded) - padded, n)] = size - 1
@@ -109,31 +152,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     spark = docs.sparkSession
 
     def ids_of(batches):
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer)
+        end = np.array([end_id], known.width).tobytes()
+        size = np.dtype(known.width).itemsize
         for batch in batches:
             for part in _groups(batch):
-                found = encoder.ids([x or "" for x in part.column(1).to_pylist()], end_id)
-                small = [x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"" for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(small, pa.binary()), pa.array([b"" if s else x.tobytes() for x, s in zip(found, small, strict=True)], pa.binary())], ["doc_id", "n", "small", "large"])
+                found = [known.ids(x or "", end) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // size for x in found], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "ids"])
 
-    kind = "doc_id long, n long, small binary, large binary"
+    kind = "doc_id long, n long, ids binary"
     ids = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(ids_of, kind))
 
     def unpack(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.frombuffer(s, "<u2") if s else np.frombuffer(x, "<u4") for s, x in zip(batch.column("small").to_pylist(), batch.column("large").to_pylist(), strict=True)]
+        return [np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True)]
 
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for x in unpack(batch):
-                n = np.bincount(x, minlength=len(total))
+            for part in _groups(batch):
+                n = np.bincount(np.concatenate(unpack(part)), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
     # One row for each id of the vocabulary at most.
-    counts = ids.select("small", "large").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
+    counts = ids.select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
     table = np.array([r["id"] for r in counts], np.int64)
     rank_of = np.zeros(int(table.max(initial=0)) + 1, np.uint32)
     rank_of[table] = np.arange(len(table))
@@ -145,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
 
     def code(batches):
         for batch in batches:
-            for part in _groups(batch.select(["doc_id", "small", "n", "large"])):
+            for part in _groups(batch.select(["doc_id", "ids", "n"])):
                 coded = encode([rank_of[x] for x in unpack(part)])
                 file = np.searchsorted(edges, part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(file), part.column("doc_id"), part.column("n"), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["file", "doc_id", "n", "control", "data"])
