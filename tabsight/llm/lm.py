@@ -11,8 +11,8 @@ selects; an adaptive map refines the result. Weights and map are learned online,
 type being left out of the counts that predict it.
 
 Contexts stay within a token, so a token's bits are worked out once however often it occurs. Documents stand in blocks
-of bounded size: a block's distinct tokens, not its text, go through the shuffles, so a frequent token has a row a
-block, and a block's task sees that block alone.
+of bounded size: a block's distinct tokens, not its text, go through the shuffles, dealt into buckets by their hash, so
+a frequent token counts once a block. A bucket's task sees its tokens alone, a block's task that block alone.
 """
 
 from __future__ import annotations
@@ -118,11 +118,7 @@ def count_bits(words: list[bytes], of: np.ndarray, into: np.ndarray) -> None:
         for table, slot in enumerate(slots):
             part = into[:, _OFFSET[table] : _OFFSET[table + 1]]
             for value in (0, 1):
-                hit = slot[bit == value]
-                if len(slot) * 8 > part.shape[1]:
-                    part[value] += np.bincount(hit, minlength=part.shape[1])
-                else:
-                    np.add.at(part[value], hit, 1)
+                np.add.at(part[value], slot[bit == value], 1)
 
 
 def _stretch(p: np.ndarray) -> np.ndarray:
@@ -231,9 +227,17 @@ def learn(counts: np.ndarray, words: list[bytes], of: np.ndarray, seed: int = 1)
     return m
 
 
+def _zip(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True)
+
+
+def _unzip(x: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+
+
 def blocks(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in blocks: (block, ids, sizes, at, words, classes, counts). at: the place of each token, text after
-    text, among the block's distinct (token, class of its text); counts: how often each occurs in training texts."""
+    """Documents in blocks: (block, ids, sizes, bytes, at, words, classes, counts). at: the place of each token, text
+    after text, among the block's distinct (token, class of its text); counts: how often each occurs in training texts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     taught = rows.where("training")
     n = taught.count()
@@ -245,42 +249,113 @@ def blocks(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "t
 
     few = taught.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, CENTRED / max(n, 1)) * (1 << 30))).select("text").mapInArrow(bytes_of, "x binary").limit(2 * CENTRED)
     middle = centres(np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in few.collect())), np.float32).reshape(-1, 256))
-    kind = f"block long, ids array<{dict(rows.dtypes)['doc_id']}>, sizes array<int>, at binary, words array<binary>, classes binary, counts array<long>"
-
-    def close(number, ids, train, at):
-        index = number[1]
-        flat = np.array([x for y in at for x in y], np.uint32)
-        sizes = [len(x) for x in at]
-        taught = np.repeat(train, sizes)
-        counts = np.bincount(flat[taught], minlength=len(index))
-        kinds = [pa.int64(), pa.list_(id_type[0]), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.int64())]
-        values = [number[0], ids, sizes, flat.tobytes(), [w for w, _ in index], bytes(z for _, z in index), counts.tolist()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "ids", "sizes", "at", "words", "classes", "counts"])
-
+    kind = f"block long, ids array<{dict(rows.dtypes)['doc_id']}>, sizes array<int>, bytes array<long>, at binary, words array<binary>, classes binary, counts binary"
     id_type: list[pa.DataType] = []
 
+    class Block:
+        def __init__(self) -> None:
+            self.index: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
+            self.words: list[bytes] = []
+            self.ids, self.train, self.at, self.bytes, self.size = [], [], [], [], 0
+
+        def add(self, doc, text: bytes, z: int, taught: bool) -> None:
+            known, new = self.index[z], self.words
+            found = []
+            for w in [*tokens(text), END]:
+                i = known.get(w)
+                if i is None:
+                    i = known[w] = len(new)
+                    new.append(w)
+                found.append(i)
+            self.at.append(np.array(found, np.uint32))
+            self.ids.append(doc)
+            self.train.append(taught)
+            self.bytes.append(sum(map(len, tokens(text))) + len(found))
+            self.size += len(text)
+
+        def batch(self, number: int) -> pa.RecordBatch:
+            flat, sizes = np.concatenate(self.at), [len(x) for x in self.at]
+            counts = np.bincount(flat[np.repeat(self.train, sizes)], minlength=len(self.words)).astype(np.uint32)
+            z = np.empty(len(self.words), np.uint8)
+            for k, known in enumerate(self.index):
+                z[np.fromiter(known.values(), np.int64, len(known))] = k
+            kinds = [pa.int64(), pa.list_(id_type[0]), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+            values = [number, self.ids, sizes, self.bytes, _zip(flat), self.words, z.tobytes(), counts.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "ids", "sizes", "bytes", "at", "words", "classes", "counts"])
+
     def run(batches):
-        task, block = TaskContext.get().partitionId(), 0
-        ids, train, at, index, size = [], [], [], {}, 0
+        task, number, held = TaskContext.get().partitionId(), 0, Block()
         for batch in batches:
             id_type[:] = [batch.column(0).type]
             texts = as_bytes(batch.column(1))
             kinds = np.concatenate([classes(texts[i : i + 500], middle) for i in range(0, len(texts), 500)]).tolist() if texts else []
             for doc, text, z, taught in zip(batch.column(0).to_pylist(), texts, kinds, batch.column(2).to_pylist(), strict=True):
-                place = index.setdefault
-                at.append([place((w, z), len(index)) for w in [*tokens(text), END]])
-                ids.append(doc)
-                train.append(taught)
-                size += len(text)
-                if size >= BLOCK or len(ids) >= 100_000:
-                    yield close((task << 32 | block, index), ids, train, at)
-                    ids, train, at, index, size, block = [], [], [], {}, 0, block + 1
-        if ids:
-            yield close((task << 32 | block, index), ids, train, at)
+                held.add(doc, text, z, taught)
+                if held.size >= BLOCK or len(held.ids) >= 100_000:
+                    yield held.batch(task << 32 | number)
+                    held, number = Block(), number + 1
+        if held.ids:
+            yield held.batch(task << 32 | number)
 
     return rows.mapInArrow(run, kind)
 
 
+def vocabulary(block: DataFrame) -> DataFrame:
+    """A row a bucket: (bucket, words, classes, counts, totals, lead, places). Each (token, class) of the bucket with its
+    occurrences in training texts, the token's in all classes, whether it is the token's first row, and for each block
+    (block, n, i, v): its distinct tokens i that are the bucket's v."""
+    n = block.count()
+    buckets = max(8, int(4 * n**0.75))
+
+    def deal(batches):
+        for batch in batches:
+            for number, words, z, counts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                z, counts = np.frombuffer(z, np.uint8), np.frombuffer(counts, np.uint32)
+                bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in range(buckets):
+                    i = order[edge[b] : edge[b + 1]]
+                    if len(i):
+                        values = [b, number, [words[k] for k in i], z[i].tobytes(), counts[i].tobytes(), _zip(i.astype(np.uint32))]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+    names = ["bucket", "block", "words", "classes", "counts", "i"]
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
+
+    def merge(batches):
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            for b, number, words, z, counts, i in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                index, totals, places = held.setdefault(b, ({}, [], []))
+                v = np.fromiter((index.setdefault((w, k), len(index)) for w, k in zip(words, z, strict=True)), np.uint32, len(words))
+                totals.append((v, np.frombuffer(counts, np.uint32)))
+                places.append({"block": number, "n": len(v), "i": i, "v": _zip(v)})
+        for b, (index, totals, places) in held.items():
+            c = np.zeros(len(index), np.int64)
+            for v, counts in totals:
+                np.add.at(c, v, counts)
+            keys = sorted(index, key=lambda k: k)
+            order = np.fromiter((index[k] for k in keys), np.int64, len(keys))
+            new = np.fromiter((k == 0 or keys[k][0] != keys[k - 1][0] for k in range(len(keys))), bool, len(keys))
+            group = np.cumsum(new) - 1
+            total, lead = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+            total[order] = np.bincount(group, c[order]).astype(np.int64)[group]
+            lead[order] = new
+            values = [b, [w for w, _ in index], bytes(z for _, z in index), c.tobytes(), total.tobytes(), lead.tobytes(), places]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, out, strict=True)], ["bucket", "words", "classes", "counts", "totals", "lead", "places"])
+
+    out = [pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32()), ("i", pa.binary()), ("v", pa.binary())]))]
+    dealt = block.select("block", "words", "classes", "counts").mapInArrow(deal, "bucket int, block long, words array<binary>, classes binary, counts binary, i binary")
+    return dealt.repartition("bucket").mapInArrow(merge, "bucket int, words array<binary>, classes binary, counts binary, totals binary, lead binary, places array<struct<block:long,n:int,i:binary,v:binary>>")
+
+
+def _types(batch: pa.RecordBatch):
+    """(words, classes, counts, totals, lead) of each row of a vocabulary."""
+    for words, z, c, t, lead in zip(*(batch.column(k).to_pylist() for k in ("words", "classes", "counts", "totals", "lead")), strict=True):
+        yield words, np.frombuffer(z, np.uint8).astype(np.int64), np.frombuffer(c, np.int64), np.frombuffer(t, np.int64), np.frombuffer(lead, bool)
+
+
 def _tables(vocabulary: DataFrame) -> np.ndarray:
     """The counts of zeros and ones after each context, over all training tokens: partial tables of fixed size are
     added up piece by piece, then collected (one table)."""
@@ -290,9 +365,11 @@ def _tables(vocabulary: DataFrame) -> np.ndarray:
     def partial(batches):
         table = np.zeros((2, width), np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 50_000):
-                part = batch.slice(lo, 50_000)
-                count_bits(part.column(0).to_pylist(), part.column(1).to_numpy(), table)
+            for words, z, c, _, _ in _types(batch):
+                pick = [i for i in np.flatnonzero(c > 0).tolist() if words[i] != END]
+                for lo in range(0, len(pick), 20_000):
+                    part = pick[lo : lo + 20_000]
+                    count_bits([words[i] for i in part], z[part], table)
         pieces = [(i, table[:, i : i + cut]) for i in range(0, width, cut)]
         pieces = [(i, x) for i, x in pieces if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in pieces], pa.binary())], ["at", "piece"])
@@ -307,32 +384,49 @@ def _tables(vocabulary: DataFrame) -> np.ndarray:
 
     kind = "at long, piece binary"
     out = np.zeros((2, width), np.int64)
-    for r in vocabulary.where(F.col("c") > 0).where(F.octet_length("word") > 0).select("word", "z").mapInArrow(partial, kind).repartition("at").mapInArrow(add, kind).toLocalIterator():
+    for r in vocabulary.drop("places").mapInArrow(partial, kind).repartition("at").mapInArrow(add, kind).toLocalIterator():
         piece = np.frombuffer(zlib.decompress(r["piece"]), np.int64).reshape(2, -1)
         out[:, r["at"] : r["at"] + piece.shape[1]] = piece
     return out
 
 
 def fit(vocabulary: DataFrame) -> tuple[Mixer, int, int]:
-    """(mixer, N, V) from (word, z, c, total, lead): every (token, class) with its occurrences in training texts, the
-    token's over all classes, and whether it is the token's first row."""
-    known = vocabulary.where(F.col("c") > 0)
-    end = F.octet_length("word") == 0
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("lead") & (F.col("total") > 0)).alias("v"), F.coalesce(F.sum(F.when(end, F.col("c"))), F.lit(0)).alias("ends")).first()
-    words = known.where(F.octet_length("word").between(1, 200)).select("word", "z")
-    share = min(1.0, SAMPLE / max(words.count(), 1))
-    few = words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE).collect()
-    picked = sorted((bytes(r["word"]), r["z"]) for r in few)
+    """(mixer, N, V) from a vocabulary."""
+
+    def statistics(batches):
+        rows = np.zeros((CLASSES + 1, 5), np.int64)  # of each class: tokens, types, seen once, twice, types of other classes too; last: ends, different tokens
+        for batch in batches:
+            for words, z, c, total, lead in _types(batch):
+                end = np.fromiter((w == END for w in words), bool, len(words))
+                rows[CLASSES, 0] += c[end].sum()
+                rows[CLASSES, 1] += (lead & (total > 0)).sum()
+                for k, x in enumerate((c, c > 0, c == 1, c == 2, (c > 0) & (total > c))):
+                    np.add.at(rows[:CLASSES, k], z[~end], x[~end])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES + 1)), *(pa.array(x) for x in rows.T)], ["z", "n", "v", "one", "two", "shared"])
+
+    types = vocabulary.drop("places")
+    sums = types.mapInArrow(statistics, "z long, n long, v long, one long, two long, shared long").groupBy("z").agg(*(F.sum(c).alias(c) for c in ("n", "v", "one", "two", "shared"))).collect()
+    by = {r["z"]: r for r in sums}
+    ends, n_types = (by[CLASSES]["n"], by[CLASSES]["v"]) if by else (0, 0)
+    n_words = sum(r["n"] for z, r in by.items() if z < CLASSES)
+    limit = int(min(1.0, SAMPLE / max(sum(r["v"] for z, r in by.items() if z < CLASSES), 1)) * (1 << 32))
+
+    def some(batches):
+        for batch in batches:
+            found = [(w, int(z[i])) for words, z, c, _, _ in _types(batch) for i, w in enumerate(words) if c[i] and 0 < len(w) <= 200 and zlib.crc32(w, 7) < limit]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([z for _, z in found], pa.int64())], ["word", "z"])
+
+    picked = sorted((bytes(r["word"]), r["z"]) for r in types.mapInArrow(some, "word binary, z long").limit(2 * SAMPLE).collect())
     m = learn(_tables(vocabulary), [w for w, _ in picked], np.array([z for _, z in picked], np.int64))
-    once = lambda k: F.count_if(F.col("c") == k)
     m.shares = np.tile(np.array([[0.5], [1.0], [0.5], [0.0]]), CLASSES)
-    for r in known.where(~end).groupBy("z").agg(F.sum("c").alias("n"), F.count("*").alias("v"), once(1).alias("one"), once(2).alias("two"), F.count_if(F.col("total") > F.col("c")).alias("shared")).collect():
-        discount = min(0.95, max(0.3, r["one"] / (r["one"] + 2 * r["two"] + 1)))
-        m.shares[:, r["z"]] = discount, min(1.0, discount * r["v"] / r["n"]), (r["shared"] + 1) / (r["v"] + 2), r["n"]
-    m.whole = float(total["n"] - total["ends"])
-    go = (total["ends"] + 1) / (total["n"] + 2)
+    for z, r in by.items():
+        if z < CLASSES and r["n"]:
+            discount = min(0.95, max(0.3, r["one"] / (r["one"] + 2 * r["two"] + 1)))
+            m.shares[:, z] = discount, min(1.0, discount * r["v"] / r["n"]), (r["shared"] + 1) / (r["v"] + 2), r["n"]
+    m.whole = float(n_words)
+    go = (ends + 1) / (n_words + ends + 2)
     m.end_bits, m.more_bits = float(-np.log2(go)), float(-np.log2(1 - go))
-    return m, total["n"], total["v"]
+    return m, n_words + ends, n_types
 
 
 def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,53 +438,46 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     each. Without training rows every count is 0.
     """
     block = stored(blocks(docs, training, id_col, text_col))
-    one = F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")
-    pairs = block.select("block", "classes", one).select("block", "i", F.col("w.words").alias("word"), F.ascii(F.decode(F.substring("classes", F.col("i") + 1, F.lit(1)), "US-ASCII")).alias("z"), F.col("w.counts").alias("c"))
-    # One row a token in the shuffle's end: its occurrences by class, and the classes it was met in.
-    by = [F.sum(F.when(F.col("z") == z, F.col("c"))).alias(f"c{z}") for z in range(CLASSES)]
-    each = F.filter(F.array(*(F.struct(F.lit(z).alias("z"), F.col(f"c{z}").alias("c")) for z in range(CLASSES))), lambda x: x["c"].isNotNull())
-    total = sum((F.coalesce(f"c{z}", F.lit(0)) for z in range(CLASSES)), F.lit(0))
-    vocabulary = pairs.groupBy("word").agg(*by).select("word", total.alias("total"), F.posexplode(each).alias("k", "x"))
-    vocabulary = stored(vocabulary.select("word", F.col("x.z").cast("long").alias("z"), F.col("x.c").alias("c"), "total", (F.col("k") == 0).alias("lead")))
-    mixer, n_all, n_types = fit(vocabulary)
+    vocab = stored(vocabulary(block))
+    mixer, n_all, n_types = fit(vocab)
     model = docs.sparkSession.sparkContext.broadcast(mixer)  # tables of fixed size
 
     def price(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 20_000):
-                part = batch.slice(lo, 20_000)
-                words, rest = part.column(0).to_pylist(), [part.column(i).to_numpy() for i in (1, 2, 3)]
-                held, size, start = [], 0, 0
+            for (words, z, c, total, _), places in zip(_types(batch), batch.column("places").to_pylist(), strict=True):
+                cost, size, start = [], 0, 0
                 for i, w in enumerate(words):  # some bytes at a time, whatever the length of a token
                     size += len(w) + 1
-                    if size > 1 << 19:
-                        held.append(model.value.token_bits(words[start : i + 1], *(x[start : i + 1] for x in rest)))
+                    if size > 1 << 18 or i == len(words) - 1:
+                        cost.append(model.value.token_bits(words[start : i + 1], *(x[start : i + 1] for x in (z, c, total))))
                         size, start = 0, i + 1
-                held.append(model.value.token_bits(words[start:], *(x[start:] for x in rest)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.concatenate(held))], ["word", "z", "c", "bits"])
+                cost = np.concatenate(cost).astype(np.float32)
+                for p in places:
+                    v = _unzip(p["v"], "<u4", p["n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p["block"]]), pa.array([p["n"]], pa.int32()), pa.array([p["i"]], pa.binary()), pa.array([_zip(total[v])], pa.binary()), pa.array([_zip(cost[v])], pa.binary())], ["of", "n", "i", "c", "bits"])
 
-    priced = vocabulary.select("word", "z", "c", "total").mapInArrow(price, "word binary, z long, c long, bits double")
-    told = pairs.select("block", "i", "word", F.col("z").cast("long").alias("z")).join(priced, ["word", "z"]).select(F.col("block").alias("of"), "i", "c", "bits")
+    told = vocab.mapInArrow(price, "of long, n int, i binary, c binary, bits binary")
     whole = float(n_all + n_types + 1)
     id_type = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        i = right.column("i").to_numpy()
-        c, bits = np.zeros(len(i), np.int64), np.zeros(len(i))
-        c[i], bits[i] = right.column("c").to_numpy(), right.column("bits").to_numpy()
+        size = sum(right.column("n").to_pylist())
+        c, bits = np.zeros(size, np.int64), np.zeros(size)
+        for r in right.to_pylist():
+            i = _unzip(r["i"], "<u4", r["n"])
+            c[i], bits[i] = _unzip(r["c"], "<i8", r["n"]), _unzip(r["bits"], "<f4", r["n"])
         base = np.log10((c + 1) / whole)
         ids, out = [], []
         for r in left.to_pylist():
-            at = np.frombuffer(r["at"], np.uint32)
             sizes = np.array(r["sizes"], np.int64)
+            at = _unzip(r["at"], "<u4", int(sizes.sum()))
             first = np.cumsum(sizes) - sizes
-            length = np.fromiter(map(len, r["words"]), np.int64, len(r["words"])) + 1
             add_up = lambda x: np.add.reduceat(x[at], first)  # noqa: B023, E731
             ids += r["ids"]
-            out.append((sizes, add_up((c > 0).astype(np.int64)), add_up(base), add_up(-bits * _LOG10_2) - np.log10(CLASSES), add_up(length)))
+            out.append((sizes, add_up((c > 0).astype(np.int64)), add_up(base), add_up(-bits * _LOG10_2) - np.log10(CLASSES), np.array(r["bytes"], np.int64)))
         size, known, b, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"doc_id": pa.array(ids, left.schema.field("ids").type.value_type), "n_bytes": n, "n_tokens": size, "n_known": known, "train_tokens": np.full(len(n), n_all, np.int64), "base_score": b, "score": s, "bits_per_byte": -s / _LOG10_2 / n})
 
     kind = f"doc_id {id_type}, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    payload = block.select("block", "ids", "sizes", "at", "words")
+    payload = block.select("block", "ids", "sizes", "bytes", "at")
     return payload.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(add, kind)
