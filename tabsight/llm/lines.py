@@ -23,11 +23,16 @@ from .common import ranges, stored
 
 #: Similarity; fewest different words of a line that can be removed; partners of a line that are verified at first.
 THRESHOLD, MIN_WORDS, FIRST_PARTNERS = (4, 5), 3, 2
+#: Lines that a turn of the second comparison takes.
+REST = 200_000
 #: Counters of the rarity sketch (log2).
 SKETCH = 20
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 2 << 20
 _FIRST = np.iinfo(np.int64).min
+#: The place of a row that is settled already.
+NONE = 0xFFFFFFFF
+PAIR = ["doc", "tie", "line", "doc2", "tie2", "line2", "more"]
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -76,25 +81,41 @@ def _chunks(batch: pa.RecordBatch, column: int):
         yield start, held
 
 
-def _sets(h: np.ndarray, text: np.ndarray, line: np.ndarray):
-    """Different words of each line: (hash, set, (text, line) of each set), sorted by set and hash."""
-    order = np.lexsort((h, line, text))
-    h, text, line = h[order], text[order], line[order]
-    new_line = np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])]) if len(h) else np.zeros(0, bool)
-    keep = new_line | np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else new_line
-    of = (np.cumsum(new_line) - 1)[keep]
-    return h[keep], of, text[new_line], line[new_line]
+#: What a prefix row carries beside its word.
+ROW = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u4"), ("size", "<u4"), ("place", "<u4"), ("tie", "<u4"), ("line", "<u4"), ("doc", "<i8")])
+
+
+def _sets(h: np.ndarray, text: np.ndarray, line: np.ndarray, rare: np.ndarray):
+    """The different words of each line, rarest first: (hash, set, (text, line) of each set).
+
+    Words are ordered by the logarithm of their frequency, then by hash; the order is the same in every line.
+    """
+    if not len(h):
+        return h, text, text, line
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
+    of = np.cumsum(new) - 1
+    rank = rare[(h >> np.uint64(64 - SKETCH)).astype(np.int64)]
+    packed = of.astype(np.uint64) << np.uint64(38) | rank.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+    order = np.argsort(packed)
+    w, p = h[order], packed[order]
+    if ((p[1:] == p[:-1]) & (w[1:] != w[:-1])).any():  # two words of a line that share 32 bits of their hashes
+        order = np.lexsort((h, packed))
+        w, p = h[order], packed[order]
+    keep = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])
+    return w[keep], of[order][keep], text[new], line[new]
 
 
 def _signatures(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set: its hash, and the parities of its words in two words of 64 bits."""
+    """Of each set: its hash, and the parities of its words in 96 bits."""
+    if not n:
+        return (np.zeros(0, np.uint64),) * 3
     first = np.searchsorted(of, np.arange(n))
-    key = _mix(np.add.reduceat(_mix(h + np.uint64(77)), first)) if n else np.zeros(0, np.uint64)
-    bit = np.uint64(1) << (h >> np.uint64(1) & np.uint64(63))
-    high = (h & np.uint64(1)).astype(bool)
+    key = _mix(np.add.reduceat(_mix(h + np.uint64(77)), first))
+    at = (h & np.uint64(0xFFFFFFFF)) * np.uint64(96) >> np.uint64(32)
+    bit = np.uint64(1) << (at & np.uint64(63))
+    low = at < 64
     zero = np.uint64(0)
-    a, b = (np.bitwise_xor.reduceat(x, first) if n else np.zeros(0, np.uint64) for x in (np.where(high, zero, bit), np.where(high, bit, zero)))
-    return key, a, b
+    return key, np.bitwise_xor.reduceat(np.where(low, bit, zero), first), np.bitwise_xor.reduceat(np.where(low, zero, bit), first)
 
 
 def _rarity(rows: DataFrame) -> np.ndarray:
@@ -119,7 +140,7 @@ def _rarity(rows: DataFrame) -> np.ndarray:
     out = np.zeros(1 << SKETCH, np.int64)
     for r in rows.select("data").mapInArrow(partial, "at long, piece binary").repartition("at").mapInArrow(add, "at long, piece binary").collect():  # one table
         out[r["at"] : r["at"] + cut] = np.frombuffer(zlib.decompress(r["piece"]), np.int64)
-    return out
+    return np.minimum(np.log2(out + 1.0), 63).astype(np.uint8)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,96 +150,128 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(key.alias("doc"), (F.crc32(data) if repeated else F.lit(0)).cast("long").alias("tie"), data.alias("data"))
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    n, size = len(rows), rows.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(rows.tobytes())])
+
+
 def _index(rows: DataFrame, counts) -> DataFrame:
-    """Prefix rows (word, key, a, b, size, place, doc, tie, line): of each set its first line in a task's chunk."""
+    """(word int, row binary): the prefix rows (ROW) of each set's first line in a chunk of a task; lines that repeat
+    an earlier one of the chunk are settled: one row each under any word, its place NONE."""
     num, den = THRESHOLD
 
     def run(batches):
         split, rare = Splitter(), counts.value
-        names = ["word", "key", "a", "b", "size", "place", "doc", "tie", "line"]
         for batch in batches:
             doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for start, texts in _chunks(batch, 2):
-                h, of, text, line = _sets(*split(texts))
-                size = np.bincount(of, minlength=len(text))
-                key, a, b = _signatures(h, of, len(text))
-                # The first line of each set in the chunk stands for the others, which a hash of the set settles.
-                first = np.lexsort((line, tie[start + text], doc[start + text], key))
-                first = first[np.concatenate([[True], key[first][1:] != key[first][:-1]])] if len(first) else first
-                chosen = np.zeros(len(text), bool)
-                chosen[first] = True
-                chosen &= size >= MIN_WORDS
-                pick = chosen[of]
-                h, of = h[pick], of[pick]
-                order = np.lexsort((h, rare[(h >> np.uint64(64 - SKETCH)).astype(np.int64)], of))
-                h, of = h[order], of[order]
-                place = np.arange(len(of)) - np.searchsorted(of, of)
-                pick = place < size[of] - -(-size[of] * num // den) + 1
-                h, of, place = h[pick], of[pick], place[pick]
-                columns = [h.view(np.int64), key[of].view(np.int64), a[of].view(np.int64), b[of].view(np.int64), size[of].astype(np.int32), place.astype(np.int32), doc[start + text[of]], tie[start + text[of]], line[of].astype(np.int32)]
-                for lo in range(0, len(h), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000]) for x in columns], names)
-
-    return rows.mapInArrow(run, "word long, key long, a long, b long, size int, place int, doc long, tie long, line int")
-
-
-def _pairs(index: DataFrame, most: int | None) -> DataFrame:
-    """Candidate pairs (doc, tie, line, doc2, tie2, line2, more): a set's first line and an earlier one of another set.
-
-    Of a line's partners under one word the ``most`` earliest are returned; more says that there were others. Rows
-    with ``open`` false (if the column is there) only serve as partners.
+                h, of, text, line = _sets(*split(texts), rare)
+                n = len(text)
+                size = np.bincount(of, minlength=n)
+                key, a, b = _signatures(h, of, n)
+                row = np.empty(n, ROW)
+                for name, values in (("key", key), ("a", a), ("b", b), ("size", size), ("place", NONE), ("tie", tie[start + text] if n else 0), ("line", line), ("doc", doc[start + text] if n else 0)):
+                    row[name] = values
+                order = np.lexsort((line, row["tie"], row["doc"], key))
+                first = np.zeros(n, bool)
+                first[order] = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if n else True
+                enough = size >= MIN_WORDS
+                start_of = np.cumsum(size) - size
+                prefix = np.where(first & enough, size - -(-size * num // den) + 1, 0)
+                at = ranges(start_of, prefix)
+                out = np.repeat(row, prefix)
+                out["place"] = ranges(np.zeros(n, np.int64), prefix)
+                settled = row[~first & enough]
+                # Dealt by place: rows of any number of copies spread over all tasks.
+                word = np.concatenate([(h[at] >> np.uint64(20)).astype(np.uint32), (settled["doc"].astype(np.uint32) * np.uint32(2654435761)) ^ settled["line"]]).view(np.int32)
+                out = np.concatenate([out, settled])
+                for lo in range(0, len(out), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(word[lo : lo + 100_000]), _binary(out[lo : lo + 100_000])], ["word", "row"])
+
+    return rows.mapInArrow(run, "word int, row binary")
+
+
+def _pairs(index: DataFrame, most: int | None, only: DataFrame | None = None) -> DataFrame:
+    """(doc, tie, line, doc2, tie2, line2, more): a set's first line and an earlier line of another set that may be
+    similar; or, with doc2 null, a line whose set an earlier line has.
+
+    Of a line's partners under one word the ``most`` earliest are returned; more says that there were others. only:
+    (doc, tie, line) of the lines whose partners are asked for; then no equal sets are returned.
     """
     num, den = THRESHOLD
-    limited = "open" in index.columns
+    wanted = {} if only is None else {(r["doc"], r["tie"], r["line"]) for r in only.collect()}
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        words, rows = [], []
+        for batch in batches:
+            if batch.num_rows:
+                column = batch.column(1)
+                raw = np.frombuffer(column.buffers()[2], np.uint8)
+                offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+                rows.append(raw[offsets[0] : offsets[-1]].view(ROW).copy())
+                words.append(batch.column(0).to_numpy().copy())
+        if not rows:
             return
-        word, key, a, b, size, place, doc, tie, line, *rest = (np.asarray(c.combine_chunks()) for c in table.columns)
-        del table
+        word, row = np.concatenate(words), np.concatenate(rows)
+        del words, rows
+        settled = row["place"] == NONE
+        if only is None and settled.any():
+            yield _gone(row[settled])
+        word, row = word[~settled], row[~settled]
         order = np.argsort(word, kind="stable")
         w = word[order]
-        alone = np.concatenate([[True], w[1:] != w[:-1]]) & np.concatenate([w[1:] != w[:-1], [True]])
+        alone = np.concatenate([[True], w[1:] != w[:-1]]) & np.concatenate([w[1:] != w[:-1], [True]]) if len(w) else np.zeros(0, bool)
         order = order[~alone]  # most words stand in one prefix only
-        order = order[np.lexsort((line[order], tie[order], doc[order], key[order], word[order]))]
-        same = np.concatenate([[False], (word[order][1:] == word[order][:-1]) & (key[order][1:] == key[order][:-1])]) if len(order) else np.zeros(0, bool)
-        order = order[~same]  # the first line of each set
-        time = np.empty(len(order), np.int64)
-        time[np.lexsort((line[order], tie[order], doc[order]))] = np.arange(len(order))
-        group = np.cumsum(np.concatenate([[True], word[order][1:] != word[order][:-1]])) - 1 if len(order) else np.zeros(0, np.int64)
-        again = np.lexsort((time, group))
-        order, group, time = order[again], group[again], time[again]
-        size_, place_, a_, b_ = size[order].astype(np.int64), place[order].astype(np.int64), a[order].view(np.uint64), b[order].view(np.uint64)
-        start = np.searchsorted(group, group)
-        asked = np.arange(len(order)) if not limited else np.flatnonzero(rest[0][order])
+        word, row = word[order], row[order]
+        order = np.lexsort((row["line"], row["tie"], row["doc"], row["key"], word))
+        word, row = word[order], row[order]
+        if not len(row):
+            return
+        same = np.concatenate([[False], (word[1:] == word[:-1]) & (row["key"][1:] == row["key"][:-1])])
+        if only is None:
+            # Equal sets have equal prefixes: those under the first word are all of them.
+            lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+            other = (row["doc"] != row["doc"][lead]) | (row["tie"] != row["tie"][lead]) | (row["line"] != row["line"][lead])
+            yield _gone(row[same & other & (row["place"] == 0)])
+        word, row = word[~same], row[~same]
+        order = np.lexsort((row["line"], row["tie"], row["doc"], word))
+        word, row = word[order], row[order]
+        start = np.searchsorted(word, word)
+        if only is None:
+            asked = np.arange(len(row))
+        else:
+            asked = np.array([i for i, x in enumerate(zip(row["doc"].tolist(), row["tie"].tolist(), row["line"].tolist(), strict=True)) if x in wanted], np.int64)
         count = asked - start[asked]  # all earlier rows of the word
         total = np.concatenate([[0], np.cumsum(count)])
+        size, place, a, b = (row[k].astype(t) for k, t in (("size", np.int32), ("place", np.int32), ("a", np.uint64), ("b", np.uint32)))
         lo = 0
         while lo < len(asked):
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + 2_000_000, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + 500_000, "right")) - 1)
             x = np.repeat(asked[lo:hi], count[lo:hi])
             y = ranges(start[asked[lo:hi]], count[lo:hi])
             lo = hi
-            sx, sy = size_[x], size_[y]
-            ok = (den * np.minimum(sx, sy) >= num * np.maximum(sx, sy))
+            ok = den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y])
             x, y = x[ok], y[ok]
-            both = size_[x] + size_[y]
+            both = size[x] + size[y]
             least = -(-both * num // (num + den))  # words that two such sets must share
-            ok = np.minimum(size_[x] - place_[x], size_[y] - place_[y]) + np.minimum(place_[x], place_[y]) >= least
-            ok &= np.bitwise_count(a_[x] ^ a_[y]).astype(np.int64) + np.bitwise_count(b_[x] ^ b_[y]) <= both - 2 * least
+            ok = np.minimum(size[x] - place[x], size[y] - place[y]) + np.minimum(place[x], place[y]) >= least
+            ok &= np.bitwise_count(a[x] ^ a[y]).astype(np.int32) + np.bitwise_count(b[x] ^ b[y]) <= both - 2 * least
             x, y = x[ok], y[ok]
             if not len(x):
                 continue
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            more = np.bincount(x, minlength=len(order))[x] > (most or len(x))
+            more = np.bincount(x, minlength=hi)[x] > (most or len(x))
             if most:
+                rank = np.arange(len(x)) - np.searchsorted(x, x)
                 x, y, more = x[rank < most], y[rank < most], more[rank < most]
-            i, j = order[x], order[y]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[i], tie[i], line[i], doc[j], tie[j], line[j], more)], ["doc", "tie", "line", "doc2", "tie2", "line2", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (row["doc"][x], row["tie"][x].astype(np.int64), row["line"][x].astype(np.int32), row["doc"][y], row["tie"][y].astype(np.int64), row["line"][y].astype(np.int32), more)], PAIR)
 
     rows = index.repartition("word").mapInArrow(run, "doc long, tie long, line int, doc2 long, tie2 long, line2 int, more boolean")
-    return rows.groupBy("doc", "tie", "line", "doc2", "tie2", "line2").agg(F.max("more").alias("more"))
+    return rows.groupBy(*PAIR[:-1]).agg(F.max("more").alias("more"))
+
+
+def _gone(row: np.ndarray) -> pa.RecordBatch:
+    n = len(row)
+    return pa.RecordBatch.from_arrays([pa.array(row["doc"]), pa.array(row["tie"].astype(np.int64)), pa.array(row["line"].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.zeros(n, bool))], PAIR)
 
 
 def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -252,37 +305,26 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tie, line) of each line that an earlier similar line removes; see ``line_dedup`` for the keys."""
-    rows = _documents(docs, id_col, text_col)
-
-    def sets(batches):
-        split = Splitter()
-        for batch in batches:
-            doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for start, texts in _chunks(batch, 2):
-                h, of, text, line = _sets(*split(texts))
-                key, _, _ = _signatures(h, of, len(text))
-                pick = np.bincount(of, minlength=len(text)) >= MIN_WORDS
-                yield pa.RecordBatch.from_arrays([pa.array(key[pick].view(np.int64)), pa.array(doc[start + text[pick]]), pa.array(tie[start + text[pick]]), pa.array(line[pick].astype(np.int32))], ["key", "doc", "tie", "line"])
+    """(doc, tie, line) of each line that an earlier similar line removes; see ``line_dedup`` for the keys.
 
+    The earliest FIRST_PARTNERS candidates of a line are verified first, as a line of a large group is nearly always
+    similar to the group's first. Lines of which none was, while others remain, are then compared with all of them.
+    """
+    rows = _documents(docs, id_col, text_col)
     line = ["doc", "tie", "line"]
     counts = docs.sparkSession.sparkContext.broadcast(_rarity(rows))  # a sketch of fixed size
-    all_ = stored(rows.mapInArrow(sets, "key long, doc long, tie long, line int"))
-    first = all_.groupBy("key").agg(F.min(F.struct(*line)).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key"), "first")
-    gone = [all_.join(first, "key").where(F.struct(*line) > F.col("first")).select(*line)]
-    index, most = _index(rows, counts), FIRST_PARTNERS
-    found = stored(_verified(rows, stored(_pairs(index, most))))
+    index = _index(rows, counts)
+    pairs = stored(_pairs(index, FIRST_PARTNERS))
+    found = stored(_verified(rows, pairs.where("doc2 IS NOT NULL")))
     by_line = found.groupBy(*line).agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
-    gone.append(by_line.where("similar").select(*line))
-    # Lines of which more partners remain, none of the first being similar: all their partners.
-    rest = stored(by_line.where("more and not similar").select(*line))
-    if rest.limit(1).count():
-        keys = rest.join(all_, line).select("key").distinct().withColumn("open", F.lit(True))
-        again = index.join(keys, "key", "left").withColumn("open", F.coalesce("open", F.lit(False))).select(*index.columns, "open")
-        words = again.where("open").select("word").distinct()
-        found = _verified(rows, stored(_pairs(again.join(words, "word", "left_semi"), None)))
-        gone.append(found.where("similar").select(*line).distinct())
-    return gone[0].unionByName(gone[1]).unionByName(gone[2]).distinct() if len(gone) > 2 else gone[0].unionByName(gone[1]).distinct()
+    gone = pairs.where("doc2 IS NULL").select(*line).unionByName(by_line.where("similar").select(*line))
+    rest = stored(by_line.where("more AND NOT similar").select(*line))
+    n = rest.count()
+    turns = -(-n // REST)
+    for turn in range(turns):  # so many lines at a time as a task can know by name
+        some = rest.where(F.pmod(F.xxhash64(*line), F.lit(turns)) == turn)
+        gone = gone.unionByName(stored(_verified(rows, stored(_pairs(index, None, some)))).where("similar").select(*line))
+    return gone.distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
