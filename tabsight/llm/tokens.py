@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import ranges, stored
 
 #: Ids in a file, about. Pieces of text whose ids a worker remembers.
-IDS_PER_FILE, CACHE = 1 << 24, 300_000
+IDS_PER_FILE, CACHE = 1 << 24, 400_000
 
 #: Number of bytes of each of the four ids of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.int32)
@@ -71,16 +72,20 @@ class Encoder(dict):
         #: Two or four bytes an id, as the vocabulary needs.
         self.code, self.width = ("H", "<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", "<u4")
         plain = json.loads(self.tokenizer.to_str())
+        self.marks = {x: array(self.code, [t.id for t in self.tokenize(x)]).tobytes() for x in ".,"}
         self.direct = plain["normalizer"] is None and (plain["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not plain["pre_tokenizer"].get("add_prefix_space") and plain["model"]["type"] == "BPE"
 
     def __missing__(self, x: str) -> bytes:
         found = self.older.get(x)
         if found is None:
-            core = x[:-1] if len(x) > 1 and x[-1] in ".," else x
+            core = x[:-1] if x[-1] in ".," and len(x) > 1 else x
             if self.direct and (core[1:] if core[0] == " " else core).isalpha():
-                found = array(self.code, [t.id for t in self.tokenize(core.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+                found = self.get(core) if core is not x else None
+                if found is None:
+                    spelled = core.replace(" ", "\u0120") if core.isascii() else core.encode().decode("latin-1").translate(_BYTES)
+                    found = array(self.code, [t.id for t in self.tokenize(spelled)]).tobytes()
                 if core is not x:
-                    found += array(self.code, [t.id for t in self.tokenize(x[-1])]).tobytes()
+                    found += self.marks[x[-1]]
             else:
                 found = array(self.code, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
         self[x] = found
@@ -136,7 +141,7 @@ def decode(control: bytes, data: bytes, n: int, table: np.ndarray) -> np.ndarray
 
 def _groups(batch: pa.RecordBatch, bytes_at_once: int = 4 << 20):
     """Slices of a batch of some MB of its second column, so that no step holds a whole batch of long texts."""
-    sizes = np.array([len(x) if x is not None else 0 for x in batch.column(1).to_pylist()])
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(sizes) // bytes_at_once
     for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]])), strict=True):
         if hi > lo:
