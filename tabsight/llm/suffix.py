@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, stored
+from .common import ranges, stored, whole
 
 #: Fixed values of the contract: bytes of a repeated string. Bytes of the substrings that minimizers are chosen from.
 LENGTH, K = 100, 32
@@ -268,9 +268,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             held, size = [], 0
             for doc, tie, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                whole = np.frombuffer(raw, np.uint8)
-                for lo in range(0, len(whole) - LENGTH + 1, PIECE):
-                    f, s, p, n = hasher.runs(whole[lo : lo + PIECE + LENGTH - 1])
+                data = np.frombuffer(raw, np.uint8)
+                for lo in range(0, len(data) - LENGTH + 1, PIECE):
+                    f, s, p, n = hasher.runs(data[lo : lo + PIECE + LENGTH - 1])
                     held.append((f, s, np.full(len(f), doc, np.int64), np.full(len(f), tie, np.int64), (p + lo).astype(np.int64), n.astype(np.int32)))
                     size += len(f)
                 if size > 200_000:
@@ -280,8 +280,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in _settled(*map(np.concatenate, zip(*held, strict=True)))], names)
 
     def meet(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        table = whole(batches)
+        if table is None:
             return
         f, s, doc, tie, p, n = (np.asarray(c.combine_chunks()) for c in table.columns)
         del table
@@ -330,11 +330,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     part.append(raw[r["start"] : r["end"]])
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(start, pa.int64()), pa.array(part, pa.binary())], ["f", "doc", "tie", "start", "part"])
 
-    fetched = docs.select("doc", "tie", "data").join(asked, ["doc", "tie"]).mapInArrow(fetch, "f long, doc long, tie long, start long, part binary")
+    once = docs.select("doc", "tie", "data")
+    fetched = (once.dropDuplicates(["doc", "tie"]) if repeated else once).join(asked, ["doc", "tie"]).mapInArrow(fetch, "f long, doc long, tie long, start long, part binary")
 
     def sort(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        table = whole(batches)
+        if table is None:
             return
         f, doc, tie, start = (np.asarray(table.column(i).combine_chunks()) for i in range(4))
         order = np.lexsort((start, tie, doc, f))
