@@ -46,6 +46,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def whole(batches) -> pa.Table | None:
+    """All rows of a task; None if it has none."""
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held) if held else None
+
+
 def hash60(value: Column, salt: str) -> Column:
     """A seeded hash in [0, 2**60) that DuckDB can compute too."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(value.cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")

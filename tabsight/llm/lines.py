@@ -199,7 +199,8 @@ def _pairs(index: DataFrame, most: int | None, only: DataFrame | None = None) ->
     (doc, tie, line) of the lines whose partners are asked for; then no equal sets are returned.
     """
     num, den = THRESHOLD
-    wanted = {} if only is None else {(r["doc"], r["tie"], r["line"]) for r in only.collect()}
+    first = only is None
+    wanted = set() if first else {(r["doc"], r["tie"], r["line"]) for r in only.collect()}
 
     def run(batches):
         words, rows = [], []
@@ -215,7 +216,7 @@ def _pairs(index: DataFrame, most: int | None, only: DataFrame | None = None) ->
         word, row = np.concatenate(words), np.concatenate(rows)
         del words, rows
         settled = row["place"] == NONE
-        if only is None and settled.any():
+        if first and settled.any():
             yield _gone(row[settled])
         word, row = word[~settled], row[~settled]
         order = np.argsort(word, kind="stable")
@@ -228,7 +229,7 @@ def _pairs(index: DataFrame, most: int | None, only: DataFrame | None = None) ->
         if not len(row):
             return
         same = np.concatenate([[False], (word[1:] == word[:-1]) & (row["key"][1:] == row["key"][:-1])])
-        if only is None:
+        if first:
             # Equal sets have equal prefixes: those under the first word are all of them.
             lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]
             other = (row["doc"] != row["doc"][lead]) | (row["tie"] != row["tie"][lead]) | (row["line"] != row["line"][lead])
@@ -237,7 +238,7 @@ def _pairs(index: DataFrame, most: int | None, only: DataFrame | None = None) ->
         order = np.lexsort((row["line"], row["tie"], row["doc"], word))
         word, row = word[order], row[order]
         start = np.searchsorted(word, word)
-        if only is None:
+        if first:
             asked = np.arange(len(row))
         else:
             asked = np.array([i for i, x in enumerate(zip(row["doc"].tolist(), row["tie"].tolist(), row["line"].tolist(), strict=True)) if x in wanted], np.int64)

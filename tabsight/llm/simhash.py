@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, forest, ranges, stored
+from .common import as_bytes, components, forest, ranges, stored, whole
 
 #: Length, dimension and generator polynomial of the binary Golay code; its covering radius.
 GOLAY_BITS, GOLAY_WORDS, GOLAY_POLY, RADIUS = 23, 4096, 0b101011100011, 3
@@ -195,10 +195,10 @@ def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), pa.array(value[row].astype(np.int32)), pa.array(node[row]), *(pa.array(words[row, i].view(np.int64)) for i in range(plan.compared))], names)
 
     def compare(batches):
-        whole = pa.Table.from_batches(list(batches))
-        if not whole.num_rows:
+        table = whole(batches)
+        if table is None:
             return
-        cell, home, block, node, *words = (np.asarray(whole.column(i).combine_chunks()) for i in range(whole.num_columns))
+        cell, home, block, node, *words = (np.asarray(x.combine_chunks()) for x in table.columns)
         words = [w.view(np.uint64) for w in words]
         # (cell, block) in one number; the cell's place among those of this task.
         where = (np.unique(cell, return_inverse=True)[1].astype(np.int64) << GOLAY_BITS) | block
