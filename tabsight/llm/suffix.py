@@ -22,7 +22,7 @@ from .common import ranges, stored, whole
 #: Fixed values of the contract: bytes of a repeated string. Bytes of the substrings that minimizers are chosen from.
 LENGTH, K = 100, 32
 #: Bytes of a document hashed at once, and of a shard sorted at once.
-PIECE, SHARD = 4 << 20, 2 << 20
+PIECE, SHARD = 1 << 20, 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _FIRST = np.iinfo(np.int64).min
@@ -273,7 +273,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     f, s, p, n = hasher.runs(data[lo : lo + PIECE + LENGTH - 1])
                     held.append((f, s, np.full(len(f), doc, np.int64), np.full(len(f), tie, np.int64), (p + lo).astype(np.int64), n.astype(np.int32)))
                     size += len(f)
-                if size > 200_000:
+                if size > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in _settled(*map(np.concatenate, zip(*held, strict=True)))], names)
                     held, size = [], 0
             if held:
@@ -284,19 +284,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if table is None:
             return
         f, s, doc, tie, p, n = (np.asarray(c.combine_chunks()) for c in table.columns)
-        del table
         done = n < 0
         if done.any():
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f[done], doc[done], tie[done], p[done], (p - n - 1 + LENGTH)[done], np.zeros(int(done.sum()), bool))], ["f", "doc", "tie", "start", "end", "ask"])
-            f, s, doc, tie, p, n = (x[~done] for x in (f, s, doc, tie, p, n))
         # Most minimizers are unique: only the others are sorted as a whole.
-        order = np.argsort(f, kind="stable")
+        order = np.flatnonzero(~done)
+        order = order[np.argsort(f[order])]
         g = f[order]
         twice = np.zeros(len(g), bool)
         twice[1:] = g[1:] == g[:-1]
         twice[:-1] |= twice[1:]
         order = order[twice]
         f, s, doc, tie, p, n = (x[order] for x in (f, s, doc, tie, p, n))
+        del table, done, order, g, twice
         order = np.lexsort((p, tie, doc, s, f))
         f, s, doc, tie, p, n = (x[order] for x in (f, s, doc, tie, p, n))
         if not len(f):
