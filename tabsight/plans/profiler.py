@@ -129,8 +129,9 @@ class Profiler:
         if len(tables) < 2:
             raise ValueError("a model needs two tables")
         meaning = {t: S.describe(df, t, self.context) for t, df in tables.items()}
-        measures = {t: [c["column"] for c in cs if c["logical_type"] in ("integer", "decimal") and c["role"] not in ("identifier", None)] for t, cs in meaning.items()}
         links = M.fk_discovery(tables).persist()
+        joined = {(r["src_table"], r["src_col"]) for r in links.collect()} | {(r["table"], r["column"]) for r in M.pk_candidates(tables).collect()}
+        measures = {t: [c["column"] for c in cs if c["logical_type"] in ("integer", "decimal") and c["role"] != "identifier" and (t, c["column"]) not in joined] for t, cs in meaning.items()}
         roles = _rows(M.table_roles(tables, measures, links))
         found = _rows(links.orderBy(F.desc("confidence"), "src_table", "src_col", "dst_table"))
         star = []
