@@ -9,11 +9,12 @@ any store that Spark reaches holds them, and a lost executor's rows are written
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from array import array
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ IDS_PER_FILE, CACHE = 1 << 24, 400_000
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.int32)
 
 #: White space other than single blanks and line ends between other characters.
-_ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\0")
 _RARE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?= \S)")
 #: The characters that stand for the 256 bytes in byte-level vocabularies.
@@ -46,13 +47,7 @@ def pieces(text: str) -> list[str]:
     """
     if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD) or (not text.isascii() and _RARE.search(text)):
         return [x for x in _CUT.split(text) if x]
-    out: list[str] = []
-    for line in text.split("\n"):
-        parts = line.replace(" ", "\n ").split("\n")
-        out += parts
-        out.append("\n")
-    out.pop()
-    return out
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 class Encoder(dict):
@@ -110,32 +105,36 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(ranks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """(control, data) of each array of ranks."""
-    n = np.array([len(x) for x in ranks], np.int64)
-    flat = np.concatenate(ranks).astype("<u4") if len(ranks) else np.zeros(0, "<u4")
+def encode(flat: np.ndarray, n: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(control, data) of each of len(n) sequences of ranks that follow each other in ``flat``."""
+    flat = flat.astype("<u4")
     size = 1 + (flat > 0xFF).astype(np.uint8)
     if wide := int(flat.max(initial=0)) > 0xFFFF:
         size += (flat > 0xFFFF).view(np.uint8) + (flat > 0xFFFFFF).view(np.uint8)
     raw = flat.view(np.uint8).reshape(-1, 4) if wide else flat.astype("<u2").view(np.uint8).reshape(-1, 2)
     data = raw[np.arange(raw.shape[1], dtype=np.uint8) < size[:, None]].tobytes()
-    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(n)])]
+    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(n)])].tolist()
     padded = -(-n // 4) * 4
     codes = np.zeros(int(padded.sum()), np.uint8)
     codes[ranges(np.cumsum(padded) - padded, n)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
-    edge = np.concatenate([[0], np.cumsum(padded // 4)])
-    return [(control[edge[i] : edge[i + 1]], data[at[i] : at[i + 1]]) for i in range(len(ranks))]
+    codes = codes.reshape(-1, 4)
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes()
+    edge = np.concatenate([[0], np.cumsum(padded // 4)]).tolist()
+    return [(control[edge[i] : edge[i + 1]], data[at[i] : at[i + 1]]) for i in range(len(n))]
 
 
-def decode(control: bytes, data: bytes, n: int, table: np.ndarray) -> np.ndarray:
-    """The ids of n coded ranks, by lookups in LENGTHS and in the table of ids."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    start = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+def decode(control: list[bytes], data: list[bytes], n: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The ids of sequences of n coded ranks each, one after the other, by lookups in LENGTHS and in the table of ids."""
+    size = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].ravel()
+    padded = -(-n // 4) * 4
+    if not np.array_equal(padded, n):
+        size = size[ranges(np.cumsum(padded) - padded, n)]
+    start = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(b"".join(data) + b"\0\0\0", np.uint8).astype(np.uint32)
     rank = raw[start]
     for k in range(1, int(size.max(initial=1))):
-        rank |= np.where(size > k, raw[start + k] << np.uint32(8 * k), np.uint32(0))
+        more = np.flatnonzero(size > k)
+        rank[more] |= raw[start[more] + k] << np.uint32(8 * k)
     return table[rank]
 
 
@@ -157,6 +156,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     spark = docs.sparkSession
 
     def ids_of(batches):
+        gc.disable()  # the millions of short-lived tokens hold no cycles
         known = encoder(tokenizer)
         end = np.array([end_id], known.width).tobytes()
         size = np.dtype(known.width).itemsize
@@ -195,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     def code(batches):
         for batch in batches:
             for part in _groups(batch.select(["doc_id", "ids", "n"])):
-                coded = encode([rank_of[x] for x in unpack(part)])
+                coded = encode(rank_of[np.concatenate(unpack(part))], part.column("n").to_numpy())
                 file = np.searchsorted(edges, part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(file), part.column("doc_id"), part.column("n"), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["file", "doc_id", "n", "control", "data"])
 
@@ -221,8 +221,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def ids_of(batches):
         for batch in batches:
-            out = [decode(c, d, n, table).tobytes() for c, d, n in zip(batch.column("control").to_pylist(), batch.column("data").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n"), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+            for part in _groups(batch.select(["n", "data", "control", "doc_id", "start"]), 1 << 20):
+                n = part.column("n").to_numpy()
+                raw = decode(part.column("control").to_pylist(), part.column("data").to_pylist(), n, table).tobytes()
+                edge = (4 * np.concatenate([[0], np.cumsum(n)])).tolist()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), part.column("n"), pa.array([raw[a:b] for a, b in pairwise(edge)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     rows = spark.read.parquet(f"{path}/files").join(F.broadcast(bases), "file").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n", "control", "data")  # bases: a row a file
     return rows.mapInArrow(ids_of, "doc_id long, start long, n_tokens long, ids binary")
