@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, langid, lines, lm, mixing, quality, sharding, simhash, suffix, tokens
 from .common import scratch
+from .sql import ORACLES  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +75,3 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_ids, op3_quality_rules, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_mixing, op8_sharding, op9_decontamination, op10_lm_scoring)}
-ORACLES = {"op7_mixing": mixing.ORACLE}
