@@ -90,6 +90,29 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
+def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) of a minimum spanning forest by weight d (Boruvka's rounds)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(d, kind="stable")
+    x, y = at[: len(a)][order], at[len(a) :][order]
+    part, live, chosen = np.arange(len(nodes)), np.arange(len(order)), []
+    while True:
+        px, py = part[x[live]], part[y[live]]
+        apart = px != py
+        live, px, py = live[apart], px[apart], py[apart]
+        if not len(live):
+            return order[np.concatenate(chosen)] if chosen else order[:0]
+        best = np.full(len(nodes), len(order))
+        np.minimum.at(best, px, live)
+        np.minimum.at(best, py, live)
+        pick = np.unique(best[best < len(order)])
+        chosen.append(pick)
+        child, root = forest(part[x[pick]], part[y[pick]])
+        into = np.arange(len(nodes))
+        into[child] = root
+        part = into[part]
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of the edges (a long, b long): (node, root), root the least node; only nodes with edges.
 

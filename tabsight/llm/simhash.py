@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, forest, ranges, stored, whole
+from .common import as_bytes, components, ranges, spanning, stored, whole
 
 #: Length, dimension and generator polynomial of the binary Golay code; its covering radius.
 GOLAY_BITS, GOLAY_WORDS, GOLAY_POLY, RADIUS = 23, 4096, 0b101011100011, 3
@@ -33,7 +33,8 @@ class Plan:
     """How fingerprints are made and compared.
 
     ngram: words in a shingle. words: 64-bit words in a fingerprint. blocks: (first bit, bits, threshold) each.
-    compared: words that go with each copy and are compared; links differ there in most_diff bits at most.
+    compared: words that go with each copy and are compared; links differ there in most_diff bits at most, and in all
+    words in most_in_all bits.
     """
 
     ngram: int
@@ -41,13 +42,15 @@ class Plan:
     blocks: tuple[tuple[int, int, int], ...]
     compared: int
     most_diff: int
+    most_in_all: int
 
 
 #: 64 bits, at most 4 differ: then a block differs in at most 1, 1 or 0 bits, as (1+1) + (1+1) + (0+1) > 4. Exact.
-CONTRACT = Plan(4, 1, ((0, 23, 1), (23, 23, 1), (46, 18, 0)), 1, 4)
-#: Five-word shingles and a similarity of 0.8: angles of such texts differ in some 15 % of the bits. 24 blocks find
-#: a pair at 15 % with probability 0.95 and one at 10 % with 0.999; 128 compared bits may differ in 24.
-SIMILAR = Plan(5, 9, tuple((23 * i, 23, 1) for i in range(24)), 2, 24)
+CONTRACT = Plan(4, 1, ((0, 23, 1), (23, 23, 1), (46, 18, 0)), 1, 4, 4)
+#: Five-word shingles and a similarity of 0.8: the angle of two such texts is 0.151 of a half turn, so that share of the
+#: bits differs. 24 blocks find a pair at 15 % with probability 0.95 and one at 10 % with 0.999. 128 bits of a candidate
+#: may differ in 24, and all 1,536 in 250: of pairs of similarity 0.8 nine in ten pass, of 0.75 one in six, of 0.7 none.
+SIMILAR = Plan(5, 24, tuple((23 * i, 23, 1) for i in range(24)), 2, 24, 250)
 
 
 @lru_cache(1)
@@ -167,8 +170,9 @@ def _busy(fps: DataFrame, plan: Plan, most: int) -> dict[int, int]:
 
 
 def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15) -> DataFrame:
-    """Edges (a, b) that join the near fingerprints of ``fps`` (node long, fp binary; distinct): a star for each
-    component found in a task, so that no task returns more rows than it was given."""
+    """Links (a, b) that join the near fingerprints of ``fps`` (node long, fp binary; distinct): of those found in a
+    task a minimum spanning forest, so that no task returns more rows than it was given. Any two that a link joins are
+    joined in it by links no longer than that one, so what the check of all words then drops is not needed by nearer ones."""
     busy = _busy(fps, plan, most_homes)
     names = ["cell", "home", "block", "node", *(f"w{i}" for i in range(plan.compared))]
     kind = "cell long, home boolean, block int, node long, " + ", ".join(f"w{i} long" for i in range(plan.compared))
@@ -206,7 +210,7 @@ def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15) -> DataFrame:
         copies = np.flatnonzero(~home | (cell < 1 << 32))  # a home in an anchor that is not split is a copy as well
         copies = copies[np.argsort(where[copies], kind="stable")]
         keys = where[copies]
-        found_a, found_b, held = [], [], 0
+        found, held = [], 0
         for t in range(int(limit.max()) + 1):
             for flip in (sum(1 << k for k in c) for c in combinations(range(GOLAY_BITS), t)):
                 asked = np.flatnonzero(home & (limit >= t))
@@ -222,18 +226,33 @@ def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15) -> DataFrame:
                     y = copies[ranges(first[lo:hi], counts[lo:hi])]
                     differ = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int16) for w in words)
                     near = (differ <= plan.most_diff) & (node[x] < node[y])
-                    found_a.append(node[x][near])
-                    found_b.append(node[y][near])
+                    found.append((node[x][near], node[y][near], differ[near]))
                     held += int(near.sum())
-                    if held > 4_000_000:
-                        a, b = forest(np.concatenate(found_a), np.concatenate(found_b))
-                        found_a, found_b, held = [a], [b], len(a)
+                    if held > 2_000_000:
+                        found = [_fewest(found)]
+                        held = len(found[0][0])
                     lo = hi
         if held:
-            a, b = forest(np.concatenate(found_a), np.concatenate(found_b))
+            a, b, _ = _fewest(found)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return fps.mapInArrow(spread, kind).repartition("cell").mapInArrow(compare, "a long, b long")
+    def near_in_all(batches):
+        for batch in batches:
+            differ = np.bitwise_count(_matrix(batch.column(2), plan) ^ _matrix(batch.column(3), plan)).sum(1)
+            pick = pa.array(np.flatnonzero(differ <= plan.most_in_all))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick)], ["a", "b"])
+
+    edges = fps.mapInArrow(spread, kind).repartition("cell").mapInArrow(compare, "a long, b long")
+    if plan.compared == plan.words:
+        return edges
+    one, two = fps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), fps.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
+    return edges.distinct().join(one, "a").join(two, "b").select("a", "b", "fa", "fb").mapInArrow(near_in_all, "a long, b long")
+
+
+def _fewest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    pick = spanning(a, b, d)
+    return a[pick], b[pick], d[pick]
 
 
 def simhash_groups(docs: DataFrame, plan: Plan = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
