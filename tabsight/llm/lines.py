@@ -195,7 +195,7 @@ def _pairs(index: DataFrame, most: int | None, only: DataFrame | None = None) ->
     """(doc, tie, line, doc2, tie2, line2, more): a set's first line and an earlier line of another set that may be
     similar; or, with doc2 null, a line whose set an earlier line has.
 
-    Of a line's partners under one word the ``most`` earliest are returned; more says that there were others. only:
+    Of a line's partners under one word the ``most`` nearest by bitmap are returned; more says that there were others. only:
     (doc, tie, line) of the lines whose partners are asked for; then no equal sets are returned.
     """
     num, den = THRESHOLD
@@ -255,13 +255,18 @@ def _pairs(index: DataFrame, most: int | None, only: DataFrame | None = None) ->
             x, y = x[ok], y[ok]
             both = size[x] + size[y]
             least = -(-both * num // (num + den))  # words that two such sets must share
-            ok = np.minimum(size[x] - place[x], size[y] - place[y]) + np.minimum(place[x], place[y]) >= least
-            ok &= np.bitwise_count(a[x] ^ a[y]).astype(np.int32) + np.bitwise_count(b[x] ^ b[y]) <= both - 2 * least
-            x, y = x[ok], y[ok]
+            # Under the first word that two sets share nothing before it is shared, so that is where a similar pair passes.
+            ok = np.minimum(size[x] - place[x], size[y] - place[y]) >= least
+            x, y, both, least = x[ok], y[ok], both[ok], least[ok]
+            differ = np.bitwise_count(a[x] ^ a[y]).astype(np.int32) + np.bitwise_count(b[x] ^ b[y])
+            ok = differ <= both - 2 * least
+            x, y, differ = x[ok], y[ok], differ[ok]
             if not len(x):
                 continue
-            more = np.bincount(x, minlength=hi)[x] > (most or len(x))
-            if most:
+            more = np.bincount(x, minlength=len(row))[x] > (most or len(x))
+            if most:  # the likeliest partners
+                order = np.lexsort((y, differ, x))
+                x, y, more = x[order], y[order], more[order]
                 rank = np.arange(len(x)) - np.searchsorted(x, x)
                 x, y, more = x[rank < most], y[rank < most], more[rank < most]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (row["doc"][x], row["tie"][x].astype(np.int64), row["line"][x].astype(np.int32), row["doc"][y], row["tie"][y].astype(np.int64), row["line"][y].astype(np.int32), more)], PAIR)
@@ -308,8 +313,8 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, tie, line) of each line that an earlier similar line removes; see ``line_dedup`` for the keys.
 
-    The earliest FIRST_PARTNERS candidates of a line are verified first, as a line of a large group is nearly always
-    similar to the group's first. Lines of which none was, while others remain, are then compared with all of them.
+    The nearest FIRST_PARTNERS candidates of a line under each word are verified first, which settles nearly every line
+    that has a similar one. Lines of which none was, while others remain, are then compared with all of them.
     """
     rows = _documents(docs, id_col, text_col)
     line = ["doc", "tie", "line"]
