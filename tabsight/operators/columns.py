@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, text
 from ..functions.keys import clean, is_date, is_number, is_text, key_string, number
+from ..functions.ranges import range_id
 from ..settings import DATE_SENTINELS, DATE_TEXT, DEFAULT, MOJIBAKE, NUMBER_SENTINELS, PATTERNS, TEXT_SENTINELS, Settings
 
 
@@ -459,11 +460,10 @@ def missing_months(df: DataFrame, column: str) -> DataFrame:
 def monotonic(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """(column, increasing): whether the values never fall in the rows' order.
 
-    Neighbours are compared within ranges of the order; the ranges' ends are compared after.
+    Neighbours are compared within ranges of the order's first column (a number or time); the ranges' ends are compared
+    after.
     """
-    cells = df.select(*columns, F.struct(*order).alias("_o"))
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = cells.repartitionByRange(n, "_o").withColumn("_p", F.spark_partition_id())
+    ranged = df.select(*columns, F.struct(*order).alias("_o"), range_id(df, order[0]).alias("_p"))
     w = W.partitionBy("_p").orderBy("_o")
     out = ranged.select("_p", "_o", *columns, *(F.lag(c).over(w).alias(f"_l{i}") for i, c in enumerate(columns)))
     by = out.groupBy("_p").agg(*(F.bool_and(F.coalesce(F.col(c) >= F.col(f"_l{i}"), F.lit(True))).alias(f"ok{i}") for i, c in enumerate(columns)), *(F.min_by(c, "_o").alias(f"a{i}") for i, c in enumerate(columns)), *(F.max_by(c, "_o").alias(f"b{i}") for i, c in enumerate(columns)))

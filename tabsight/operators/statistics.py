@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import number
+from ..functions.ranges import range_id
 from ..settings import DEFAULT, Settings
 from .columns import numeric_columns
 
@@ -272,10 +273,9 @@ def best_distribution(df: DataFrame, column: str) -> DataFrame:
         ll = n * ((a - 1) * r["ml"] - m * a / m - a * math.log(m / a) - math.lgamma(a))
         fits.append(("gamma", 4 - 2 * ll, None))
     counts = df.select(x.alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("c"))
-    parts = max(2, df.sparkSession.sparkContext.defaultParallelism)
     from pyspark.sql import Window as W
 
-    ranged = counts.repartitionByRange(parts, "x").withColumn("p", F.spark_partition_id()).withColumn("run", F.sum("c").over(W.partitionBy("p").orderBy("x")))
+    ranged = counts.withColumn("p", range_id(df.select(x.alias("x")), "x")).withColumn("run", F.sum("c").over(W.partitionBy("p").orderBy("x")))
     base = ranged.groupBy("p").agg(F.sum("c").alias("t")).select("p", F.coalesce(F.sum("t").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"))
     at = ranged.join(F.broadcast(base), "p").select("x", ((F.col("b") + F.col("run")) / n).alias("up"), ((F.col("b") + F.col("run") - F.col("c")) / n).alias("down"))
     far = [F.max(F.greatest(F.col("up") - f, f - F.col("down"))).alias(k) for k, _, f in fits if f is not None]

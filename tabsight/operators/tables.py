@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import key_string, number
+from ..functions.ranges import range_id
 from ..settings import DEFAULT, Settings
 from .columns import numeric_columns, ratio, text_columns
 
@@ -180,11 +181,10 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Ranks come from counts a value, ranged by value and added up over ranges, not from a sort of all rows in a task.
     """
-    n = max(2, df.sparkSession.sparkContext.defaultParallelism)
     out = df
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-        part = counts.repartitionByRange(n, "_v").withColumn("_p", F.spark_partition_id())
+        part = counts.withColumn("_p", range_id(df.select(F.col(c).alias("_v")), "_v"))
         run = part.withColumn("_run", F.sum("_n").over(W.partitionBy("_p").orderBy("_v")))
         base = run.groupBy("_p").agg(F.sum("_n").alias("_t")).select("_p", F.coalesce(F.sum("_t").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
         ranks = run.join(F.broadcast(base), "_p").select("_v", (F.col("_b") + F.col("_run") - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}"))

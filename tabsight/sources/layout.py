@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranges import range_id
+
 #: Words of a row of totals.
 TOTAL_WORDS = ("total", "totais", "total geral", "grand total", "subtotal", "soma", "sum", "totals", "resultado", "geral")
 
@@ -125,8 +127,7 @@ def merged_columns(df: DataFrame) -> list[str]:
 
 def forward_fill(df: DataFrame, columns: list[str], order: str = "_row") -> DataFrame:
     """Blanks take the value above. Ranges of rows are filled apart, each from the last value of those before it."""
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
+    ranged = df.withColumn("_p", range_id(df, order))
     inside = W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row a range
     ends = ranged.groupBy("_p").agg(*(F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(order))).alias(f"_l{i}") for i, c in enumerate(columns)))
