@@ -310,18 +310,28 @@ IN_TEXT = {
 }
 
 
+def _personal(x: Column, kind: str) -> Column:
+    """A text with personal data of a kind and more than that."""
+    m = F.regexp_extract(x, IN_TEXT[kind], 1)
+    ok = (m != "") & (m != F.trim(x))
+    return ok & documents.cpf_valid(m) if kind == "CPF" else ok & documents.cnpj_valid(m) if kind == "CNPJ" else ok
+
+
+def has_personal_data(x: Column) -> Column:
+    out = F.lit(False)
+    for kind in IN_TEXT:
+        out = out | _personal(x, kind)
+    return out
+
+
 def pii_in_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, kind, n, n_found): personal data inside longer texts, in columns of which half the values have a space."""
 
     def fields(c):
         x = F.col(f"`{c}`")
         out = {"n": F.count(x), "spaced": F.count_if(F.contains(F.trim(x), F.lit(" ")))}
-        for kind, pattern in IN_TEXT.items():
-            m = F.regexp_extract(x, pattern, 1)
-            ok = (m != "") & (m != F.trim(x))
-            if kind in ("CPF", "CNPJ"):
-                ok = ok & (documents.cpf_valid(m) if kind == "CPF" else documents.cnpj_valid(m))
-            out[kind] = F.count_if(ok)
+        for kind in IN_TEXT:
+            out[kind] = F.count_if(_personal(x, kind))
         return out
 
     wide = long_form(df, columns or text_columns(df), fields).where(F.col("spaced") >= 0.5 * F.col("n"))
@@ -372,10 +382,10 @@ def sentinels(df: DataFrame, columns: list[str] | None = None, s: Settings = DEF
     columns = columns or df.columns
     parts = []
     if texts := [c for c in columns if is_text(df, c)]:
-        counts = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), text.fold(F.col(f"`{c}`")).alias("value")) for c in texts)))).where("value IS NOT NULL")
-        filled = counts.groupBy("column").agg(F.count("*").alias("n"))
-        hits = counts.where(F.col("value").isin(*TEXT_SENTINELS)).groupBy("column", "value").agg(F.count("*").alias("cnt"))
-        parts.append(hits.join(F.broadcast(filled), "column").select("column", F.lit("text").alias("kind"), "value", "cnt", "n"))
+        cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), text.fold(F.col(f"`{c}`")).alias("value")) for c in texts))))
+        hits = cells.where(F.col("value").isin(*TEXT_SENTINELS)).groupBy("column", "value").agg(F.count("*").alias("cnt"))
+        filled = long_form(df, texts, lambda c: {"n": F.count(F.col(f"`{c}`"))})
+        parts.append(hits.join(filled, "column").select("column", F.lit("text").alias("kind"), "value", "cnt", "n"))
     if numbers := [c for c in columns if is_number(df, c)]:
 
         def fields(c):
@@ -408,7 +418,7 @@ def effective_nulls(df: DataFrame, columns: list[str] | None = None, s: Settings
 
 def spelling_groups(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, key, n_spellings, cnt, spellings): values written in more than one way."""
-    counts = value_counts(df, columns or text_columns(df)) if not columns else _raw_counts(df, columns)
+    counts = _raw_counts(df, columns or text_columns(df))
     keyed = counts.withColumn("key", text.spelling_key(F.col("value"))).where("key <> ''")
     out = keyed.groupBy("column", "key").agg(F.count("*").alias("n_spellings"), F.sum("cnt").alias("cnt"), F.array_join(F.array_sort(F.collect_list("value")), "|").alias("spellings"))
     return out.where("n_spellings > 1")

@@ -43,10 +43,12 @@ def fk_discovery(tables: Tables, least: float = 0.6, least_named: float = 0.35)
     gives every containment at once; only matching values meet, never all pairs.
     """
     spark = next(iter(tables.values())).sparkSession
-    keys = [(r["table"], r["column"], r["n"]) for r in pk_candidates(tables).collect()]
     usable = {t: [c for c, k in df.dtypes if k in ("string", "int", "bigint", "smallint", "tinyint")] for t, df in tables.items()}
     values = _values(tables, usable)
-    sizes = {(r["table"], r["column"]): (r["d"], r["n"]) for r in values.groupBy("table", "column").agg(F.count("*").alias("d"), F.sum("cnt").alias("n")).collect()}
+    facts = values.groupBy("table", "column").agg(F.count("*").alias("d"), F.sum("cnt").alias("n"), F.max("cnt").alias("most")).collect()  # a row a column
+    sizes = {(r["table"], r["column"]): (r["d"], r["n"]) for r in facts}
+    rows = {t: df.count() for t, df in tables.items()}
+    keys = [(r["table"], r["column"], r["d"]) for r in facts if r["most"] == 1 and r["n"] == rows[r["table"]] and r["d"] >= 3]
     named = [(st, sc, dt, dc, n, float(jaro_winkler(sc.lower(), dc.lower())), _is_id(sc) and _is_id(dc)) for dt, dc, n in keys for st, cs in usable.items() if st != dt for sc in cs if dict(tables[st].dtypes)[sc] in _like(dict(tables[dt].dtypes)[dc]) and (st, sc) in sizes]
     # Without a like name the key must have ten values and the source cover a twentieth of it.
     named = [x for x in named if x[5] >= 0.75 or (x[4] >= 10 and sizes[x[0], x[1]][0] >= 0.05 * x[4])]

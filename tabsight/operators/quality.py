@@ -5,30 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..settings import COLUMN_SHARE, DAMAGE, DEFAULT, PERSONAL_WEIGHTS, TABLE_SHARE, Settings
+from ..functions import documents, text
+from ..functions.keys import clean
+from ..settings import COLUMN_SHARE, DAMAGE, DATE_TEXT, DEFAULT, MOJIBAKE, PERSONAL_WEIGHTS, TABLE_SHARE, Settings
 from . import columns as C
 from .tables import duplicate_rows, identical_columns
 
 
 def defects(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(column, n_rows, n_null, mojibake, invalid_document, mixed_types, sentinel, pii_in_text, spelling, date_as_text)."""
-    out = C.null_profile(df).drop("pct_null")
-    texts = C.text_columns(df)
-    flags = [C.sentinels(df, None, s).select("column", F.lit("sentinel").alias("defect"))]
+    """(column, n_rows, n_null, mojibake, invalid_document, mixed_types, sentinel, pii_in_text, spelling, date_as_text).
+
+    All but sentinels and spellings, which count values, come from one aggregation over all columns.
+    """
+    texts = set(C.text_columns(df))
+
+    def fields(c):
+        x = F.col(f"`{c}`")
+        rows, filled = F.count("*"), F.count(clean(df, c))
+        out = {"n_rows": rows, "n_null": rows - filled}
+        no = F.lit(False)
+        if c not in texts:
+            return out | dict.fromkeys(("mojibake", "invalid_document", "mixed_types", "pii_in_text", "date_as_text"), no)
+        n = {"number": F.count_if(text.is_number_text(x)), "date": F.count_if(x.rlike(DATE_TEXT)), "blank": F.count_if(F.trim(x) == "")}
+        n["text"] = filled - n["number"] - n["date"] - n["blank"]
+        wrong = no
+        for kind in ("CPF", "CNPJ"):
+            wrong = wrong | ((F.count_if(documents.has_shape(x, kind)) >= s.structured * filled) & (F.count_if(documents.is_kind(x, kind)) < s.structured * filled))
+        return out | {
+            "mojibake": F.count_if(x.rlike(MOJIBAKE)) > 0,
+            "invalid_document": (filled > 0) & wrong,
+            "mixed_types": sum(((v > 0) & (v >= s.mixed_type * filled)).cast("int") for v in n.values()) > 1,
+            "pii_in_text": (filled > 0) & (F.count_if(F.contains(F.trim(x), F.lit(" "))) >= 0.5 * filled) & (F.count_if(C.has_personal_data(x)) > 0),
+            "date_as_text": (filled > 0) & (n["date"] >= s.date_as_text * filled),
+        }
+
+    scan = C.long_form(df, df.columns, fields)
+    hits = C.sentinels(df, None, s).select("column", F.lit("sentinel").alias("defect"))
     if texts:
-        flags += [
-            C.mojibake(df, texts).where("n_mojibake > 0").select("column", F.lit("mojibake").alias("defect")),
-            C.structured_pattern(df, texts, s).where("invalid_document IS NOT NULL").select("column", F.lit("invalid_document").alias("defect")),
-            C.type_mixture(df, texts, s).where("mixed").select("column", F.lit("mixed_types").alias("defect")),
-            C.pii_in_text(df, texts).select("column", F.lit("pii_in_text").alias("defect")),
-            C.spelling_groups(df, texts).select("column", F.lit("spelling").alias("defect")),
-            C.date_as_text(df, texts, s).where("date_as_text").select("column", F.lit("date_as_text").alias("defect")),
-        ]
-    every = flags[0]
-    for f in flags[1:]:
-        every = every.unionByName(f)
-    wide = every.groupBy("column").agg(*(F.max(F.col("defect") == d).alias(d) for d in DAMAGE))
-    return out.join(wide, "column", "left").fillna(False, list(DAMAGE))
+        hits = hits.unionByName(C.spelling_groups(df, sorted(texts)).select("column", F.lit("spelling").alias("defect")))
+    counted = hits.groupBy("column").agg(*(F.max(F.col("defect") == d).alias(d) for d in ("sentinel", "spelling")))
+    return scan.join(counted, "column", "left").fillna(False, ["sentinel", "spelling"])
 
 
 def column_damage(found: DataFrame) -> DataFrame:
