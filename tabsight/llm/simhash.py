@@ -26,6 +26,8 @@ from .common import as_bytes, components, ranges, spanning, stored, whole
 #: Length, dimension and generator polynomial of the binary Golay code; its covering radius.
 GOLAY_BITS, GOLAY_WORDS, GOLAY_POLY, RADIUS = 23, 4096, 0b101011100011, 3
 SEED = 42
+#: Bytes of one part of a family whose pairs are judged.
+PART_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -171,8 +173,11 @@ def _busy(fps: DataFrame, plan: Plan, most: int) -> dict[int, int]:
 
 def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15) -> DataFrame:
     """Links (a, b) that join the near fingerprints of ``fps`` (node long, fp binary; distinct): of those found in a
-    task a minimum spanning forest, so that no task returns more rows than it was given. Any two that a link joins are
-    joined in it by links no longer than that one, so what the check of all words then drops is not needed by nearer ones."""
+    task a spanning forest, so that no task returns more rows than it was given.
+
+    If only some words are compared, those links are no answer, but any two near fingerprints that share an anchor are
+    in one family (component) of them; all pairs of a family are then judged, see ``_judged``.
+    """
     busy = _busy(fps, plan, most_homes)
     names = ["cell", "home", "block", "node", *(f"w{i}" for i in range(plan.compared))]
     kind = "cell long, home boolean, block int, node long, " + ", ".join(f"w{i} long" for i in range(plan.compared))
@@ -236,17 +241,81 @@ def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15) -> DataFrame:
             a, b, _ = _fewest(found)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def near_in_all(batches):
-        for batch in batches:
-            differ = np.bitwise_count(_matrix(batch.column(2), plan) ^ _matrix(batch.column(3), plan)).sum(1)
-            pick = pa.array(np.flatnonzero(differ <= plan.most_in_all))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick)], ["a", "b"])
-
     edges = fps.mapInArrow(spread, kind).repartition("cell").mapInArrow(compare, "a long, b long")
     if plan.compared == plan.words:
         return edges
-    one, two = fps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), fps.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    return edges.distinct().join(one, "a").join(two, "b").select("a", "b", "fa", "fb").mapInArrow(near_in_all, "a long, b long")
+    members = components(edges).withColumnRenamed("root", "family").join(fps, "node")
+    return _judged(stored(members), plan)
+
+
+def _judged(members: DataFrame, plan: Plan, most_bytes: int = PART_BYTES) -> DataFrame:
+    """Links (a, b) of all near pairs of ``members`` (node, family, fp), each family's pairs judged in blocks.
+
+    A family of over most_bytes is cut into parts, and every two parts meet in a task of their own. A block returns a
+    spanning forest of the links it has confirmed: only a pair that confirmed links join already goes unjudged.
+    """
+    size = members.groupBy("family").agg(F.ceil(F.sum(F.octet_length("fp")) / most_bytes).cast("int").alias("ways"))
+    dealt = members.join(size, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    block = ["family", "low", "high"]
+
+    def run(batches):
+        held, key, a, b = [], None, [], []
+        for batch in batches:
+            ids = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)] if len(ids) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                mine = tuple(ids[lo].tolist())
+                if held and mine != key:
+                    _confirm(held, key, plan, a, b)
+                    held = []
+                key = mine
+                held.append(batch.slice(lo, hi - lo))
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        if held:
+            _confirm(held, key, plan, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.select(*block, "part", "node", "fp").repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long")
+
+
+def _confirm(held: list[pa.RecordBatch], key: tuple[int, int, int], plan: Plan, a: list[int], b: list[int]) -> None:
+    """Adds to a and b a spanning forest of the confirmed links of one block's rows."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    part, node = (np.asarray(rows.column(i).combine_chunks()) for i in (3, 4))
+    words = _matrix(rows.column(5), plan)
+    same = key[1] == key[2]
+    x, y = np.flatnonzero(part == key[1]), np.flatnonzero(part == key[2])
+    root = np.arange(len(node))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    step = max(1, 50_000 // max(1, len(y)))
+    for lo in range(0, len(x), step):
+        i, j = x[lo : lo + step], y[lo:] if same else y
+        differ = np.bitwise_count(words[i][:, None] ^ words[j][None]).sum(2, dtype=np.int32)
+        near = differ <= plan.most_in_all
+        if same:
+            near &= i[:, None] < j[None]
+        at, to = np.nonzero(near)
+        differ = differ[at, to]
+        at, to = i[at], j[to]
+        up = np.array([top(k) for k in range(len(root))]) if len(at) > len(root) else None
+        if up is not None:
+            apart = up[at] != up[to]
+            at, to, differ = at[apart], to[apart], differ[apart]
+        order = np.argsort(differ, kind="stable")
+        for m, n in zip(at[order].tolist(), to[order].tolist(), strict=True):
+            p, q = top(m), top(n)
+            if p != q:
+                root[q] = p
+                a.append(int(node[m]))
+                b.append(int(node[n]))
 
 
 def _fewest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:

@@ -97,6 +97,19 @@ def test_links_join_what_differs_in_four_bits(spark, most):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+@pytest.mark.parametrize("part", [simhash.PART_BYTES, 200])
+def test_a_nearer_third_does_not_hide_a_near_pair(spark, part):
+    r = random.Random(11)
+    a = r.getrandbits(1536)
+    b = a ^ sum(1 << i for i in range(0, 100, 10))
+    c = a ^ sum(1 << i for i in range(0, 50, 10)) ^ sum(1 << i for i in range(600, 1200))  # nearer to both in 128 bits
+    table = spark.createDataFrame([(i, x.to_bytes(192, "little")) for i, x in enumerate((a, b, c))], "node long, fp binary")
+    got = common.components(simhash.links(table, simhash.SIMILAR)).collect()
+    assert sorted((x["node"], x["root"]) for x in got) == [(0, 0), (1, 0)]
+    members = table.withColumn("family", F.lit(0).cast("long"))
+    assert [(x["a"], x["b"]) for x in simhash._judged(members.select("node", "family", "fp"), simhash.SIMILAR, part).collect()] in ([(0, 1)], [(1, 0)])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
