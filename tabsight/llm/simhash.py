@@ -11,6 +11,7 @@ Anchors with many homes are dealt over a grid of tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -36,7 +37,8 @@ class Plan:
 
     ngram: words in a shingle. words: 64-bit words in a fingerprint. blocks: (first bit, bits, threshold) each.
     compared: words that go with each copy and are compared; links differ there in most_diff bits at most, and in all
-    words in most_in_all bits.
+    words in most_in_all bits. similarity: the Jaccard similarity of the shingle sets that links must have, as a fraction;
+    then the fingerprint is that of the set and nodes are sets. None: the fingerprint decides, of all shingles.
     """
 
     ngram: int
@@ -45,14 +47,16 @@ class Plan:
     compared: int
     most_diff: int
     most_in_all: int
+    similarity: tuple[int, int] | None = None
 
 
 #: 64 bits, at most 4 differ: then a block differs in at most 1, 1 or 0 bits, as (1+1) + (1+1) + (0+1) > 4. Exact.
 CONTRACT = Plan(4, 1, ((0, 23, 1), (23, 23, 1), (46, 18, 0)), 1, 4, 4)
 #: Five-word shingles and a similarity of 0.8: the angle of two such texts is 0.151 of a half turn, so that share of the
-#: bits differs. 24 blocks find a pair at 15 % with probability 0.95 and one at 10 % with 0.999. 128 bits of a candidate
-#: may differ in 24, and all 1,536 in 250: of pairs of similarity 0.8 nine in ten pass, of 0.75 one in six, of 0.7 none.
-SIMILAR = Plan(5, 24, tuple((23 * i, 23, 1) for i in range(24)), 2, 24, 250)
+#: bits differs. Fingerprints only name candidates, with bounds four and six deviations above it (36 of 128 bits, 320 of
+#: all 1,536); the exact similarity of the two sets decides. 24 blocks find a pair at 15 % with probability 0.95 and one
+#: at 10 % with 0.999; pairs of a family are judged whether a block found them or not.
+SIMILAR = Plan(5, 24, tuple((23 * i, 23, 1) for i in range(24)), 2, 36, 320, (4, 5))
 
 
 @lru_cache(1)
@@ -113,7 +117,10 @@ def fingerprint(text: bytes, ngram: int = 4, words: int = 1) -> bytes:
 
     The first 64 bits come from the hashes themselves, the others from remixed ones.
     """
-    h = shingle_hashes(text, ngram)
+    return majority(shingle_hashes(text, ngram), words)
+
+
+def majority(h: np.ndarray, words: int) -> bytes:
     if not len(h):
         return bytes(8 * words)
     counts = np.zeros(64 * words, np.int64)
@@ -130,17 +137,43 @@ def fingerprint(text: bytes, ngram: int = 4, words: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node long, fp binary) of each row; the node is the fingerprint itself, or a hash of a longer one."""
+    """(doc_id, node long, fp binary) of each row; the node is the fingerprint itself, or a hash of the shingle set."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(x, plan.ngram, plan.words) for x in as_bytes(batch.column(1))]
-            nodes = np.array([xxhash.xxh64_intdigest(x) if plan.words > 1 else int.from_bytes(x, "little") for x in fps], np.uint64).view(np.int64)
+            if plan.similarity:
+                sets = [shingle_set(x, plan.ngram) for x in as_bytes(batch.column(1))]
+                fps, nodes = [majority(x, plan.words) for x in sets], _set_nodes(sets)
+            else:
+                fps = [fingerprint(x, plan.ngram, plan.words) for x in as_bytes(batch.column(1))]
+                nodes = np.array([int.from_bytes(x, "little") for x in fps], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(fps, pa.binary())], ["doc_id", "node", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp binary")
 
 
+def shingle_set(text: bytes, ngram: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, ngram))
+
+
+def _set_nodes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, members: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
+    """(node, words binary): the shingle sets of ``members`` (node, least), made again from the texts of their rows."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x, plan.ngram) for x in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(_set_nodes(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "words"])
+
+    ids = members.select(F.col("least").alias("_least")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    found = texts.join(ids, F.col("_id").eqNullSafe(F.col("_least")), "left_semi").select("_text").mapInArrow(run, "node long, words binary")
+    return found.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
 def _blocks(words: np.ndarray, plan: Plan):
     """(number, values, threshold) of each block; words: (rows, plan.words)."""
     for number, (first, bits, t) in enumerate(plan.blocks):
@@ -171,12 +204,13 @@ def _busy(fps: DataFrame, plan: Plan, most: int) -> dict[int, int]:
     return {r["cell"]: -(-r["n"] // most) for r in rows}
 
 
-def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15) -> DataFrame:
+def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) that join the near fingerprints of ``fps`` (node long, fp binary; distinct): of those found in a
     task a spanning forest, so that no task returns more rows than it was given.
 
     If only some words are compared, those links are no answer, but any two near fingerprints that share an anchor are
-    in one family (component) of them; all pairs of a family are then judged, see ``_judged``.
+    in one family (component) of them; all pairs of a family are then judged, see ``_judged``, by their sets as well if
+    ``sets`` gives the shingle sets (node, words binary) of nodes.
     """
     busy = _busy(fps, plan, most_homes)
     names = ["cell", "home", "block", "node", *(f"w{i}" for i in range(plan.compared))]
@@ -245,16 +279,19 @@ def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15) -> DataFrame:
     if plan.compared == plan.words:
         return edges
     members = components(edges).withColumnRenamed("root", "family").join(fps, "node")
-    return _judged(stored(members), plan)
+    members = stored(members)
+    return _judged(stored(members.join(sets(members), "node")) if sets else members, plan)
 
 
 def _judged(members: DataFrame, plan: Plan, most_bytes: int = PART_BYTES) -> DataFrame:
-    """Links (a, b) of all near pairs of ``members`` (node, family, fp), each family's pairs judged in blocks.
+    """Links (a, b) of all near pairs of ``members`` (node, family, fp; words, the shingle set, if sets decide), each
+    family's pairs judged in blocks.
 
     A family of over most_bytes is cut into parts, and every two parts meet in a task of their own. A block returns a
     spanning forest of the links it has confirmed: only a pair that confirmed links join already goes unjudged.
     """
-    size = members.groupBy("family").agg(F.ceil(F.sum(F.octet_length("fp")) / most_bytes).cast("int").alias("ways"))
+    data = ["fp", "words"] if "words" in members.columns else ["fp"]
+    size = members.groupBy("family").agg(F.ceil(F.sum(sum(F.octet_length(c) for c in data)) / most_bytes).cast("int").alias("ways"))
     dealt = members.join(size, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     block = ["family", "low", "high"]
@@ -278,7 +315,7 @@ def _judged(members: DataFrame, plan: Plan, most_bytes: int = PART_BYTES) -> Dat
             _confirm(held, key, plan, a, b)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.select(*block, "part", "node", "fp").repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long")
+    return dealt.select(*block, "part", "node", *data).repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long")
 
 
 def _confirm(held: list[pa.RecordBatch], key: tuple[int, int, int], plan: Plan, a: list[int], b: list[int]) -> None:
@@ -286,6 +323,9 @@ def _confirm(held: list[pa.RecordBatch], key: tuple[int, int, int], plan: Plan,
     rows = pa.Table.from_batches(held).combine_chunks()
     part, node = (np.asarray(rows.column(i).combine_chunks()) for i in (3, 4))
     words = _matrix(rows.column(5), plan)
+    sets = [np.frombuffer(v, np.uint64) for v in rows.column(6).to_pylist()] if rows.num_columns > 6 else None
+    size = np.array([len(v) for v in sets]) if sets else None
+    num, den = plan.similarity or (0, 1)
     same = key[1] == key[2]
     x, y = np.flatnonzero(part == key[1]), np.flatnonzero(part == key[2])
     root = np.arange(len(node))
@@ -302,6 +342,8 @@ def _confirm(held: list[pa.RecordBatch], key: tuple[int, int, int], plan: Plan,
         near = differ <= plan.most_in_all
         if same:
             near &= i[:, None] < j[None]
+        if sets:
+            near &= den * np.minimum(size[i][:, None], size[j][None]) >= num * np.maximum(size[i][:, None], size[j][None])
         at, to = np.nonzero(near)
         differ = differ[at, to]
         at, to = i[at], j[to]
@@ -313,6 +355,10 @@ def _confirm(held: list[pa.RecordBatch], key: tuple[int, int, int], plan: Plan,
         for m, n in zip(at[order].tolist(), to[order].tolist(), strict=True):
             p, q = top(m), top(n)
             if p != q:
+                if sets:
+                    shared = len(np.intersect1d(sets[m], sets[n], assume_unique=True))
+                    if den * shared < num * (size[m] + size[n] - shared):
+                        continue
                 root[q] = p
                 a.append(int(node[m]))
                 b.append(int(node[n]))
@@ -333,7 +379,8 @@ def simhash_groups(docs: DataFrame, plan: Plan = CONTRACT, id_col: str = "doc_id
     """
     rows = stored(fingerprints(docs, plan, id_col, text_col))
     distinct = stored(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("node", "fp"), plan))
+    sets = (lambda members: shingle_sets(docs, members.select("node").join(distinct, "node"), plan, id_col, text_col)) if plan.similarity else None
+    roots = components(links(distinct.select("node", "fp"), plan, sets=sets))
     named = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(groups, "root").select("node", "component_id"), "node").select("doc_id", "node", "fp", "component_id")

@@ -110,6 +110,27 @@ def test_a_nearer_third_does_not_hide_a_near_pair(spark, part):
     assert [(x["a"], x["b"]) for x in simhash._judged(members.select("node", "family", "fp"), simhash.SIMILAR, part).collect()] in ([(0, 1)], [(1, 0)])
 
 
+def test_near_dedup_goes_by_the_exact_similarity_of_shingle_sets(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    texts = []
+    for changed in [0.05] * 10 + [0.02] * 10:  # families that share a passage of 0.7 and 0.85 of their shingles
+        base = [word() for _ in range(400)]
+        tail = int(400 * changed * 3.4)
+        texts += [" ".join(base[: 400 - tail] + [word() for _ in range(tail)]) for _ in range(12)]
+    texts += ["thor " * 300 + " ".join(word() for _ in range(30)) for _ in range(3)]  # one shingle outvotes the others
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if k == y else k for k in root]
+    assert 120 < len(set(root)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(x["doc_id"] for x in simhash.near_dedup(docs).collect()) == sorted(set(root))
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
