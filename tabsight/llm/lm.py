@@ -175,11 +175,12 @@ class Mixer:
         discount, escape, share, n = self.shares[:, of]
         known = np.maximum(own - discount, 0) / np.maximum(n, 1)
         elsewhere = (total - own) / np.maximum(self.whole - n, 1)
-        p = known + escape * (share * elsewhere + (1 - share) * np.exp2(-self.spelling_bits(words, of)))
-        return np.where([w == END for w in words], self.end_bits, self.more_bits - np.log2(np.maximum(p, 1e-300)))
+        with np.errstate(divide="ignore"):
+            seen, spelled = np.log2(known + escape * share * elsewhere), np.log2(escape * (1 - share)) - self.spelling_bits(words, of)
+        return np.where([w == END for w in words], self.end_bits, self.more_bits - np.logaddexp2(seen, spelled))
 
     def spelling_bits(self, words: list[bytes], of: np.ndarray) -> np.ndarray:
-        """Bits of the spelling of each token in a text of its class; at most 900."""
+        """Bits of the spelling of each token in a text of its class."""
         c = Contexts(words, of)
         cost = np.zeros(len(c.byte))
         x = np.ones((len(c.byte), len(TABLES) + 1), np.float32)
@@ -192,7 +193,7 @@ class Mixer:
                     seen[table] = self.seen[at]
             _, p = self.predict(k, x, self.gate(k, seen))
             cost -= np.log2(np.where(bit == 1, p, 1 - p))
-        return np.minimum(np.add.reduceat(cost, c.first), 900) if len(words) else np.zeros(0)
+        return np.add.reduceat(cost, c.first) if len(words) else np.zeros(0)
 
 
 def learn(counts: np.ndarray, words: list[bytes], of: np.ndarray, seed: int = 1) -> Mixer:

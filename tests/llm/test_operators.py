@@ -403,3 +403,18 @@ def test_spelling_model_is_a_distribution():
     m = lm.learn(table, words, np.zeros(len(words), np.int64))
     every = [bytes([x]) for x in range(256) if x != 32]
     assert np.exp2(-m.spelling_bits(every, np.zeros(len(every), np.int64))).sum() <= 1.0 + 1e-6
+
+
+def test_a_long_unseen_token_costs_by_its_length():
+    words = [b"ab", b"abc", b"b", b"ba"] * 5
+    of = np.zeros(len(words), np.int64)
+    table = np.zeros((2, int(lm._OFFSET[-1])), np.int64)
+    lm.count_bits(words, of, table)
+    m = lm.learn(table, words, of)
+    m.shares = np.tile(np.array([[0.5], [0.5], [0.5], [20.0]]), lm.CLASSES)
+    m.whole = 20.0
+    r = random.Random(2)
+    junk = bytes(r.choice(b"QWXZ0123456789/+") for _ in range(20_000))
+    z = np.zeros(2, np.int64)
+    short, long = m.token_bits([junk[:2_000], junk], z, z, z)
+    assert np.isfinite(long) and short > 2_000 and long > 5 * short
