@@ -4,7 +4,8 @@ A line is the set of its words (A-Z lowered). A line goes if an earlier line - o
 same document - has a Jaccard similarity of at least THRESHOLD. Lines are judged on the input, so a removed line still
 removes others.
 
-Equal sets are settled by a hash of the set. For the others: words are ordered by rarity, and a set's prefix, its
+Equal sets are settled by a hash of the set; sets of one or two words can only match equal ones, so their rows meet by
+that hash and nothing else. For the others: words are ordered by rarity, and a set's prefix, its
 |x| - ceil(t |x|) + 1 rarest words, must share a word with the prefix of any set similar to it. Rows meet by prefix word;
 pairs pass a length filter, a positional filter (the words after the shared one bound the overlap) and a bitmap filter
 (the words' parities in 128 bits bound the difference), and the rest is verified on the sets themselves.
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import ranges, stored
 
-#: Similarity; fewest different words of a line that can be removed; partners of a line that are verified at first.
+#: Similarity; fewest different words of a line that can be removed where nothing else is asked for; partners of a line
+#: that are verified at first.
 THRESHOLD, MIN_WORDS, FIRST_PARTNERS = (4, 5), 3, 2
 #: Lines that a turn of the second comparison takes.
 REST = 200_000
@@ -155,7 +157,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(rows.tobytes())])
 
 
-def _index(rows: DataFrame, counts) -> DataFrame:
+def _index(rows: DataFrame, counts, min_words: int) -> DataFrame:
     """(word int, row binary): the prefix rows (ROW) of each set's first line in a chunk of a task; lines that repeat
     an earlier one of the chunk are settled: one row each under any word, its place NONE."""
     num, den = THRESHOLD
@@ -175,15 +177,16 @@ def _index(rows: DataFrame, counts) -> DataFrame:
                 order = np.lexsort((line, row["tie"], row["doc"], key))
                 first = np.zeros(n, bool)
                 first[order] = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if n else True
-                enough = size >= MIN_WORDS
+                enough = size >= min_words
                 start_of = np.cumsum(size) - size
                 prefix = np.where(first & enough, size - -(-size * num // den) + 1, 0)
                 at = ranges(start_of, prefix)
                 out = np.repeat(row, prefix)
+                meet = np.where(out["size"] <= 2, out["key"], h[at])
                 out["place"] = ranges(np.zeros(n, np.int64), prefix)
                 settled = row[~first & enough]
                 # Dealt by place: rows of any number of copies spread over all tasks.
-                word = np.concatenate([(h[at] >> np.uint64(20)).astype(np.uint32), (settled["doc"].astype(np.uint32) * np.uint32(2654435761)) ^ settled["line"]]).view(np.int32)
+                word = np.concatenate([(meet >> np.uint64(20)).astype(np.uint32), (settled["doc"].astype(np.uint32) * np.uint32(2654435761)) ^ settled["line"]]).view(np.int32)
                 out = np.concatenate([out, settled])
                 for lo in range(0, len(out), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(word[lo : lo + 100_000]), _binary(out[lo : lo + 100_000])], ["word", "row"])
@@ -310,7 +313,7 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(*line, "more", "words", "words2").mapInArrow(judge, "doc long, tie long, line int, more boolean, similar boolean")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, tie, line) of each line that an earlier similar line removes; see ``line_dedup`` for the keys.
 
     The nearest FIRST_PARTNERS candidates of a line under each word are verified first, which settles nearly every line
@@ -319,7 +322,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = _documents(docs, id_col, text_col)
     line = ["doc", "tie", "line"]
     counts = docs.sparkSession.sparkContext.broadcast(_rarity(rows))  # a sketch of fixed size
-    index = _index(rows, counts)
+    index = _index(rows, counts, min_words)
     pairs = stored(_pairs(index, FIRST_PARTNERS))
     found = stored(_verified(rows, pairs.where("doc2 IS NOT NULL")))
     by_line = found.groupBy(*line).agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
@@ -333,16 +336,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, removed, text) of each row: the numbers of its removed lines from 0, and the text without them.
 
-    A null text has no line, is returned as null, and an empty one has an empty line. Lines of under MIN_WORDS
-    different words stay. A null id counts as the least. Rows that repeat an id with other texts follow each other
+    A null text has no line, is returned as null, and an empty one has an empty line. Lines of under min_words
+    different words stay; with 1 every line that has a word takes part. A null id counts as the least. Rows that repeat an id with other texts follow each other
     by checksum; rows that repeat both are one document, each returned. Without keep_text there is no text column,
     and texts are not joined.
     """
     data = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    gone = removed_lines(docs, id_col, text_col).groupBy("doc", "tie").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    gone = removed_lines(docs, id_col, text_col, min_words).groupBy("doc", "tie").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST))
     text = F.col(text_col).cast("string")
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")

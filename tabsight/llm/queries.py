@@ -39,7 +39,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = lines.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, min_words=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
 
 

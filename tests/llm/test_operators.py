@@ -418,3 +418,23 @@ def test_a_long_unseen_token_costs_by_its_length():
     z = np.zeros(2, np.int64)
     short, long = m.token_bits([junk[:2_000], junk], z, z, z)
     assert np.isfinite(long) and short > 2_000 and long > 5 * short
+
+
+def test_lines_of_one_and_two_words_are_removed(spark, tmp_path):
+    from tabsight.llm import queries
+
+    r = random.Random(3)
+    short = ["Read more", "more READ", "Share this", "share", "Share share", "this", "0", "", "  ", "read that"]
+    texts = {i: "\n".join(r.choice([*short, f"line number {i} of its own", "one more line like others"]) for _ in range(8)) for i in range(40)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, expected = [], {}
+    for d in sorted(texts):
+        expected[d] = []
+        for i, line in enumerate(texts[d].split("\n")):
+            s = frozenset(brute.WORD.findall(brute.low(line)))
+            if s and any(5 * len(s & t) >= 4 * len(s | t) for t in seen):
+                expected[d].append(i)
+            if s:
+                seen.append(s)
+    got = {x["doc_id"]: x["removed_lines"] for x in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: ",".join(map(str, v)) for d, v in expected.items()}
