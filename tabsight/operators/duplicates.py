@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,23 +20,42 @@ def name_groups(df: DataFrame, column: str) -> DataFrame:
     return keyed.groupBy("key").agg(F.count("*").alias("n_values"), F.sum("c").alias("n_rows")).where("n_values > 1")
 
 
+@lru_cache(1 << 16)
+def _letters(name: str) -> tuple[Counter, int]:
+    """The letters of the words, sorted and joined by one blank, as token_sort_ratio compares them; and how many."""
+    joined = " ".join(name.split())
+    return Counter(joined), len(joined)
+
+
+def _most_ratio(a: str, b: str) -> float:
+    """A bound on token_sort_ratio: a common subsequence has no more letters than the two have in common in any order."""
+    (x, m), (y, n) = _letters(a), _letters(b)
+    return 200.0 * sum(min(c, y[k]) for k, c in x.items() if k in y) / (m + n) if m + n else 100.0
+
+
 def similar_names(df: DataFrame, column: str, least: float = 92.0, most_in_block: int = 400) -> DataFrame:
     """(name_a, name_b, similarity): different names of eight characters and two words or more, alike to 92 of 100.
 
-    Names meet in blocks (first character, length by fours); blocks of over 400 names are cut finer by their third
-    character and last one. Names that differ in digits only are not duplicates. Pairs are compared in Arrow batches.
+    Names meet in blocks (first character, length by fours), whatever their size; the pairs of a block of over 400 names
+    are dealt over a grid of tasks. Names that differ in digits only are not duplicates. Pairs whose letters alone, in
+    any order, rule the similarity out are not compared; the others are, in Arrow batches.
     """
     values = df.where(F.col(column).isNotNull()).select(text.person_key(F.col(column)).alias("v")).distinct().where((F.length("v") >= 8) & F.contains("v", F.lit(" ")))
     block = values.withColumn("block", F.concat(F.substring("v", 1, 1), F.lit(":"), F.floor(F.length("v") / 4).cast("string")))
     size = block.groupBy("block").agg(F.count("*").alias("n"))
-    block = block.join(size, "block").withColumn("block", F.when(F.col("n") > most_in_block, F.concat("block", F.lit(":"), F.substring("v", 3, 1), F.substring("v", -1, 1))).otherwise(F.col("block"))).drop("n")
-    a, b = block.select("block", F.col("v").alias("name_a")), block.select("block", F.col("v").alias("name_b"))
+    block = block.join(size, "block").withColumn("ways", F.ceil(F.col("n") / most_in_block).cast("int")).withColumn("part", F.pmod(F.xxhash64("v"), F.col("ways")).cast("int"))
+    block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    block = block.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "v")
+    a, b = block.withColumnsRenamed({"v": "name_a", "part": "part_a"}), block.withColumnsRenamed({"v": "name_b", "part": "part_b"})
     near = (F.length("name_a") * 1.0 / F.length("name_b")).between(0.85, 1.18)
-    pairs = a.join(b, "block").where((F.col("name_a") < F.col("name_b")) & near & ~text.digits_only_differ(F.col("name_a"), F.col("name_b"))).select("name_a", "name_b")
+    pairs = a.join(b, ["block", "low", "high"]).where(((F.col("low") == F.col("high")) | (F.col("part_a") != F.col("part_b"))) & (F.col("name_a") < F.col("name_b")) & near & ~text.digits_only_differ(F.col("name_a"), F.col("name_b"))).select("name_a", "name_b")
 
     def compare(batches):
         for batch in batches:
-            r = [token_sort_ratio(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(r, pa.float64())], ["name_a", "name_b", "similarity"])
+            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            possible = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if _most_ratio(p, q) >= least]
+            r = [token_sort_ratio(x[i], y[i]) for i in possible]
+            pick = pa.array(possible, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(r, pa.float64())], ["name_a", "name_b", "similarity"])
 
     return pairs.mapInArrow(compare, "name_a string, name_b string, similarity double").where(F.col("similarity") >= least)

@@ -229,3 +229,19 @@ def test_streams(spark, tmp_path):
     q = w.writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == events.count()
+
+
+def test_similar_names_do_not_depend_on_the_size_of_the_block(spark):
+    import random
+    from itertools import combinations
+
+    from tabsight.functions.similarity import token_sort_ratio
+    from tabsight.operators import duplicates
+
+    r = random.Random(4)
+    names = sorted({" ".join(["a" + "".join(r.choice("abcdefgh") for _ in range(6)), "maria oliveira pereira", r.choice(["souza", "sousa", "souzo"])]) for _ in range(450)})
+    expected = {(a, b) for a, b in combinations(names, 2) if token_sort_ratio(a, b) >= 92 and len(a) // 4 == len(b) // 4}
+    table = spark.createDataFrame([(x,) for x in names], "name string")
+    for most in (400, 50, 10_000):
+        got = [(x["name_a"], x["name_b"]) for x in duplicates.similar_names(table, "name", most_in_block=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
