@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, stored
 
 SYMBOLS = "#*$%&|<>"
-#: Steps of the sketch's grid for each measure: a value v falls in cell floor(v * steps), at most TOP.
+#: The last cell in the operator's SQL form; the sketches here are open at the top. A value v falls in cell
+#: floor(v * steps), so the two agree while no average word has over TOP / 100 characters.
 TOP = 4000
 
 
@@ -88,11 +89,11 @@ def _value(name: str) -> Column:
 def sketches(measured: DataFrame, group: list[str]) -> DataFrame:
     """A quantile sketch per group and measure: (*group, measure, cell, n), counts over a fixed grid of cells.
 
-    Grid counts merge by adding, so partial sketches are built before the shuffle and a group of any size ends as at
-    most TOP + 1 rows a measure; quantiles are exact to one cell, and reruns agree.
+    Grid counts merge by adding, so partial sketches are built before the shuffle and a group of any size ends as a row
+    for each cell that occurs, however large the values; quantiles are exact to one cell, and reruns agree.
     """
     names = {r.measure: r.steps for r in RULES}
-    cells = F.array(*(F.struct(F.lit(m).alias("measure"), F.least(F.floor(_value(m) * k), F.lit(TOP)).cast("int").alias("cell")) for m, k in names.items()))
+    cells = F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(_value(m) * k).cast("long").alias("cell")) for m, k in names.items()))
     # Documents that the base rules reject do not shape the thresholds.
     return measured.where(~F.col("base_failed")).select(*group, F.explode(cells).alias("x")).groupBy(*group, "x.measure", "x.cell").agg(F.count("*").alias("n"))
 

@@ -438,3 +438,12 @@ def test_lines_of_one_and_two_words_are_removed(spark, tmp_path):
                 seen.append(s)
     got = {x["doc_id"]: x["removed_lines"] for x in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {d: ",".join(map(str, v)) for d, v in expected.items()}
+
+
+def test_fences_follow_a_group_of_long_words(spark):
+    r = random.Random(8)
+    line = lambda: "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(r.randint(45, 75)))
+    rows = [(i, "\n".join(line() for _ in range(14)), "zh", "web") for i in range(60)]
+    rows.append((60, "\n".join(line() * 8 for _ in range(14)), "zh", "web"))
+    got = {x["doc_id"]: x["kept"] for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[i] for i in range(60)) >= 55 and not got[60]
