@@ -1,24 +1,15 @@
 """Operator 10: language-model scoring by logistic context mixing, beside an add-one unigram base.
 
-The model codes a lower-cased text: its class (one of CLASSES, by its bytes' frequencies), then token by token whether
-the text ends, and else the token. A token seen in the class's training texts has its discounted share of them; the
-rest of the probability, the class's escape, goes to tokens seen in other classes only and, for the most part, to the
-spelling of any token by its bits. Whole tokens are counted exactly, over all training documents, as a hashed table of
-any fixed size would drown in them. A bit of the spelling has several predictors, each the counts of zeros and ones
-after a hashed context in all types of training tokens: the last one to three bytes in the class, the last four in all
-texts, all bytes so far in all texts and in the class. Their stretched probabilities are mixed by weights of a set that a gate (bit, and how often the long contexts were seen)
-selects; an adaptive map refines the result. Weights and map are learned online, bit after bit in small batches, each
-type being left out of the counts that predict it.
-
-Contexts stay within a token, so a token's bits are worked out once however often it occurs. Documents stand in blocks
-of bounded size: a block's distinct tokens, not its text, go through the shuffles, dealt into buckets by their hash, so
-a frequent token counts once a block. A bucket's task sees its tokens alone, a block's task that block alone.
+The model is in ``contextmix``. Documents stand in blocks of bounded size, written once: a block's distinct tokens, not its
+text, go through the shuffles. Tokens are counted exactly: each block's are dealt into buckets by their hash, so a frequent
+token counts once a block, and a bucket's task sees its tokens alone. Each training task learns online from its blocks, all
+their training texts; the tasks' counts are added up, and their weights and refinements are averaged by what each learned
+from. A block's task then scores that block alone.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,207 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, stored
+from .contextmix import CLASSES, SLOTS, Code, Learner, Model, Tally, cells, refinement
 
-#: Text bytes of a block; slots (log2) of the counts of each context; token types that the weights are learned from (a
-#: seeded sample), and draws from them; classes of texts, and the training documents that their centres are fitted on.
-#: All are fixed bounds.
-BLOCK, TABLES, SAMPLE, DRAWS, CLASSES, CENTRED = 12 << 20, (19, 20, 20, 20, 21, 21), 40_000, 100_000, 8, 3000
-END = b""  # the end of a text as a token; no word is empty
-_BASE = 0x9E3779B97F4A7C15
-_OFFSET = np.concatenate([[0], np.cumsum([1 << k for k in TABLES])]).astype(np.int64)
+#: Text bytes of a block; blocks that a training task takes where there are more than the cluster has cores.
+BLOCK, BLOCKS_A_TASK = 12 << 20, 32
+#: Counts that are added up together; weights are added up as whole numbers of 2**-_SHIFT, so that their order is of no matter.
+_CUT, _SHIFT = 1 << 18, 20
 _LOG10_2 = float(np.log10(2))
+_KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+_BLOCK = {"block": "long", "sizes": "array<int>", "bytes": "array<long>", "classes": "binary", "training": "binary", "at": "binary", "words": "array<binary>", "kinds": "binary", "counts": "binary"}
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _shares(texts: list[bytes]) -> np.ndarray:
-    """Square roots of the shares of the bytes of each text, A-Z lowered."""
-    n = np.stack([np.bincount(np.frombuffer(x.lower(), np.uint8), minlength=256) for x in texts]) if texts else np.zeros((0, 256))
-    return np.sqrt(n / np.maximum(n.sum(1, keepdims=True), 1)).astype(np.float32)
-
-
-def centres(x: np.ndarray, seed: int = 1) -> np.ndarray:
-    """CLASSES centres of texts' _shares by k-means: the best of some runs with spread-out seeds."""
-    if not len(x):
-        return np.zeros((CLASSES, 256), np.float32)
-    rng = np.random.default_rng(seed)
-    best, out = np.inf, None
-    for _ in range(6):
-        at = [int(rng.integers(len(x)))]
-        for _ in range(CLASSES - 1):
-            d = np.min([((x - x[i]) ** 2).sum(1) for i in at], 0).astype(np.float64)
-            at.append(int(rng.choice(len(x), p=d / d.sum())) if d.sum() else 0)
-        c = x[at]
-        for _ in range(15):
-            d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
-            near = d.argmin(1)
-            c = np.stack([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(CLASSES)])
-        if (cost := float(d.min(1).sum())) < best:
-            best, out = cost, c
-    return out
-
-
-def classes(texts: list[bytes], c: np.ndarray) -> np.ndarray:
-    return (-2 * _shares(texts) @ c.T + (c**2).sum(1)).argmin(1)
-
-
-class Contexts:
-    """The bytes of some tokens, each closed by a blank, and the hash of each context at each byte; their texts' classes."""
-
-    def __init__(self, words: list[bytes], of: np.ndarray):
-        self.n = len(words)
-        length = np.fromiter(map(len, words), np.int64, self.n) + 1
-        self.byte = np.frombuffer(b" ".join(words) + b" " if words else b"", np.uint8).astype(np.int64)
-        first = np.cumsum(length) - length
-        self.owner = np.repeat(np.arange(self.n), length)
-        self.first = first
-        place = np.arange(len(self.byte)) - first[self.owner]
-        before = [np.where(place >= k, np.concatenate([np.zeros(k, np.int64), self.byte[: max(0, len(self.byte) - k)]])[: len(self.byte)], 0).astype(np.uint64) for k in range(1, 5)]
-        size = len(self.byte) + 1
-        power, inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((self.byte.astype(np.uint64) + np.uint64(1)) * power[: len(self.byte)], dtype=np.uint64)])
-        at = first[self.owner]
-        prefix = (sums[np.arange(len(self.byte))] - sums[at]) * inverse[at]
-        two = before[0] | before[1] << np.uint64(8)
-        three = two | before[2] << np.uint64(16)
-        four = three | before[3] << np.uint64(24)
-        kind = (of[self.owner].astype(np.uint64) + np.uint64(1)) << np.uint64(48)
-        self.hash = [kind >> np.uint64(40) | before[0], *map(self._mix, (kind | two, kind | three | np.uint64(1 << 40), four | np.uint64(2 << 40), prefix, prefix ^ kind))]
-
-    @staticmethod
-    def _mix(h: np.ndarray) -> np.ndarray:
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
-
-    def bits(self):
-        """For each of the eight bits of all bytes: (bit number, bit, slot in each table)."""
-        for k in range(8):
-            node = (1 << k) | (self.byte >> (8 - k))
-            slots = [((self.hash[0].astype(np.int64) << 8) | node) & ((1 << TABLES[0]) - 1)]
-            for h, size in zip(self.hash[1:], TABLES[1:], strict=True):
-                slots.append((((h + node.astype(np.uint64)) * np.uint64(_BASE)) >> np.uint64(64 - size)).astype(np.int64))
-            yield k, self.byte >> (7 - k) & 1, slots
-
-
-def count_bits(words: list[bytes], of: np.ndarray, into: np.ndarray) -> None:
-    """Adds the tokens' bits to ``into`` (2, slots): zeros and ones."""
-    c = Contexts(words, of)
-    for _, bit, slots in c.bits():
-        for table, slot in enumerate(slots):
-            part = into[:, _OFFSET[table] : _OFFSET[table + 1]]
-            for value in (0, 1):
-                np.add.at(part[value], slot[bit == value], 1)
-
-
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
-
-
-_SETS = 8 * 5 * 4 * 3
-
-
-@dataclass
-class Mixer:
-    """``stretched``, ``seen``: of each slot. ``weights``: (gate, predictors + 1). ``refined``: (bit, 33) probabilities."""
-
-    stretched: np.ndarray
-    seen: np.ndarray
-    weights: np.ndarray
-    refined: np.ndarray
-    end_bits: float = 0.0
-    more_bits: float = 0.0
-    #: Of each class: discount, escape, share of the escape for tokens of other classes, training tokens. All tokens.
-    shares: np.ndarray | None = None
-    whole: float = 1.0
-
-    @staticmethod
-    def inputs(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = zeros + ones
-        # A context that always went one way is the surer the longer it did.
-        return _stretch((ones + 0.3) / (total + 0.6)), np.searchsorted([1, 3, 10, 100], total, "right")
-
-    @staticmethod
-    def gate(k: int, seen: list[np.ndarray]) -> np.ndarray:
-        return ((k * 5 + seen[5]) * 4 + np.minimum(seen[4], 3)) * 3 + np.minimum(seen[3], 2)
-
-    def cell(self, k: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.clip(x, -7.999, 7.999) * 2 + 16
-        low = at.astype(np.int64)
-        return low, at - low
-
-    def predict(self, k: int, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of a one, before and after the refinement. x: (n, predictors + 1)."""
-        dot = np.einsum("ij,ij->i", x, self.weights[gate])
-        low, part = self.cell(k, dot)
-        r = self.refined[k]
-        return dot, np.clip(0.5 * _squash(dot) + 0.5 * (r[low] * (1 - part) + r[np.minimum(low + 1, 32)] * part), 1e-6, 1 - 1e-6)
-
-    def token_bits(self, words: list[bytes], of: np.ndarray, own: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Bits of each token in a text of its class; own, total: its training occurrences there and in all.
-
-        END costs the bits of ending, any other first those of going on."""
-        discount, escape, share, n = self.shares[:, of]
-        known = np.maximum(own - discount, 0) / np.maximum(n, 1)
-        elsewhere = (total - own) / np.maximum(self.whole - n, 1)
-        with np.errstate(divide="ignore"):
-            seen, spelled = np.log2(known + escape * share * elsewhere), np.log2(escape * (1 - share)) - self.spelling_bits(words, of)
-        return np.where([w == END for w in words], self.end_bits, self.more_bits - np.logaddexp2(seen, spelled))
-
-    def spelling_bits(self, words: list[bytes], of: np.ndarray) -> np.ndarray:
-        """Bits of the spelling of each token in a text of its class."""
-        c = Contexts(words, of)
-        cost = np.zeros(len(c.byte))
-        x = np.ones((len(c.byte), len(TABLES) + 1), np.float32)
-        for k, bit, slots in c.bits():
-            seen = [None] * len(slots)
-            for table, slot in enumerate(slots):
-                at = slot + _OFFSET[table]
-                x[:, table] = self.stretched[at]
-                if table >= 3:
-                    seen[table] = self.seen[at]
-            _, p = self.predict(k, x, self.gate(k, seen))
-            cost -= np.log2(np.where(bit == 1, p, 1 - p))
-        return np.add.reduceat(cost, c.first) if len(words) else np.zeros(0)
-
-
-def learn(counts: np.ndarray, words: list[bytes], of: np.ndarray, seed: int = 1) -> Mixer:
-    """counts: (2, slots). words, of: types and their class."""
-    stretched, seen = Mixer.inputs(counts[0].astype(np.float32), counts[1].astype(np.float32))
-    m = Mixer(stretched.astype(np.float32), seen.astype(np.int8), np.full((_SETS, len(TABLES) + 1), 0.25), np.tile(_squash((np.arange(33) - 16) / 2), (8, 1)))
-    m.weights[:, -1] = 0.0
-    if not words:
-        return m
-    rng = np.random.default_rng(seed)
-    drawn = rng.integers(0, len(words), DRAWS)
-    power = np.ones_like(m.weights)
-    for lo in range(0, DRAWS, 300):
-        c = Contexts([words[i] for i in drawn[lo : lo + 300]], of[drawn[lo : lo + 300]])
-        for k, bit, slots in c.bits():
-            x, seen = np.ones((len(bit), len(TABLES) + 1)), [None] * len(slots)
-            for table, slot in enumerate(slots):
-                at = slot + _OFFSET[table]
-                x[:, table], seen[table] = Mixer.inputs(np.maximum(counts[0, at] - (bit == 0), 0), np.maximum(counts[1, at] - (bit == 1), 0))
-            gate = m.gate(k, seen)
-            dot, _ = m.predict(k, x, gate)
-            error = bit - _squash(dot)
-            n = np.bincount(gate, minlength=_SETS)[:, None]
-            step = np.stack([np.bincount(gate, error * x[:, j], _SETS) for j in range(x.shape[1])], 1) / np.maximum(n, 1)
-            power = np.where(n > 0, 0.95 * power + 0.05 * step**2, power)
-            m.weights += 0.01 * step / np.sqrt(power + 1e-4)
-            low, part = m.cell(k, dot)
-            for at, share in ((low, 1 - part), (np.minimum(low + 1, 32), part)):
-                hits, ones = np.bincount(at, share, 33), np.bincount(at, share * bit, 33)
-                m.refined[k] += np.where(hits > 0, (ones / np.maximum(hits, 1e-9) - m.refined[k]) * np.minimum(0.5, 0.02 * hits), 0)
-    np.clip(m.refined, 1e-5, 1 - 1e-5, out=m.refined)
-    return m
-
-
 def _zip(x: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True)
 
@@ -236,249 +41,201 @@ def _unzip(x: bytes, kind: str, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+def _rows(batch: pa.RecordBatch, *names: str):
+    return zip(*(batch.column(k).to_pylist() for k in names), strict=True)
+
+
 def blocks(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in blocks: (block, ids, sizes, bytes, at, words, classes, counts). at: the place of each token, text
-    after text, among the block's distinct (token, class of its text); counts: how often each occurs in training texts."""
+    """Documents in blocks: a Tally's (sizes, classes, at, words, kinds) with the ids, bytes and training mark of each text,
+    and how often each token occurs in training texts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    taught = rows.where("training")
-    n = taught.count()
 
-    def bytes_of(batches):
-        for batch in batches:
-            found = [x for x in as_bytes(batch.column(0)) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in _shares(found)], pa.binary())], ["x"])
-
-    few = taught.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, CENTRED / max(n, 1)) * (1 << 30))).select("text").mapInArrow(bytes_of, "x binary").limit(2 * CENTRED)
-    middle = centres(np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in few.collect())), np.float32).reshape(-1, 256))
-    kind = f"block long, ids array<{dict(rows.dtypes)['doc_id']}>, sizes array<int>, bytes array<long>, at binary, words array<binary>, classes binary, counts binary"
-    id_type: list[pa.DataType] = []
-
-    class Block:
-        def __init__(self) -> None:
-            self.index: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
-            self.words: list[bytes] = []
-            self.ids, self.train, self.at, self.bytes, self.size = [], [], [], [], 0
-
-        def add(self, doc, text: bytes, z: int, taught: bool) -> None:
-            known, new = self.index[z], self.words
-            found = []
-            for w in [*tokens(text), END]:
-                i = known.get(w)
-                if i is None:
-                    i = known[w] = len(new)
-                    new.append(w)
-                found.append(i)
-            self.at.append(np.array(found, np.uint32))
-            self.ids.append(doc)
-            self.train.append(taught)
-            self.bytes.append(sum(map(len, tokens(text))) + len(found))
-            self.size += len(text)
-
-        def batch(self, number: int) -> pa.RecordBatch:
-            flat, sizes = np.concatenate(self.at), [len(x) for x in self.at]
-            counts = np.bincount(flat[np.repeat(self.train, sizes)], minlength=len(self.words)).astype(np.uint32)
-            z = np.empty(len(self.words), np.uint8)
-            for k, known in enumerate(self.index):
-                z[np.fromiter(known.values(), np.int64, len(known))] = k
-            kinds = [pa.int64(), pa.list_(id_type[0]), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
-            values = [number, self.ids, sizes, self.bytes, _zip(flat), self.words, z.tobytes(), counts.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "ids", "sizes", "bytes", "at", "words", "classes", "counts"])
+    def batch(number: int, t: Tally, ids: list, id_type: pa.DataType, taught: list[bool], size: list[int]) -> pa.RecordBatch:
+        counts = np.bincount(t.at[np.repeat(taught, t.sizes)], minlength=len(t.words)).astype(np.uint32)
+        values = [number, t.sizes, size, bytes(t.classes), bytes(taught), _zip(t.at.astype(np.uint32)), t.words, bytes(t.kinds), counts.tobytes()]
+        columns = [pa.array([v], _KINDS[kind]) for v, kind in zip(values, _BLOCK.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(id_type)), *columns], ["ids", *_BLOCK])
 
     def run(batches):
-        task, number, held = TaskContext.get().partitionId(), 0, Block()
-        for batch in batches:
-            id_type[:] = [batch.column(0).type]
-            texts = as_bytes(batch.column(1))
-            kinds = np.concatenate([classes(texts[i : i + 500], middle) for i in range(0, len(texts), 500)]).tolist() if texts else []
-            for doc, text, z, taught in zip(batch.column(0).to_pylist(), texts, kinds, batch.column(2).to_pylist(), strict=True):
-                held.add(doc, text, z, taught)
-                if held.size >= BLOCK or len(held.ids) >= 100_000:
-                    yield held.batch(task << 32 | number)
-                    held, number = Block(), number + 1
-        if held.ids:
-            yield held.batch(task << 32 | number)
-
-    return rows.mapInArrow(run, kind)
+        task, number = TaskContext.get().partitionId(), 0
+        t, ids, taught, size, held, id_type = Tally(), [], [], [], 0, None
+        for found in batches:
+            id_type = found.column(0).type
+            for doc, text, mark in zip(found.column(0).to_pylist(), as_bytes(found.column(1)), found.column(2).to_pylist(), strict=True):
+                words = tokens(text)
+                t.add(words)
+                ids.append(doc)
+                taught.append(mark)
+                size.append(sum(map(len, words)) + len(words) + 1)
+                held += len(text)
+                if held >= BLOCK or len(ids) >= 100_000:
+                    t.close(pairs=False)
+                    yield batch(task << 32 | number, t, ids, id_type, taught, size)
+                    t, ids, taught, size, held, number = Tally(), [], [], [], 0, number + 1
+        if ids:
+            t.close(pairs=False)
+            yield batch(task << 32 | number, t, ids, id_type, taught, size)
+
+    kind = ", ".join(f"{k} {v}" for k, v in _BLOCK.items())
+    return rows.mapInArrow(run, f"ids array<{dict(rows.dtypes)['doc_id']}>, {kind}")
+
+
+def _tally(sizes: list[int], classes: bytes, at: bytes, words: list[bytes], kinds: bytes) -> Tally:
+    t = Tally()
+    t.sizes, t.classes, t.words, t.kinds = np.array(sizes, np.int64), list(classes), words, list(kinds)
+    t.at = _unzip(at, "<u4", int(t.sizes.sum())).astype(np.int64)
+    t.pair_up()
+    return t
 
 
 def vocabulary(block: DataFrame) -> DataFrame:
-    """A row a bucket: (bucket, words, classes, counts, totals, lead, places). Each (token, class) of the bucket with its
-    occurrences in training texts, the token's in all classes, whether it is the token's first row, and for each block
-    (block, n, i, v): its distinct tokens i that are the bucket's v."""
-    n = block.count()
-    buckets = max(8, int(4 * n**0.75))
+    """A row a bucket: (bucket, n, types, totals, places). n, types: its tokens and different tokens in training texts;
+    totals: occurrences of each; for each block (block, n, i, v): its tokens i are the bucket's v."""
+    n_blocks = block.count()
+    buckets = max(8, int(4 * n_blocks**0.75))
 
     def deal(batches):
         for batch in batches:
-            for number, words, z, counts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                z, counts = np.frombuffer(z, np.uint8), np.frombuffer(counts, np.uint32)
+            for number, words, counts in _rows(batch, "block", "words", "counts"):
+                counts = np.frombuffer(counts, np.uint32)
                 bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in range(buckets):
                     i = order[edge[b] : edge[b + 1]]
                     if len(i):
-                        values = [b, number, [words[k] for k in i], z[i].tobytes(), counts[i].tobytes(), _zip(i.astype(np.uint32))]
-                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+                        values = [b, number, [words[k] for k in i], counts[i].tobytes(), _zip(i.astype(np.uint32))]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, dealt, strict=True)], ["bucket", "block", "words", "counts", "i"])
 
-    names = ["bucket", "block", "words", "classes", "counts", "i"]
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
+    dealt = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+    out = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32()), ("i", pa.binary()), ("v", pa.binary())]))]
 
     def merge(batches):
         held: dict[int, tuple] = {}
         for batch in batches:
-            for b, number, words, z, counts, i in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for b, number, words, counts, i in _rows(batch, "bucket", "block", "words", "counts", "i"):
                 index, totals, places = held.setdefault(b, ({}, [], []))
-                v = np.fromiter((index.setdefault((w, k), len(index)) for w, k in zip(words, z, strict=True)), np.uint32, len(words))
+                v = np.fromiter((index.setdefault(w, len(index)) for w in words), np.uint32, len(words))
                 totals.append((v, np.frombuffer(counts, np.uint32)))
                 places.append({"block": number, "n": len(v), "i": i, "v": _zip(v)})
         for b, (index, totals, places) in held.items():
             c = np.zeros(len(index), np.int64)
             for v, counts in totals:
-                np.add.at(c, v, counts)
-            keys = sorted(index, key=lambda k: k)
-            order = np.fromiter((index[k] for k in keys), np.int64, len(keys))
-            new = np.fromiter((k == 0 or keys[k][0] != keys[k - 1][0] for k in range(len(keys))), bool, len(keys))
-            group = np.cumsum(new) - 1
-            total, lead = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
-            total[order] = np.bincount(group, c[order]).astype(np.int64)[group]
-            lead[order] = new
-            values = [b, [w for w, _ in index], bytes(z for _, z in index), c.tobytes(), total.tobytes(), lead.tobytes(), places]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, out, strict=True)], ["bucket", "words", "classes", "counts", "totals", "lead", "places"])
-
-    out = [pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32()), ("i", pa.binary()), ("v", pa.binary())]))]
-    dealt = block.select("block", "words", "classes", "counts").mapInArrow(deal, "bucket int, block long, words array<binary>, classes binary, counts binary, i binary")
-    return dealt.repartition("bucket").mapInArrow(merge, "bucket int, words array<binary>, classes binary, counts binary, totals binary, lead binary, places array<struct<block:long,n:int,i:binary,v:binary>>")
-
-
-def _types(batch: pa.RecordBatch):
-    """(words, classes, counts, totals, lead) of each row of a vocabulary."""
-    for words, z, c, t, lead in zip(*(batch.column(k).to_pylist() for k in ("words", "classes", "counts", "totals", "lead")), strict=True):
-        yield words, np.frombuffer(z, np.uint8).astype(np.int64), np.frombuffer(c, np.int64), np.frombuffer(t, np.int64), np.frombuffer(lead, bool)
-
-
-def _tables(vocabulary: DataFrame) -> np.ndarray:
-    """The counts of zeros and ones after each context, over all training tokens: partial tables of fixed size are
-    added up piece by piece, then collected (one table)."""
-    cut = 1 << 17
-    width = int(_OFFSET[-1])
-
-    def partial(batches):
-        table = np.zeros((2, width), np.int64)
+                c += np.bincount(v, counts, len(index)).astype(np.int64)
+            values = [b, int(c.sum()), int((c > 0).sum()), c.tobytes(), places]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, out, strict=True)], ["bucket", "n", "types", "totals", "places"])
+
+    rows = block.select("block", "words", "counts").mapInArrow(deal, "bucket int, block long, words array<binary>, counts binary, i binary")
+    return rows.repartition("bucket").mapInArrow(merge, "bucket int, n long, types long, totals binary, places array<struct<block:long,n:int,i:binary,v:binary>>")
+
+
+def frequencies(block: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each byte is coded in the training texts, and how many of them are of each class."""
+
+    def run(batches):
+        n = np.zeros(256 + CLASSES, np.int64)
+        for batch in batches:
+            for words, counts, classes, taught in _rows(batch, "words", "counts", "classes", "training"):
+                counts = np.frombuffer(counts, np.uint32).astype(np.int64)
+                size = np.fromiter(map(len, words), np.int64, len(words))
+                n[:256] += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(counts, size), 256).astype(np.int64)
+                n[32] += counts[size > 0].sum()
+                n[10] += counts[size == 0].sum()
+                n[256:] += np.bincount(np.frombuffer(classes, np.uint8)[np.frombuffer(taught, bool)], minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["at", "n"])
+
+    n = np.zeros(256 + CLASSES, np.int64)
+    for r in block.select("words", "counts", "classes", "training").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a byte and class
+        n[r["at"]] = r["n"]
+    return n[:256], n[256:]
+
+
+def train(block: DataFrame, code: Code, slots: tuple[int, ...] = SLOTS) -> Model:
+    """The model of all training texts. Reruns on the same files and cores agree; with other tasks the weights differ a little."""
+    tasks = max(block.sparkSession.sparkContext.defaultParallelism, -(-block.count() // BLOCKS_A_TASK))
+    width = 2 * sum(1 << k for k in slots)
+
+    def learn(batches):
+        found = Learner(code, slots)
         for batch in batches:
-            for words, z, c, _, _ in _types(batch):
-                pick = [i for i in np.flatnonzero(c > 0).tolist() if words[i] != END]
-                for lo in range(0, len(pick), 20_000):
-                    part = pick[lo : lo + 20_000]
-                    count_bits([words[i] for i in part], z[part], table)
-        pieces = [(i, table[:, i : i + cut]) for i in range(0, width, cut)]
-        pieces = [(i, x) for i, x in pieces if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in pieces], pa.binary())], ["at", "piece"])
+            for *tally, taught in _rows(batch, "sizes", "classes", "at", "words", "kinds", "training"):
+                if any(taught):
+                    found.learn(_tally(*tally), np.frombuffer(taught, bool))
+        rest = np.concatenate([x.ravel() for x in (found.used, found.sums, found.hits)])
+        pieces = [(i, found.counts[i : i + _CUT].astype(np.int64)) for i in range(0, width, _CUT) if found.counts[i : i + _CUT].any()]
+        pieces += [(width + i, np.round(rest[i : i + 1024] * (1 << _SHIFT)).astype(np.int64)) for i in range(0, len(rest), 1024)]
+        for at, x in pieces:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([_zip(x)], pa.binary())], ["at", "n", "piece"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(piece), np.int64)
+            for at, n, piece in _rows(batch, "at", "n", "piece"):
+                x = _unzip(piece, "<i8", n)
                 sums[at] = sums[at] + x if at in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["at", "piece"])
-
-    kind = "at long, piece binary"
-    out = np.zeros((2, width), np.int64)
-    for r in vocabulary.drop("places").mapInArrow(partial, kind).repartition("at").mapInArrow(add, kind).toLocalIterator():
-        piece = np.frombuffer(zlib.decompress(r["piece"]), np.int64).reshape(2, -1)
-        out[:, r["at"] : r["at"] + piece.shape[1]] = piece
-    return out
-
+        for at, x in sums.items():
+            x = cells(x) if at < width else x
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([_zip(x)], pa.binary())], ["at", "n", "piece"])
+
+    kind = "at long, n long, piece binary"
+    m = Model(code, slots)
+    start = Learner(code, (4,) * len(slots))
+    parts = [start.used, start.sums, start.hits]
+    rest = np.zeros(sum(x.size for x in parts))
+    taught = block.select("sizes", "classes", "at", "words", "kinds", "training").coalesce(tasks).mapInArrow(learn, kind)
+    for r in taught.repartition("at").mapInArrow(add, kind).toLocalIterator():  # tables of fixed size
+        if r["at"] < width:
+            m.cells[r["at"] // 2 : r["at"] // 2 + r["n"]] = _unzip(r["piece"], "<i2", r["n"])
+        else:
+            rest[r["at"] - width : r["at"] - width + r["n"]] = _unzip(r["piece"], "<i8", r["n"]) / (1 << _SHIFT)
+    used, sums, hits = (x.reshape(p.shape) for x, p in zip(np.split(rest, np.cumsum([p.size for p in parts])[:-1]), parts, strict=True))
+    m.weights = np.where(used > 0, sums / np.maximum(used, 1e-9), m.weights).astype(np.float32)
+    m.refined = refinement(hits)
+    return m
 
-def fit(vocabulary: DataFrame) -> tuple[Mixer, int, int]:
-    """(mixer, N, V) from a vocabulary."""
 
-    def statistics(batches):
-        rows = np.zeros((CLASSES + 1, 5), np.int64)  # of each class: tokens, types, seen once, twice, types of other classes too; last: ends, different tokens
-        for batch in batches:
-            for words, z, c, total, lead in _types(batch):
-                end = np.fromiter((w == END for w in words), bool, len(words))
-                rows[CLASSES, 0] += c[end].sum()
-                rows[CLASSES, 1] += (lead & (total > 0)).sum()
-                for k, x in enumerate((c, c > 0, c == 1, c == 2, (c > 0) & (total > c))):
-                    np.add.at(rows[:CLASSES, k], z[~end], x[~end])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES + 1)), *(pa.array(x) for x in rows.T)], ["z", "n", "v", "one", "two", "shared"])
-
-    types = vocabulary.drop("places")
-    sums = types.mapInArrow(statistics, "z long, n long, v long, one long, two long, shared long").groupBy("z").agg(*(F.sum(c).alias(c) for c in ("n", "v", "one", "two", "shared"))).collect()
-    by = {r["z"]: r for r in sums}
-    ends, n_types = (by[CLASSES]["n"], by[CLASSES]["v"]) if by else (0, 0)
-    n_words = sum(r["n"] for z, r in by.items() if z < CLASSES)
-    limit = int(min(1.0, SAMPLE / max(sum(r["v"] for z, r in by.items() if z < CLASSES), 1)) * (1 << 32))
-
-    def some(batches):
-        for batch in batches:
-            found = [(w, int(z[i])) for words, z, c, _, _ in _types(batch) for i, w in enumerate(words) if c[i] and 0 < len(w) <= 200 and zlib.crc32(w, 7) < limit]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([z for _, z in found], pa.int64())], ["word", "z"])
-
-    picked = sorted((bytes(r["word"]), r["z"]) for r in types.mapInArrow(some, "word binary, z long").limit(2 * SAMPLE).collect())
-    m = learn(_tables(vocabulary), [w for w, _ in picked], np.array([z for _, z in picked], np.int64))
-    m.shares = np.tile(np.array([[0.5], [1.0], [0.5], [0.0]]), CLASSES)
-    for z, r in by.items():
-        if z < CLASSES and r["n"]:
-            discount = min(0.95, max(0.3, r["one"] / (r["one"] + 2 * r["two"] + 1)))
-            m.shares[:, z] = discount, min(1.0, discount * r["v"] / r["n"]), (r["shared"] + 1) / (r["v"] + 2), r["n"]
-    m.whole = float(n_words)
-    go = (ends + 1) / (n_words + ends + 2)
-    m.end_bits, m.more_bits = float(-np.log2(go)), float(-np.log2(1 - go))
-    return m, n_words + ends, n_types
-
-
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", slots: tuple[int, ...] = SLOTS) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row.
 
     training: a Column that says which rows are learned from; null is false. score is the model's log10 probability of
     the text; n_bytes counts the lower-cased tokens' bytes and a blank or end after each; bits_per_byte is -score in
-    bits over n_bytes. A null text is empty: its end is its only token. Repeated rows are scored, and learned from,
-    each. Without training rows every count is 0.
+    bits over n_bytes. A null text is empty: its end is its only token. A token of any length is priced byte by byte.
+    Repeated rows are scored, and learned from, each. Without training rows every count is 0 and all predictors are at a loss;
+    an empty table has no rows. A text's score counts its own contexts too if it is learned from.
     """
     block = stored(blocks(docs, training, id_col, text_col))
+    byte, kind = frequencies(block)
     vocab = stored(vocabulary(block))
-    mixer, n_all, n_types = fit(vocab)
-    model = docs.sparkSession.sparkContext.broadcast(mixer)  # tables of fixed size
+    total = vocab.agg(F.sum("n").alias("n"), F.sum("types").alias("types")).first()
+    n_all, n_types = total["n"] or 0, total["types"] or 0
+    model = docs.sparkSession.sparkContext.broadcast(train(block, Code(byte), slots))  # tables of fixed size
+    class_bits = -np.log2((kind + 1) / (kind.sum() + CLASSES))
+    whole = float(n_all + n_types + 1)
 
-    def price(batches):
+    def tell(batches):
         for batch in batches:
-            for (words, z, c, total, _), places in zip(_types(batch), batch.column("places").to_pylist(), strict=True):
-                cost, size, start = [], 0, 0
-                for i, w in enumerate(words):  # some bytes at a time, whatever the length of a token
-                    size += len(w) + 1
-                    if size > 1 << 18 or i == len(words) - 1:
-                        cost.append(model.value.token_bits(words[start : i + 1], *(x[start : i + 1] for x in (z, c, total))))
-                        size, start = 0, i + 1
-                cost = np.concatenate(cost).astype(np.float32)
+            for totals, places in _rows(batch, "totals", "places"):
+                totals = np.frombuffer(totals, np.int64)
                 for p in places:
-                    v = _unzip(p["v"], "<u4", p["n"])
-                    yield pa.RecordBatch.from_arrays([pa.array([p["block"]]), pa.array([p["n"]], pa.int32()), pa.array([p["i"]], pa.binary()), pa.array([_zip(total[v])], pa.binary()), pa.array([_zip(cost[v])], pa.binary())], ["of", "n", "i", "c", "bits"])
-
-    told = vocab.mapInArrow(price, "of long, n int, i binary, c binary, bits binary")
-    whole = float(n_all + n_types + 1)
-    id_type = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
+                    yield pa.RecordBatch.from_arrays([pa.array([p["block"]]), pa.array([p["n"]], pa.int32()), pa.array([p["i"]], pa.binary()), pa.array([_zip(totals[_unzip(p["v"], "<u4", p["n"])])], pa.binary())], ["of", "n", "i", "c"])
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        size = sum(right.column("n").to_pylist())
-        c, bits = np.zeros(size, np.int64), np.zeros(size)
-        for r in right.to_pylist():
-            i = _unzip(r["i"], "<u4", r["n"])
-            c[i], bits[i] = _unzip(r["c"], "<i8", r["n"]), _unzip(r["bits"], "<f4", r["n"])
+        c = np.zeros(sum(right.column("n").to_pylist()), np.int64)
+        for i, n, found in zip(*(right.column(k).to_pylist() for k in ("i", "n", "c")), strict=True):
+            c[_unzip(i, "<u4", n)] = _unzip(found, "<i8", n)
         base = np.log10((c + 1) / whole)
         ids, out = [], []
         for r in left.to_pylist():
-            sizes = np.array(r["sizes"], np.int64)
-            at = _unzip(r["at"], "<u4", int(sizes.sum()))
-            first = np.cumsum(sizes) - sizes
-            add_up = lambda x: np.add.reduceat(x[at], first)  # noqa: B023, E731
+            t = _tally(*(r[k] for k in ("sizes", "classes", "at", "words", "kinds")))
+            first = np.cumsum(t.sizes) - t.sizes
+            bits = model.value.text_bits(t) + class_bits[t.classes]
             ids += r["ids"]
-            out.append((sizes, add_up((c > 0).astype(np.int64)), add_up(base), add_up(-bits * _LOG10_2) - np.log10(CLASSES), np.array(r["bytes"], np.int64)))
+            out.append((t.sizes, np.add.reduceat((c > 0).astype(np.int64)[t.at], first), np.add.reduceat(base[t.at], first), -bits * _LOG10_2, np.array(r["bytes"], np.int64)))
         size, known, b, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"doc_id": pa.array(ids, left.schema.field("ids").type.value_type), "n_bytes": n, "n_tokens": size, "n_known": known, "train_tokens": np.full(len(n), n_all, np.int64), "base_score": b, "score": s, "bits_per_byte": -s / _LOG10_2 / n})
 
-    kind = f"doc_id {id_type}, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    payload = block.select("block", "ids", "sizes", "bytes", "at")
-    return payload.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(add, kind)
+    told = vocab.select("totals", "places").mapInArrow(tell, "of long, n int, i binary, c binary")
+    id_type = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
+    out = f"doc_id {id_type}, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    payload = block.select("block", "ids", "sizes", "bytes", "classes", "at", "words", "kinds")
+    return payload.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(add, out)

@@ -379,47 +379,6 @@ def test_contamination(spark, docs, empty, rows, block, monkeypatch):
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_language_model_scores(docs, empty, rows):
-    train = F.col("doc_id") % 7 != 2
-    got = lm.score(docs, train).collect()
-    assert len(got) == len(rows)
-    words = lambda t: [*brute.WORD.findall(brute.low(t or "")), ""]
-    c = Counter(w for r in rows if r[0] is not None and r[0] % 7 != 2 for w in words(r[1]))
-    n, v = sum(c.values()), len(c)
-    texts = {r[0]: r[1] for r in rows}
-    for r in got:
-        w = words(texts[r["doc_id"]])
-        base = sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(base) and r["score"] < 0 and r["bits_per_byte"] > 0
-    assert lm.score(empty, train).count() == 0
-    assert lm.score(docs, F.lit(False)).where("n_known > 0").count() == 0
-
-
-def test_spelling_model_is_a_distribution():
-    words = [b"ab", b"abc", b"b", b"ba"] * 5
-    table = np.zeros((2, int(lm._OFFSET[-1])), np.int64)
-    lm.count_bits(words, np.zeros(len(words), np.int64), table)
-    m = lm.learn(table, words, np.zeros(len(words), np.int64))
-    every = [bytes([x]) for x in range(256) if x != 32]
-    assert np.exp2(-m.spelling_bits(every, np.zeros(len(every), np.int64))).sum() <= 1.0 + 1e-6
-
-
-def test_a_long_unseen_token_costs_by_its_length():
-    words = [b"ab", b"abc", b"b", b"ba"] * 5
-    of = np.zeros(len(words), np.int64)
-    table = np.zeros((2, int(lm._OFFSET[-1])), np.int64)
-    lm.count_bits(words, of, table)
-    m = lm.learn(table, words, of)
-    m.shares = np.tile(np.array([[0.5], [0.5], [0.5], [20.0]]), lm.CLASSES)
-    m.whole = 20.0
-    r = random.Random(2)
-    junk = bytes(r.choice(b"QWXZ0123456789/+") for _ in range(20_000))
-    z = np.zeros(2, np.int64)
-    short, long = m.token_bits([junk[:2_000], junk], z, z, z)
-    assert np.isfinite(long) and short > 2_000 and long > 5 * short
-
-
 def test_lines_of_one_and_two_words_are_removed(spark, tmp_path):
     from tabsight.llm import queries
 
