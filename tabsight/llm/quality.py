@@ -10,32 +10,29 @@ from pyspark.sql import functions as F
 from .common import SPACES, stored
 
 SYMBOLS = "#*$%&|<>"
-#: The last cell in the operator's SQL form; the sketches here are open at the top. A value v falls in cell
-#: floor(v * steps), so the two agree while no average word has over TOP / 100 characters.
-TOP = 4000
+#: A group's sketch is joined by this many documents' worth, at most, of its language's and of all documents'. Sketches
+#: count in units of 1 / UNIT documents, so that shares of them stay whole numbers.
+BORROWED, UNIT = 100, 1000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure and its fence: ``median + spread * (distance from the median to the quartile on the other side) + slack``.
+    """A measure's fence, on the logarithmic cells of its sketch: ``median + spread * (distance from the median to the
+    quartile on the other side)``, or below it for a lower fence.
 
     The quartile on the side away from the fence is used, so junk, which lies beyond the fence, does not widen it even
-    where it is a quarter of a group. slack is what every group is allowed beyond its median.
+    where it is a quarter of a group. Nothing is added: on a logarithmic scale the fence is the median times a power of
+    its ratio to the quartile.
     """
 
     measure: str
-    steps: int
-    spread: float
-    slack: float
+    spread: int
     upper: bool
 
 
-RULES = (
-    Rule("symbol_share", 1000, 4.0, 0.05, True),
-    Rule("dup_line_share", 1000, 4.0, 0.40, True),
-    Rule("word_length", 100, 8.0, 3.5, True),
-    Rule("word_length", 100, 8.0, 2.5, False),
-)
+#: Cells of a sketch for a factor of e in the measure.
+STEPS = {"symbols": 50, "repeated_lines": 50, "word_length": 400}
+RULES = (Rule("symbols", 6, True), Rule("repeated_lines", 6, True), Rule("word_length", 8, True), Rule("word_length", 8, False))
 
 
 def _words(text: Column) -> Column:
@@ -57,7 +54,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "_hash": F.transform(_words(text), lambda w: F.xxhash64(w)),
             "word_chars": F.length(blank).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size(lines),
+            "_n_lines": F.size(lines),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         }
     )
@@ -76,63 +73,83 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_hash", "_window", "_sorted", "_at")
 
 
-def _value(name: str) -> Column:
-    """The measure as a double; 0 without words."""
+def _cell(name: str) -> Column:
+    """The sketch's cell of a document's measure: symbols by characters, repeated lines by other lines, characters by
+    words; one is added to both counts of the first two, as a text without symbols has some share of them too."""
     n, d = {
-        "symbol_share": (F.col("n_symbols"), F.col("word_chars")),
-        "dup_line_share": (F.col("n_dup_lines"), F.col("n_lines")),
-        "word_length": (F.col("word_chars"), F.col("n_words")),
+        "symbols": (F.col("n_symbols") + 1, F.col("word_chars") + 1),
+        "repeated_lines": (F.col("n_dup_lines") + 1, F.col("_n_lines") - F.col("n_dup_lines") + 1),
+        "word_length": (F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))),
     }[name]
-    return F.when(d > 0, n / d).otherwise(F.lit(0.0))
+    return F.floor(F.ln(n.cast("double") / d.cast("double")) * STEPS[name]).cast("long")
 
 
 def sketches(measured: DataFrame, group: list[str]) -> DataFrame:
-    """A quantile sketch per group and measure: (*group, measure, cell, n), counts over a fixed grid of cells.
+    """A quantile sketch per group and measure: (*group, measure, cell, n), counts over a logarithmic grid of cells.
 
     Grid counts merge by adding, so partial sketches are built before the shuffle and a group of any size ends as a row
     for each cell that occurs, however large the values; quantiles are exact to one cell, and reruns agree.
     """
-    names = {r.measure: r.steps for r in RULES}
-    cells = F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(_value(m) * k).cast("long").alias("cell")) for m, k in names.items()))
+    cells = F.array(*(F.struct(F.lit(m).alias("measure"), _cell(m).alias("cell")) for m in STEPS))
     # Documents that the base rules reject do not shape the thresholds.
     return measured.where(~F.col("base_failed")).select(*group, F.explode(cells).alias("x")).groupBy(*group, "x.measure", "x.cell").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """(*group, one fence column a rule): read from the merged sketches."""
+def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, q1, q2, q3) of the cells of (*by, cell, n)."""
     from pyspark.sql import Window as W
 
-    by = W.partitionBy(*group, "measure")
-    upto = F.sum("n").over(by.orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
-    ranked = sketch.withColumns({"_upto": upto, "_all": F.sum("n").over(by)})
-    quantile = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("cell")))
-    q = ranked.groupBy(*group, "measure").agg(quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(0.75).alias("q3"))
-    fences = []
-    for i, r in enumerate(RULES):
-        away = (F.col("q2") - F.col("q1")) if r.upper else (F.col("q3") - F.col("q2"))
-        fence = (F.col("q2") + (1 if r.upper else -1) * r.spread * away) / r.steps + (r.slack if r.upper else -r.slack)
-        fences.append(F.max(F.when(F.col("measure") == r.measure, fence)).alias(f"_fence{i}"))
-    return q.groupBy(*group).agg(*fences)
+    upto = F.sum("n").over(W.partitionBy(*by).orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
+    ranked = sketch.withColumns({"_upto": upto, "_all": F.sum("n").over(W.partitionBy(*by))})
+    return ranked.groupBy(*by).agg(*(F.min(F.when(4 * F.col("_upto") >= k * F.col("_all"), F.col("cell"))).alias(f"q{k}") for k in (1, 2, 3)))
+
+
+def thresholds(sketch: DataFrame, lang: str, source: str) -> DataFrame:
+    """(lang, source, one fence column a rule, in cells) from the merged sketches (lang, source, measure, cell, n).
+
+    A group borrows up to BORROWED documents' worth of its language's sketch and as much of all documents', which decide
+    where the group has few documents of its own. A quartile's distance is at least that in the language, in case a
+    group's values are all but one; if that is none, that in all documents, and one cell in the end.
+    """
+    sketch = stored(sketch)  # a row a group, measure and cell
+    wider = {"l": [lang, "measure"], "a": ["measure"]}
+    groups = sketch.select(lang, source, "measure").distinct()
+    mixed = sketch.withColumn("n", F.col("n") * UNIT)
+    found = {}
+    for k, by in wider.items():
+        whole = sketch.groupBy(*by, "cell").agg(F.sum("n").alias("n"))
+        found[k] = _quartiles(whole, by).select(*by, (F.col("q2") - F.col("q1")).alias(f"{k}_down"), (F.col("q3") - F.col("q2")).alias(f"{k}_up"))
+        size = sketch.groupBy(*by).agg(F.sum("n").alias("_size"))
+        lent = whole.join(size, by).withColumn("n", F.expr(f"(n * {UNIT} * least({BORROWED}L, _size)) div _size"))
+        mixed = mixed.unionByName(groups.join(lent, by).select(lang, source, "measure", "cell", "n"))
+    by = [lang, source, "measure"]
+    q = _quartiles(mixed.groupBy(*by, "cell").agg(F.sum("n").alias("n")), by).join(found["l"], wider["l"]).join(found["a"], wider["a"])
+    none = lambda x: F.nullif(x, F.lit(0))
+    down = F.coalesce(none(F.greatest(F.col("q2") - F.col("q1"), F.col("l_down"))), none(F.col("a_down")), F.lit(1))
+    up = F.coalesce(none(F.greatest(F.col("q3") - F.col("q2"), F.col("l_up"))), none(F.col("a_up")), F.lit(1))
+    fence = [F.max(F.when(F.col("measure") == r.measure, F.col("q2") + r.spread * down if r.upper else F.col("q2") - r.spread * up)).alias(f"_fence{i}") for i, r in enumerate(RULES)]
+    return q.groupBy(lang, source).agg(*fence)
 
 
 def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
     """``docs`` with the base counts, base_failed and kept.
 
     kept is false if base_failed, else if a measure lies beyond its language's and source's fence. Null languages and
-    sources are groups of their own. Groups without any document that passes the base rules have no fence. Repeated
-    rows are counted and judged each. Columns of ``docs`` that are named like a result are replaced.
+    sources are groups of their own. Null and empty texts have no words and fail the base rules, which judge texts of any
+    length whole. Repeated rows are counted and judged each; an empty table gives no rows. Columns of ``docs`` that are
+    named like a result, or start with an underscore and are named like a working column, are replaced.
 
     The measures are worked out once and written to the shared folder with the documents (without their texts if
     keep_text is false), as both the sketches and the verdicts need them.
     """
     measured = measures(docs, text_col)
     measured = stored(measured if keep_text else measured.drop(text_col))
-    group = {"_lang": F.col(lang_col).cast("string"), "_source": F.col(source_col).cast("string")}
-    measured = measured.withColumns(group)
-    fence = thresholds(sketches(measured, list(group)), list(group)).withColumnsRenamed({"_lang": "_l", "_source": "_s"})
-    joined = measured.join(fence, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    measured = measured.withColumns({"_lang": key(lang_col), "_source": key(source_col)})
+    fence = thresholds(sketches(measured, ["_lang", "_source"]), "_lang", "_source")
+    joined = measured.join(fence, ["_lang", "_source"], "left")
     beyond = F.lit(False)
     for i, r in enumerate(RULES):
-        v, f = _value(r.measure), F.col(f"_fence{i}")
+        v, f = _cell(r.measure), F.col(f"_fence{i}")
         beyond = beyond | F.coalesce((v > f) if r.upper else (v < f), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("_lang", "_source", "_l", "_s", "n_lines", *(f"_fence{i}" for i in range(len(RULES))))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("_lang", "_source", "_n_lines", *(f"_fence{i}" for i in range(len(RULES))))

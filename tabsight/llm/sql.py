@@ -4,42 +4,59 @@ from __future__ import annotations
 
 from . import quality
 from .mixing import ORACLE as MIXING
+from .sharding import ORACLE as SHARDING
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-_VALUES = {"symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
-_STEPS = {r.measure: r.steps for r in quality.RULES}
+_CELLS = {
+    "symbols": "(n_symbols + 1)::DOUBLE / (word_chars + 1)::DOUBLE",
+    "repeated_lines": "(n_dup_lines + 1)::DOUBLE / (n_lines - n_dup_lines + 1)::DOUBLE",
+    "word_length": "greatest(word_chars, 1)::DOUBLE / greatest(n_words, 1)::DOUBLE",
+}
 
 
-def _value(name: str) -> str:
-    n, d = _VALUES[name]
-    return f"CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0.0 END"
+def _cell(name: str) -> str:
+    return f"floor(ln({_CELLS[name]}) * {quality.STEPS[name]})::BIGINT"
 
 
 def _beyond(i: int, r: quality.Rule) -> str:
-    return f"coalesce({_value(r.measure)} {'>' if r.upper else '<'} fence{i}, false)"
+    return f"coalesce({_cell(r.measure)} {'>' if r.upper else '<'} fence{i}, false)"
 
 
 def _fence(i: int, r: quality.Rule) -> str:
-    away, sign = ("q2 - q1", "+") if r.upper else ("q3 - q2", "-")
-    return f"max(CASE WHEN m = '{r.measure}' THEN (q2 {sign} {r.spread}::DOUBLE * ({away}))::DOUBLE / {r.steps} {sign} {r.slack}::DOUBLE END) AS fence{i}"
+    return f"max(CASE WHEN m = '{r.measure}' THEN {f'q2 + {r.spread} * down' if r.upper else f'q2 - {r.spread} * up'} END) AS fence{i}"
+
+
+def _quartiles(name: str, rows: str, by: str) -> str:
+    least = ", ".join(f"min(CASE WHEN 4 * upto >= {k} * total THEN cell END) AS q{k}" for k in (1, 2, 3))
+    return f"{name} AS (SELECT {by}, {least} FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM {rows}) GROUP BY {by})"
 
 
 QUALITY = rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
 five AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM w, unnest(generate_series(1, len(w) - 4)) t(i)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM five) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice, unnest(generate_series(i, i + 4)) t(p) GROUP BY 1),
 m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-      len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+      len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-cells AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS m, least(floor(({_value(k)}) * {s}), {quality.TOP})::INT AS cell FROM b WHERE NOT base_failed" for k, s in _STEPS.items())}),
-n AS (SELECT lang, source, m, cell, count(*) AS n FROM cells GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, m ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY lang, source, m) AS total FROM n),
-q AS (SELECT lang, source, m, {', '.join(f'min(CASE WHEN upto >= {p} * total THEN cell END) AS q{i}' for i, p in ((1, 0.25), (2, 0.5), (3, 0.75)))} FROM c GROUP BY ALL),
+cells AS ({' UNION ALL '.join(f"SELECT coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, '{k}' AS m, {_cell(k)} AS cell FROM b WHERE NOT base_failed" for k in quality.STEPS)}),
+g AS (SELECT lang, source, m, cell, count(*)::BIGINT AS n FROM cells GROUP BY ALL),
+l AS (SELECT lang, m, cell, sum(n)::BIGINT AS n FROM g GROUP BY ALL),
+a AS (SELECT m, cell, sum(n)::BIGINT AS n FROM g GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source, m FROM g),
+lent AS (SELECT lang, m, cell, (n * {quality.UNIT} * least({quality.BORROWED}, size)) // size AS n FROM l JOIN (SELECT lang, m, sum(n)::BIGINT AS size FROM l GROUP BY ALL) USING (lang, m)),
+given AS (SELECT m, cell, (n * {quality.UNIT} * least({quality.BORROWED}, size)) // size AS n FROM a JOIN (SELECT m, sum(n)::BIGINT AS size FROM a GROUP BY ALL) USING (m)),
+mixed AS (SELECT lang, source, m, cell, sum(n)::BIGINT AS n FROM (SELECT lang, source, m, cell, n * {quality.UNIT} AS n FROM g
+          UNION ALL SELECT lang, source, m, cell, n FROM groups JOIN lent USING (lang, m) UNION ALL SELECT lang, source, m, cell, n FROM groups JOIN given USING (m)) GROUP BY ALL),
+{_quartiles("ql", "l", "lang, m")},
+{_quartiles("qa", "a", "m")},
+{_quartiles("qg", "mixed", "lang, source, m")},
+q AS (SELECT qg.*, coalesce(nullif(greatest(qg.q2 - qg.q1, ql.q2 - ql.q1), 0), nullif(qa.q2 - qa.q1, 0), 1) AS down,
+             coalesce(nullif(greatest(qg.q3 - qg.q2, ql.q3 - ql.q2), 0), nullif(qa.q3 - qa.q2, 0), 1) AS up FROM qg JOIN ql USING (lang, m) JOIN qa USING (m)),
 f AS (SELECT lang, source, {', '.join(_fence(i, r) for i, r in enumerate(quality.RULES))} FROM q GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(_beyond(i, r) for i, r in enumerate(quality.RULES))}) AS kept
-FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
+FROM b LEFT JOIN f ON coalesce('=' || b.lang, '') = f.lang AND coalesce('=' || b.source, '') = f.source
 """
 
 _TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -56,4 +73,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h, 0)::BIGINT AS n_hit, coale
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES = {"op3_quality_rules": QUALITY, "op7_mixing": MIXING, "op9_decontamination": CONTAMINATION}
+ORACLES = {"op3_quality_rules": QUALITY, "op7_mixing": MIXING, "op8_sharding": SHARDING, "op9_decontamination": CONTAMINATION}
