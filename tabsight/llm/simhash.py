@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, components, ranges, spanning, stored, whole
@@ -137,19 +137,21 @@ def majority(h: np.ndarray, words: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node long, fp binary) of each row; the node is the fingerprint itself, or a hash of the shingle set."""
+    """(doc_id, mark, node long, fp binary) of each row; the node is the fingerprint itself, or a hash of the shingle set;
+    mark is a hash of the text."""
 
     def run(batches):
         for batch in batches:
             if plan.similarity:
-                sets = [shingle_set(x, plan.ngram) for x in as_bytes(batch.column(1))]
+                sets = [shingle_set(x, plan.ngram) for x in as_bytes(batch.column(2))]
                 fps, nodes = [majority(x, plan.words) for x in sets], _set_nodes(sets)
             else:
-                fps = [fingerprint(x, plan.ngram, plan.words) for x in as_bytes(batch.column(1))]
+                fps = [fingerprint(x, plan.ngram, plan.words) for x in as_bytes(batch.column(2))]
                 nodes = np.array([int.from_bytes(x, "little") for x in fps], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(fps, pa.binary())], ["doc_id", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps, pa.binary())], ["doc_id", "mark", "node", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp binary")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, node long, fp binary")
 
 
 def shingle_set(text: bytes, ngram: int) -> np.ndarray:
@@ -161,16 +163,17 @@ def _set_nodes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    """(node, words binary): the shingle sets of ``members`` (node, least), made again from the texts of their rows."""
+    """(node, words binary): the shingle sets of ``members`` (node, doc_id, mark), made again from the texts of those rows."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x, plan.ngram) for x in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(_set_nodes(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "words"])
 
-    ids = members.select(F.col("least").alias("_least")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = texts.join(ids, F.col("_id").eqNullSafe(F.col("_least")), "left_semi").select("_text").mapInArrow(run, "node long, words binary")
+    ids = members.select(F.col("doc_id").alias("_least"), F.col("mark").alias("_its")).distinct()
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
+    found = texts.join(ids, F.col("_id").eqNullSafe(F.col("_least")) & (F.col("_mark") == F.col("_its")), "left_semi").select("_text").mapInArrow(run, "node long, words binary")
     return found.join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -375,22 +378,36 @@ def simhash_groups(docs: DataFrame, plan: Plan = CONTRACT, id_col: str = "doc_id
 
     component_id is the least id that can be reached by links, the row's own included. A null or empty text has no
     words, the fingerprint zero, and is linked like any other; rows with a null id get the least id of their group,
-    null if it has none. Repeated rows stay repeated. Other columns of ``docs`` are not read, whatever their names.
+    null if it has none. Repeated rows stay repeated; an empty table gives no rows; texts of any length count whole.
+    Other columns of ``docs`` are not read, whatever their names. The plan's fingerprints decide.
     """
-    rows = stored(fingerprints(docs, plan, id_col, text_col))
+    rows = stored(fingerprints(docs, plan, id_col, text_col).drop("mark"))
     distinct = stored(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least")))
-    sets = (lambda members: shingle_sets(docs, members.select("node").join(distinct, "node"), plan, id_col, text_col)) if plan.similarity else None
-    roots = components(links(distinct.select("node", "fp"), plan, sets=sets))
+    roots = components(links(distinct.select("node", "fp"), plan))
     named = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(groups, "root").select("node", "component_id"), "node").select("doc_id", "node", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that of the least doc_id.
+def near_dedup(docs: DataFrame, plan: Plan = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the first by id (null last), then by a hash of the text.
 
-    Of rows with the same doc_id one stays; rows with a null id are one such group if no other row is in theirs.
+    Texts decide, not ids: rows that share an id, or have none, but differ in their texts are judged each, and of rows
+    that repeat both id and text one stays. Null and empty texts have no words and are alike. An empty table gives no
+    rows. Columns are returned as they are, whatever their names.
     """
-    groups = simhash_groups(docs, plan)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    mark = F.xxhash64(F.col(text_col).cast("string"))
+    rows = stored(fingerprints(docs, plan, id_col, text_col))
+    distinct = stored(rows.groupBy("node", "fp").agg(F.min(_first("doc_id", "mark")).alias("first")))
+    sets = (lambda members: shingle_sets(docs, members.select("node").join(distinct, "node").select("node", "first.*"), plan, id_col, text_col)) if plan.similarity else None
+    roots = components(links(distinct.select("node", "fp"), plan, sets=sets))
+    named = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    keep = named.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.mark").alias("_kept_mark"))
+    at = docs.withColumns({"_near_id": F.col(id_col).cast("long"), "_near_mark": mark})
+    found = at.join(keep, F.col("_near_id").eqNullSafe(F.col("_kept_id")) & (F.col("_near_mark") == F.col("_kept_mark")), "left_semi")
+    return found.dropDuplicates(["_near_id", "_near_mark"]).drop("_near_id", "_near_mark")
+
+
+def _first(id_col: str, mark: str) -> Column:
+    """Orders rows by id, null last, then by the text's hash."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("doc_id"), F.col(mark).alias("mark"))
