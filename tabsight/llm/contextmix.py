@@ -3,13 +3,13 @@
 A text is coded as its class (that of its most frequent short word, which tells its language) and its tokens: a word as its
 bytes and a blank, the end as a line feed. A byte is coded by binary decisions along a prefix code of the training texts'
 bytes, frequent bytes by few of them. For each decision several predictors look up the counts of zeros and ones that
-followed their hashed context in the training texts: the last two bytes of the word in texts of the class, its last
-three, the word so far, the word so far in texts of the class, the last six bytes across the blank, and the word so far after
-the word before it. Their stretched probabilities are mixed by the weights of a set that a gate selects (which decision,
-and how often the longer contexts were seen), and an adaptive map refines the mix.
+followed their hashed context in the training texts. Their stretched probabilities are mixed by the weights of a set that a
+gate selects (which decision, and how often the longer contexts were seen), and an adaptive map refines the mix.
 
-A token's bits depend on it, its text's class and the token before, so they are worked out once for each different pair
-of some texts, and what the first four predictors say once for each different token.
+A token's first two bytes, its head, have contexts that reach across the blank: the word so far with the class, the last
+three and six bytes, and the word so far with the whole word before. The other bytes, its tail, have the last two bytes with
+the class, the last three, the word so far, and that with the class. So a head's bits are worked out once for each
+different (head, word before) of some texts, and a tail's once for each different word.
 """
 
 from __future__ import annotations
@@ -22,24 +22,23 @@ from itertools import chain
 
 import numpy as np
 
-from .common import ranges
-
 #: The end of a text as a token (no word is empty), and as it is coded; also what stands before a text's first token.
 END, END_BYTE = b"", 10
-#: Slots (log2) of each predictor's counts, which bound what a task holds (contexts share slots when the corpus has more of
-#: them), and classes of texts.
-SLOTS, CLASSES = (20, 20, 22, 22, 22, 22), 256
-_OWN = 4
+#: Bytes of a head, and classes of texts.
+HEAD, CLASSES = 2, 256
+#: Slots (log2) of the counts of each predictor of heads and of tails, which bound what a task holds; contexts share slots
+#: when the corpus has more of them.
+SLOTS = ((18, 19, 21, 21), (20, 20, 21, 21))
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: A slot's cell: its stretched probability in steps of 1 / _STEPS, times four, plus a class of how often it was seen.
 _STEPS = 512
-#: Gates: decision (the last stands for all later ones), and how often each of three contexts was seen.
+#: Gates: decision (the last stands for all later ones), and how often each of the last three contexts was seen.
 _DEPTHS = 8
 _SETS = _DEPTHS * 64
 #: Cells of a decision's refinement, over stretched probabilities of -8 to 8; bytes that are worked on at once.
-_CELLS, PIECE = 33, 1 << 16
-#: Parts that a task's first texts are learned from in, one after another; how fast weights are learned.
-FIRST_PARTS, RATE = 8, 0.02
+_CELLS, PIECE = 33, 1 << 15
+#: The first texts of a task are learned from in parts that double so often; how fast weights are learned.
+FIRST_PARTS, RATE = 5, 0.05
 
 
 def hashed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -70,8 +69,8 @@ class Code:
 
 
 class Tally:
-    """The different tokens of some texts, and the different pairs of a token and the one before it, apart for each class
-    of texts.
+    """The different tokens of some texts, and the different pairs of a token's head and the token before it, apart for
+    each class of texts.
 
     words, kinds: the tokens and their class; the first token of a class is END. at: the tokens of all texts, one text after
     another; sizes: of each text; classes: of each text.
@@ -116,7 +115,12 @@ class Tally:
         before = np.concatenate([self.at[:1], self.at[:-1]])
         first = np.cumsum(self.sizes) - self.sizes
         before[first] = self.at[first + self.sizes - 1]  # END stands before the first token
-        key = self.at * len(self.words) + before
+        coded = [w[:HEAD] if len(w) >= HEAD else w + b" " if w else b"\n" for w in self.words]
+        pad = np.frombuffer(b"".join(x.ljust(HEAD, b"\0") for x in coded), np.uint8).reshape(-1, HEAD).astype(np.int64)
+        one = np.fromiter((len(x) == 1 for x in coded), np.int64, len(coded))
+        head = ((np.array(self.kinds, np.int64) * 256 + pad[:, 0]) * 256 + pad[:, 1]) * 2 + one
+        self.heads, of = np.unique(head, return_inverse=True)
+        key = of[self.at] * len(self.words) + before
         order = np.argsort(key)
         sorted_ = key[order]
         new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]]) if len(key) else np.zeros(0, bool)
@@ -131,48 +135,72 @@ def class_of(tokens: list[bytes]) -> int:
     return zlib.crc32(max(c.items(), key=lambda x: (x[1], x[0]))[0]) % CLASSES if c else 0
 
 
-class Bytes:
-    """The coded bytes of a Tally's tokens with what precedes them in their token."""
-
-    def __init__(self, words: list[bytes], kinds: list[int]):
-        coded = [w + b" " if w else b"\n" for w in words]
-        self.size = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.first = np.cumsum(self.size) - self.size
-        self.symbol = np.frombuffer(b"".join(coded), np.uint8)
-        place = np.arange(len(self.symbol)) - np.repeat(self.first, self.size)
-        back = lambda x, k: np.concatenate([np.zeros(min(k, len(x)), x.dtype), x[: max(0, len(x) - k)]])
-        last = back(self.symbol, 1).astype(np.uint64)  # the last eight bytes, the nearest lowest
-        for k in (1, 2, 4):
-            last = last | back(last, k) << np.uint64(8 * k)
-        self.place, self.last = place, last & _mask(place)
-        known = lambda k: hashed((self.last & _mask(np.minimum(place, k))) + np.minimum(place, k).astype(np.uint64) * _MUL, k)
-        word = hashed(self.last + place.astype(np.uint64) * _MUL, 4)  # known by its last eight bytes and its length
-        kind = np.repeat(np.array(kinds, np.uint64) + np.uint64(1), self.size) * _MUL
-        self.own = [hashed(known(2) ^ kind, 11), known(3), word, hashed(word ^ kind, 12)]
-        self.word = word
-        end = self.first + self.size - 1
-        self.whole = word[end]
-        self.tail = np.where(self.symbol[end] == END_BYTE, np.uint64(END_BYTE), self.last[end] << np.uint64(8) | np.uint64(32))
-
-    def across(self, at: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-        """The contexts that reach back to the token before, of bytes ``at``."""
-        place = np.minimum(self.place[at], 7)
-        six = (self.last[at] | np.where(self.place[at] < 6, self.tail[before] << (8 * place).astype(np.uint64), np.uint64(0))) & _mask(np.array([6]))
-        return [hashed(six, 5), hashed(self.word[at] ^ self.whole[before] * _MUL, 6)]
-
-
-def _mask(n: np.ndarray) -> np.ndarray:
-    """That keeps the last n bytes, at most eight."""
-    return _MASKS[np.minimum(n, 8)]
+class Units:
+    """Bytes to be coded: ``symbol``, and the hash of each predictor's context; a unit's bytes stand together.
+
+    owner: of each byte, its unit.
+    """
+
+    def __init__(self, symbol: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray, units: int):
+        self.symbol, self.contexts, self.owner, self.units = symbol, contexts, owner, units
+
+    def some(self, at: np.ndarray) -> Units:
+        return Units(self.symbol[at], [c[at] for c in self.contexts], self.owner[at], self.units)
+
+    def add_up(self, bits: np.ndarray) -> np.ndarray:
+        """Of each unit."""
+        return np.bincount(self.owner, bits, self.units)
+
+
+def _masked(last: np.ndarray, n) -> np.ndarray:
+    """The last n bytes, at most eight."""
+    return last & _MASKS[np.minimum(n, 8)]
 
 
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-class Model:
+def units(tally: Tally) -> tuple[Units, Units]:
+    """The heads of a Tally's pairs, and the tails of its tokens."""
+    coded = [w + b" " if w else b"\n" for w in tally.words]
+    size = np.fromiter(map(len, coded), np.int64, len(coded))
+    first = np.cumsum(size) - size
+    symbol = np.frombuffer(b"".join(coded), np.uint8)
+    owner = np.repeat(np.arange(len(coded)), size)
+    place = np.arange(len(symbol)) - first[owner]
+    back = lambda x, k: np.concatenate([np.zeros(min(k, len(x)), x.dtype), x[: max(0, len(x) - k)]])
+    last = back(symbol, 1).astype(np.uint64)  # the last eight bytes, the nearest lowest
+    for k in (1, 2, 4):
+        last = last | back(last, k) << np.uint64(8 * k)
+    last = _masked(last, place)
+    word = hashed(last + place.astype(np.uint64) * _MUL, 4)  # known by its last eight bytes and its length
+    end = first + size - 1
+    whole = word[end]
+    tail = np.where(symbol[end] == END_BYTE, np.uint64(END_BYTE), last[end] << np.uint64(8) | np.uint64(32))
+    kind = (np.array(tally.kinds, np.uint64) + np.uint64(1)) * _MUL
+    at = np.flatnonzero(place >= HEAD)
+    k = kind[owner[at]]
+    last, word, owner = last[at], word[at], owner[at]
+    tails = Units(symbol[at], [hashed(_masked(last, 2) ^ k, 11), hashed(_masked(last, 3), 3), word, hashed(word ^ k, 12)], owner, len(coded))
+
+    head, before = np.divmod(tally.pairs, max(1, len(tally.words)))
+    head = tally.heads[head]
+    two = (head & 1) == 0
+    size = 1 + two
+    owner = np.repeat(np.arange(len(head)), size)
+    place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    byte = np.stack([head >> 9 & 255, head >> 1 & 255], 1)
+    prefix = np.where(place > 0, byte[owner, 0] + 1, 0).astype(np.uint64)
+    across = np.where(place > 0, tail[before][owner] << np.uint64(8) | byte[owner, 0].astype(np.uint64), tail[before][owner])
+    k = hashed(kind[before], 0)[owner]  # a pair's tokens are of one class
+    contexts = [hashed(prefix ^ k, 5), hashed(_masked(across, 3) ^ (prefix << np.uint64(56)), 6), hashed(_masked(across, 6) ^ (prefix << np.uint64(56)), 7), hashed(whole[before][owner] ^ prefix * _MUL, 8)]
+    return Units(byte[owner, place].astype(np.uint8), contexts, owner, len(head)), tails
+
+
+class Mixer:
     """cells: of all slots. weights: (predictor or constant, gate). refined: (decision, cell) probabilities."""
 
-    def __init__(self, code: Code, slots: tuple[int, ...] = SLOTS):
+    def __init__(self, code: Code, slots: tuple[int, ...]):
         self.code, self.slots = code, slots
         self.offset = np.cumsum([0, *(1 << k for k in slots)])
         self.cells = np.zeros(int(self.offset[-1]), np.int16)
@@ -180,180 +208,150 @@ class Model:
         self.weights[-1] = 0
         self.refined = plain_map(code.depth)
 
-    def _pieces(self, tally: Tally, b: Bytes, pairs: np.ndarray) -> Iterator[tuple[int, int, slice, np.ndarray, np.ndarray]]:
-        """(first pair, last pair, slice of the tokens' bytes, byte of each byte of the pairs, token before it)."""
-        token, before = np.divmod(pairs, len(tally.words))
-        size = b.size[token]
-        upto = np.cumsum(size)
-        lo, cuts = 0, []
-        while lo < len(token):
-            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - size[lo] + PIECE, "right")))
-            cuts.append((lo, hi))
-            lo = hi
-        for i in np.random.default_rng(1).permutation(len(cuts)):  # frequent tokens do not come before all rare ones
-            lo, hi = cuts[i]
-            at = ranges(b.first[token[lo:hi]], size[lo:hi])
-            yield lo, hi, slice(int(b.first[token[lo]]), int(b.first[token[hi - 1]] + b.size[token[hi - 1]])), at, np.repeat(before[lo:hi], size[lo:hi])
-
-    def _rows(self, context: np.ndarray, node: np.ndarray, j: int) -> np.ndarray:
-        """The first of the 16 slots of a context and four decisions."""
-        return ((((context + node) * _ODD) >> np.uint64(68 - self.slots[j])) << np.uint64(4)).view(np.int64) + self.offset[j]
-
-    def walk(self, tally: Tally, b: Bytes, pairs: np.ndarray) -> Iterator[tuple]:
+    @property
+    def refined(self) -> np.ndarray:
+        return self._refined
+
+    @refined.setter
+    def refined(self, x: np.ndarray) -> None:
+        self._refined, self.slopes = x, np.diff(x, axis=1)
+
+    def walk(self, u: Units, piece: int = PIECE) -> Iterator[tuple]:
         """Piece by piece, decision by decision, what the predictors say.
 
-        Yields (first pair, last pair, order of the piece's bytes) at the start of a piece, and then (decision, bit, of the
-        tokens' bytes: bit, slots, stretched probabilities; of the pairs' bytes: gate of their
-        token's byte, slots, stretched probabilities, gate, mix). Bytes stand by the length of their code word, the longest
-        first, so those that a decision is made for come first.
+        Yields the places of a piece's bytes at its start, and then (decision, bit, slots, stretched probabilities, gate,
+        mix). A piece's bytes stand by the length of their code word, the longest first, so those that a decision is made
+        for come first.
         """
         code = self.code
-        rows = self.weights.reshape(len(self.weights), -1, 4)
-        for lo, hi, cut, at, before in self._pieces(tally, b, pairs):
-            short = (255 - code.length[b.symbol[cut]]).astype(np.uint8)
-            by = np.argsort(short, kind="stable")
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by))
-            symbol, own = b.symbol[cut][by], [c[cut][by] for c in b.own]
-            level = np.arange(255, 255 - code.depth, -1)  # of the bytes with more than d decisions
-            n_own = np.searchsorted(short[by], level)
-            at_cut = at - cut.start
-            order = np.argsort(short[at_cut], kind="stable")
-            src = rank[at_cut[order]]
-            wide = b.across(at[order], before[order])
-            n_all = np.cumsum(np.bincount(short[at_cut], minlength=256))[level - 1]
-            yield lo, hi, order
+        for lo in range(0, len(u.symbol), piece):
+            short = (255 - code.length[u.symbol[lo : lo + piece]]).astype(np.uint8)
+            order = np.argsort(short, kind="stable")
+            open_ = np.searchsorted(short[order], np.arange(255, 255 - code.depth, -1))
+            order += lo
+            symbol, contexts = u.symbol[order], [c[order] for c in u.contexts]
+            yield (order,)
             for d in range(code.depth):
-                n, m = int(n_own[d]), int(n_all[d])
-                if not m:
+                n = int(open_[d])
+                if not n:
                     break
-                s = src[:m]
                 if d % 4 == 0:
                     node = code.node[d // 4].take(symbol[:n])
-                    base = [self._rows(c[:n], node, j) for j, c in enumerate(own)]
-                    node = node.take(s)
-                    over = [self._rows(c[:m], node, _OWN + j) for j, c in enumerate(wide)]
+                    base = [((((c[:n] + node) * _ODD) >> np.uint64(68 - k)) << np.uint64(4)).view(np.int64) + o for c, k, o in zip(contexts, self.slots, self.offset, strict=False)]
                 step = code.step[d].take(symbol[:n])
-                inner, own_bit = step >> 1, step & 1
-                slots = [x[:n] + inner for x in base]
+                inner = step >> 1
+                slots = [b[:n] + inner for b in base]
                 found = [self.cells.take(i) for i in slots]
+                gate = np.int64(min(d, _DEPTHS - 1))
+                for v in found[-3:]:
+                    gate = gate * 4 + (v & 3)
                 x = [(v >> 2) * np.float32(1 / _STEPS) for v in found]
-                gate = (min(d, _DEPTHS - 1) * 16 + (found[3] & 3) * 4 + (found[2] & 3)).astype(np.int64)
-                dots = rows[-1].take(gate, axis=0)  # for each class of the pair's context
-                for j in range(_OWN):
-                    dots += rows[j].take(gate, axis=0) * x[j][:, None]
-                packed = (gate << 8 | step).take(s)
-                inner = packed >> 1 & 15
-                wider = [o[:m] + inner for o in over]
-                found = [self.cells.take(i) for i in wider]
-                y = [(v >> 2) * np.float32(1 / _STEPS) for v in found]
-                seen = found[1] & 3
-                pick = s * 4 + seen
-                g = (packed >> 8) * 4 + seen
-                mix = dots.ravel().take(pick)
-                for j, v in enumerate(y):
-                    mix += self.weights[_OWN + j].take(g) * v
-                yield d, packed & 1, own_bit, slots, x, pick, wider, y, g, mix
+                mix = self.weights[-1].take(gate)
+                for w, v in zip(self.weights, x, strict=False):
+                    mix += w.take(gate) * v
+                yield d, step & 1, slots, x, gate, mix
 
     def refine(self, d: int, mix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(mixed probability, cell, share of the next cell, refined probability) of a one."""
         at = (np.clip(mix, np.float32(-7.999), np.float32(7.999)) + np.float32(8)) * np.float32((_CELLS - 1) / 16)
         low = at.astype(np.int64)
         part = at - low.astype(np.float32)
-        a, mixed = self.refined[d].take(low), squash(mix)
-        p = (mixed + a + self.slopes[d].take(low) * part) * np.float32(0.5)
+        mixed = squash(mix)
+        p = (mixed + self._refined[d].take(low) + self.slopes[d].take(low) * part) * np.float32(0.5)
         return mixed, low, part, np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
 
-    @property
-    def refined(self) -> np.ndarray:
-        return self._refined
+    def bits(self, u: Units) -> np.ndarray:
+        """Bits of each byte."""
+        out = np.ones(len(u.symbol))
+        order = None
+        for step in self.walk(u):
+            if len(step) == 1:
+                if order is not None:
+                    out[order] = chance
+                order, chance = step[0], np.ones(len(step[0]))  # a byte has at most some tens of decisions of 1e-6 or more
+            else:
+                d, bit, mix = step[0], step[1], step[-1]
+                chance[: len(bit)] *= np.abs(self.refine(d, mix)[3] - (1 - bit))
+        if order is not None:
+            out[order] = chance
+        return -np.log2(out)
 
-    @refined.setter
-    def refined(self, x: np.ndarray) -> None:
-        self._refined, self.slopes = x, np.diff(x, axis=1)
 
-    def pair_bits(self, tally: Tally) -> np.ndarray:
-        """Bits of each of the Tally's pairs."""
-        b = Bytes(tally.words, tally.kinds)
-        out, held = np.zeros(len(tally.pairs)), []
-        size = b.size[tally.pairs // max(1, len(tally.words))]
-
-        def close(lo: int, hi: int, order: np.ndarray, chance: np.ndarray) -> None:
-            each = np.empty(len(chance))
-            each[order] = np.log2(chance)
-            out[lo:hi] = -np.add.reduceat(each, np.cumsum(size[lo:hi]) - size[lo:hi])
-
-        for step in self.walk(tally, b, tally.pairs):
-            if len(step) == 3:
-                if held:
-                    close(*held)
-                held = [*step, np.ones(len(step[2]))]  # a byte has at most some tens of decisions of 1e-6 or more
-                continue
-            d, bit, mix = step[0], step[1], step[-1]
-            held[3][: len(bit)] *= np.abs(self.refine(d, mix)[3] - (1 - bit))
-        if held:
-            close(*held)
-        return out
+class Model:
+    """Of the heads and of the tails."""
+
+    def __init__(self, code: Code, slots: tuple[tuple[int, ...], ...] = SLOTS):
+        self.mixers = [Mixer(code, s) for s in slots]
 
     def text_bits(self, tally: Tally) -> np.ndarray:
         """Bits of each of the Tally's texts, its class not counted."""
-        return np.add.reduceat(self.pair_bits(tally)[tally.which], np.cumsum(tally.sizes) - tally.sizes) if len(tally.sizes) else np.zeros(0)
+        if not len(tally.sizes):
+            return np.zeros(0)
+        heads, tails = (u.add_up(m.bits(u)) for u, m in zip(units(tally), self.mixers, strict=True))
+        return np.add.reduceat(heads[tally.which] + tails[tally.at], np.cumsum(tally.sizes) - tally.sizes)
 
 
 class Learner:
-    """Learns online: pairs are predicted from the counts of the batches before, and counted.
+    """Learns a Mixer online: bytes are predicted from the counts of the batches before, and counted.
 
-    The predictors follow the counts after 1, 2, 4, ... batches."""
+    The predictors follow the counts as often as these have about doubled. The weights are the means over all that was learned from.
+    """
 
-    def __init__(self, code: Code, slots: tuple[int, ...] = SLOTS):
-        self.model = Model(code, slots)
-        self.counts = np.zeros(2 * len(self.model.cells), np.uint32)
-        self.used, self.sums = np.zeros(_SETS), np.zeros(self.model.weights.shape)
+    def __init__(self, code: Code, slots: tuple[int, ...]):
+        self.mixer = Mixer(code, slots)
+        self.counts = np.zeros(2 * len(self.mixer.cells), np.uint32)
+        self.used, self.sums = np.zeros(_SETS), np.zeros(self.mixer.weights.shape)
         self.hits = np.zeros((2, code.depth, _CELLS))
-        self.power = np.ones(self.model.weights.shape, np.float32)
-        self.batches, self.refresh = 0, 1
-
-    def learn(self, tally: Tally, training: np.ndarray) -> None:
-        """From the training texts of a Tally; the first Tally's pairs fall into FIRST_PARTS parts by a hash."""
-        times = np.bincount(tally.which[np.repeat(training, tally.sizes)], minlength=len(tally.pairs)).astype(np.uint32)
-        b = Bytes(tally.words, tally.kinds)
-        parts = 1 if self.batches else FIRST_PARTS
-        part = hashed(tally.pairs.astype(np.uint64), 20) >> np.uint64(40)
-        for k in range(parts):
-            mine = (part % np.uint64(parts) == k) & (times > 0)
-            self._batch(tally, b, tally.pairs[mine], times[mine])
-
-    def _batch(self, tally: Tally, b: Bytes, pairs: np.ndarray, times: np.ndarray) -> None:
-        m, counts = self.model, self.counts
-        size = b.size[pairs // max(1, len(tally.words))]
-        for step in m.walk(tally, b, pairs):
-            if len(step) == 3:
-                lo, hi, order = step
-                all_times = np.repeat(times[lo:hi], size[lo:hi])[order]
+        self.power = np.ones(self.mixer.weights.shape, np.float32)
+        self.batches, self.refresh = 0, 0
+
+    def learn(self, u: Units, times: np.ndarray) -> None:
+        """times: how often each unit occurs."""
+        mix = hashed(u.owner.astype(np.uint64), 20)
+        order = np.argsort(mix >> np.uint64(48), kind="stable")  # frequent words do not come before all rare ones
+        order = order[times[u.owner[order]] > 0]
+        self._batch(u.some(order), times[u.owner[order]].astype(np.uint32))
+
+    def _batch(self, u: Units, times: np.ndarray) -> None:
+        m, counts = self.mixer, self.counts
+        for step in m.walk(u, PIECE if self.batches > FIRST_PARTS else PIECE >> 4):
+            if len(step) == 1:
+                all_times = times[step[0]]
                 continue
-            d, bit, own_bit, slots, x, pick, wider, y, g, mix = step
-            times_, s = all_times[: len(bit)], pick >> 2
+            d, bit, slots, x, gate, mix = step
+            times_ = all_times[: len(bit)]
             n = times_.astype(np.float32)
             mixed, low, share, _ = m.refine(d, mix)
-            error = n * (bit - mixed)
-            total = np.bincount(g, n, _SETS)
-            change = np.stack([*(np.bincount(g, error * v.take(s), _SETS) for v in x), *(np.bincount(g, error * v, _SETS) for v in y), np.bincount(g, error, _SETS)]) / np.maximum(total, 1)
-            self.power = np.where(total > 0, 0.95 * self.power + 0.05 * change * change, self.power)
-            m.weights += (RATE * change / np.sqrt(self.power + 1e-4)).astype(np.float32)
             if self.batches:  # before, no predictor had anything to say
+                error = n * (bit - mixed)
+                total = np.bincount(gate, n, _SETS)
+                change = np.stack([*(np.bincount(gate, error * v, _SETS) for v in x), np.bincount(gate, error, _SETS)]) / np.maximum(total, 1)
+                self.power = np.where(total > 0, 0.95 * self.power + 0.05 * change * change, self.power)
+                m.weights += (RATE * change / np.sqrt(self.power + 1e-4)).astype(np.float32)
                 self.used += total
                 self.sums += total * m.weights
-            cell, right = low * 2 + bit, n * share
-            self.hits[:, d] += (np.bincount(cell, n - right, 2 * _CELLS) + np.bincount(cell + 2, right, 2 * _CELLS)).reshape(-1, 2).T
-            own_n = np.bincount(s, n, len(own_bit)).astype(np.uint32)
+                cell, right = low * 2 + bit, n * share
+                self.hits[:, d] += (np.bincount(cell, n - right, 2 * _CELLS) + np.bincount(cell + 2, right, 2 * _CELLS)).reshape(-1, 2).T
             for i in slots:
-                np.add.at(counts, i * 2 + own_bit, own_n)
-            for i in wider:
                 np.add.at(counts, i * 2 + bit, times_)
         m.refined = refinement(self.hits)
         self.batches += 1
-        if self.batches >= self.refresh:
-            m.cells, self.refresh = cells(counts), 2 * self.refresh
+        if self.batches <= FIRST_PARTS + 1 or self.batches >= self.refresh:
+            m.cells, self.refresh = cells(counts), 2 * self.batches - FIRST_PARTS
+
+
+def learn(learners: list[Learner], tally: Tally, training: np.ndarray) -> None:
+    """From the training texts of a Tally; from the first in growing parts."""
+    texts = np.flatnonzero(training)
+    cuts = [] if learners[0].batches else [len(texts) >> k for k in range(FIRST_PARTS, 0, -1)]
+    found = units(tally)
+    for part in np.split(texts, cuts):
+        mine = np.zeros(len(training), bool)
+        mine[part] = True
+        taught = np.repeat(mine, tally.sizes)
+        times = (np.bincount(x[taught], minlength=n) for x, n in ((tally.which, len(tally.pairs)), (tally.at, len(tally.words))))
+        for x, u, n in zip(learners, found, times, strict=True):
+            x.learn(u, n)
 
 
 def squash(x: np.ndarray) -> np.ndarray:

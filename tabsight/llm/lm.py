@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, stored
-from .contextmix import CLASSES, SLOTS, Code, Learner, Model, Tally, cells, refinement
+from .contextmix import CLASSES, SLOTS, Code, Learner, Model, Tally, cells, learn, refinement
 
 #: Text bytes of a block; blocks that a training task takes where there are more than the cluster has cores.
 BLOCK, BLOCKS_A_TASK = 12 << 20, 32
@@ -150,51 +150,56 @@ def frequencies(block: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return n[:256], n[256:]
 
 
-def train(block: DataFrame, code: Code, slots: tuple[int, ...] = SLOTS) -> Model:
+def train(block: DataFrame, code: Code, slots: tuple[tuple[int, ...], ...] = SLOTS) -> Model:
     """The model of all training texts. Reruns on the same files and cores agree; with other tasks the weights differ a little."""
     tasks = max(block.sparkSession.sparkContext.defaultParallelism, -(-block.count() // BLOCKS_A_TASK))
-    width = 2 * sum(1 << k for k in slots)
+    widths = [2 * sum(1 << k for k in s) for s in slots]
 
-    def learn(batches):
-        found = Learner(code, slots)
+    def learned(x: Learner) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in (x.used, x.sums, x.hits)])
+
+    def run(batches):
+        found = [Learner(code, s) for s in slots]
         for batch in batches:
             for *tally, taught in _rows(batch, "sizes", "classes", "at", "words", "kinds", "training"):
                 if any(taught):
-                    found.learn(_tally(*tally), np.frombuffer(taught, bool))
-        rest = np.concatenate([x.ravel() for x in (found.used, found.sums, found.hits)])
-        pieces = [(i, found.counts[i : i + _CUT].astype(np.int64)) for i in range(0, width, _CUT) if found.counts[i : i + _CUT].any()]
-        pieces += [(width + i, np.round(rest[i : i + 1024] * (1 << _SHIFT)).astype(np.int64)) for i in range(0, len(rest), 1024)]
-        for at, x in pieces:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([_zip(x)], pa.binary())], ["at", "n", "piece"])
+                    learn(found, _tally(*tally), np.frombuffer(taught, bool))
+        for part, (x, width) in enumerate(zip(found, widths, strict=True)):
+            rest = np.round(learned(x) * (1 << _SHIFT)).astype(np.int64)
+            pieces = [(i, x.counts[i : i + _CUT].astype(np.int64)) for i in range(0, width, _CUT) if x.counts[i : i + _CUT].any()]
+            for at, v in [*pieces, *((width + i, rest[i : i + 1024]) for i in range(0, len(rest), 1024))]:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(v)], pa.int64()), pa.array([_zip(v)], pa.binary())], ["part", "at", "n", "piece"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for at, n, piece in _rows(batch, "at", "n", "piece"):
+            for part, at, n, piece in _rows(batch, "part", "at", "n", "piece"):
                 x = _unzip(piece, "<i8", n)
-                sums[at] = sums[at] + x if at in sums else x
-        for at, x in sums.items():
-            x = cells(x) if at < width else x
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([_zip(x)], pa.binary())], ["at", "n", "piece"])
-
-    kind = "at long, n long, piece binary"
-    m = Model(code, slots)
-    start = Learner(code, (4,) * len(slots))
-    parts = [start.used, start.sums, start.hits]
-    rest = np.zeros(sum(x.size for x in parts))
-    taught = block.select("sizes", "classes", "at", "words", "kinds", "training").coalesce(tasks).mapInArrow(learn, kind)
-    for r in taught.repartition("at").mapInArrow(add, kind).toLocalIterator():  # tables of fixed size
-        if r["at"] < width:
-            m.cells[r["at"] // 2 : r["at"] // 2 + r["n"]] = _unzip(r["piece"], "<i2", r["n"])
+                sums[part, at] = sums[part, at] + x if (part, at) in sums else x
+        for (part, at), x in sums.items():
+            x = cells(x) if at < widths[part] else x
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([_zip(x)], pa.binary())], ["part", "at", "n", "piece"])
+
+    kind = "part int, at long, n long, piece binary"
+    model = Model(code, slots)
+    empty = [Learner(code, (4,) * len(s)) for s in slots]
+    rest = [np.zeros(len(learned(x))) for x in empty]
+    taught = block.select("sizes", "classes", "at", "words", "kinds", "training").coalesce(tasks).mapInArrow(run, kind)
+    for r in taught.repartition("part", "at").mapInArrow(add, kind).toLocalIterator():  # tables of fixed size
+        part, at, n = r["part"], r["at"], r["n"]
+        if at < widths[part]:
+            model.mixers[part].cells[at // 2 : at // 2 + n] = _unzip(r["piece"], "<i2", n)
         else:
-            rest[r["at"] - width : r["at"] - width + r["n"]] = _unzip(r["piece"], "<i8", r["n"]) / (1 << _SHIFT)
-    used, sums, hits = (x.reshape(p.shape) for x, p in zip(np.split(rest, np.cumsum([p.size for p in parts])[:-1]), parts, strict=True))
-    m.weights = np.where(used > 0, sums / np.maximum(used, 1e-9), m.weights).astype(np.float32)
-    m.refined = refinement(hits)
-    return m
+            rest[part][at - widths[part] : at - widths[part] + n] = _unzip(r["piece"], "<i8", n) / (1 << _SHIFT)
+    for m, x, found in zip(model.mixers, empty, rest, strict=True):
+        shape = [x.used, x.sums, x.hits]
+        used, sums, hits = (v.reshape(y.shape) for v, y in zip(np.split(found, np.cumsum([y.size for y in shape])[:-1]), shape, strict=True))
+        m.weights = np.where(used > 0, sums / np.maximum(used, 1e-9), m.weights).astype(np.float32)
+        m.refined = refinement(hits)
+    return model
 
 
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", slots: tuple[int, ...] = SLOTS) -> DataFrame:
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", slots: tuple[tuple[int, ...], ...] = SLOTS) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row.
 
     training: a Column that says which rows are learned from; null is false. score is the model's log10 probability of

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabsight.llm import contextmix, lm, queries
 
-SLOTS = (20,) * 6
+SLOTS = ((18,) * 4,) * 2
 
 
 def words(text):
@@ -25,34 +25,36 @@ def kind_of(tokens):
 
 
 def decisions(text, code):
-    """(bit, depth, the key of each predictor's counts) of a text's decisions."""
+    """(head or tail, bit, depth, the key of each predictor's counts) of a text's decisions."""
     tokens = words(text)
-    kind, before = kind_of(tokens), b"\n"
+    kind, before, whole = kind_of(tokens), b"\n", b""
     for w in [*tokens, None]:
         coded = b"\n" if w is None else w + b" "
         for i, byte in enumerate(coded):
             p = coded[:i]
             word = (p[-8:], i)
-            contexts = [(kind, p[-2:]), p[-3:], word, (kind, word), (before + p)[-6:], (before, word)]
+            head = [(kind, p), (before + p)[-3:] + b"|%d" % i, (before + p)[-6:] + b"|%d" % i, (whole, p)]
+            contexts = head if i < 2 else [(kind, p[-2:]), p[-3:], word, (kind, word)]
             for d, bit in enumerate(code.words[byte]):
-                yield int(bit), d, [(j, x, code.words[byte][:d]) for j, x in enumerate(contexts)]
-        before = coded
+                yield int(i >= 2), int(bit), d, [(i >= 2, j, x, code.words[byte][:d]) for j, x in enumerate(contexts)]
+        before, whole = coded, (w or b"")[-8:] + b"|%d" % len(w or b"")
 
 
 def plain_bits(model, counts, text):
     total = 0.0
-    for bit, d, keys in decisions(text, model.code):
+    for tail, bit, d, keys in decisions(text, model.mixers[0].code):
+        m = model.mixers[tail]
         x, seen = [], []
         for k in keys:
             zeros, ones = counts.get(k, (0, 0))
             n = zeros + ones
             x.append(round(math.log((ones + 0.3) / (zeros + 0.3)) * 512) / 512 if n else 0.0)
             seen.append(0 if n == 0 else 1 + (n > 1) + (n > 3))
-        gate = ((min(d, 7) * 4 + seen[3]) * 4 + seen[2]) * 4 + seen[5]
-        mix = model.weights[-1, gate] + sum(model.weights[j, gate] * v for j, v in enumerate(x))
+        gate = ((min(d, 7) * 4 + seen[1]) * 4 + seen[2]) * 4 + seen[3]
+        mix = m.weights[-1, gate] + sum(m.weights[j, gate] * v for j, v in enumerate(x))
         at = (min(max(mix, -7.999), 7.999) + 8) * 2
         low, part = int(at), at - int(at)
-        p = (1 / (1 + math.exp(-mix)) + model.refined[d, low] * (1 - part) + model.refined[d, low + 1] * part) / 2
+        p = (1 / (1 + math.exp(-mix)) + m.refined[d, low] * (1 - part) + m.refined[d, low + 1] * part) / 2
         p = min(max(p, 1e-6), 1 - 1e-6)
         total -= math.log2(p if bit else 1 - p)
     return total
@@ -70,7 +72,7 @@ def test_scores_are_those_of_a_plain_mixer(table):
     texts, docs = table
     taught = lambda d: d % 7 != 2
     training = F.col("doc_id") % 7 != 2
-    slots = (22,) * 6
+    slots = ((23,) * 4,) * 2
     block = lm.stored(lm.blocks(docs, training))
     byte, kind = lm.frequencies(block)
     model = lm.train(block, contextmix.Code(byte), slots)
@@ -78,7 +80,7 @@ def test_scores_are_those_of_a_plain_mixer(table):
     counts = defaultdict(lambda: [0, 0])
     for d, t in texts.items():
         if taught(d):
-            for bit, _, keys in decisions(t, model.code):
+            for _, bit, _, keys in decisions(t, model.mixers[0].code):
                 for k in keys:
                     counts[k][bit] += 1
     kinds = Counter(kind_of(words(t)) for d, t in texts.items() if taught(d))
@@ -89,7 +91,7 @@ def test_scores_are_those_of_a_plain_mixer(table):
         assert r["score"] == pytest.approx(-bits * math.log10(2), rel=2e-2), r["doc_id"]
         assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / r["n_bytes"])
         exact += r["score"] == pytest.approx(-bits * math.log10(2), rel=1e-4)
-    assert exact >= 0.4 * len(texts)  # in the others two contexts share slots
+    assert exact >= 0.6 * len(texts)  # in the others two contexts share slots
 
 
 def test_the_order_of_words_changes_the_score(spark, table):
@@ -99,33 +101,35 @@ def test_the_order_of_words_changes_the_score(spark, table):
     assert abs(got[100] - got[101]) > 0.01
 
 
-def test_continuations_add_up_to_one():
-    """The code words of all bytes that may come next, under one context."""
+@pytest.mark.parametrize("prefix", [b"", b"a", b"ab", b"abc"])
+def test_continuations_add_up_to_one(prefix):
+    """The chances of all bytes that may come next, under one context."""
     taught = contextmix.Tally()
     for x in (b"ab abc b", b"ba ab", b"ab the ab"):
         taught.add(x.split())
     taught.close()
-    found = contextmix.Learner(contextmix.Code(np.bincount(np.frombuffer(b"ab abc b ba the", np.uint8), minlength=256)), SLOTS)
+    code = contextmix.Code(np.bincount(np.frombuffer(b"ab abc b ba the", np.uint8), minlength=256))
+    found = [contextmix.Learner(code, x) for x in SLOTS]
     for _ in range(3):
-        found.learn(taught, np.ones(3, bool))
-    m, p = found.model, {}
+        contextmix.learn(found, taught, np.ones(3, bool))
     t = contextmix.Tally()
-    kind = contextmix.class_of([b"ab"])
-    t.words, t.kinds = [b"", *(b"a" + bytes([x]) for x in range(256) if x not in (10, 32)), b"a"], [kind] * 256
-    t.pairs = np.arange(256) * 256  # each after the end of a text
-    b = contextmix.Bytes(t.words, t.kinds)
-    for step in m.walk(t, b, t.pairs):
-        if len(step) == 3:
-            lo, hi, order = step
-            chance, size = np.ones(len(order)), b.size[t.pairs[lo:hi] // 256]
-            continue
-        d, bit, mix = step[0], step[1], step[-1]
-        chance[: len(bit)] *= np.abs(m.refine(d, mix)[3] - (1 - bit))
-    each = np.empty(len(chance))
-    each[order] = chance
-    first = np.cumsum(size) - size
-    p = {w: each[i + 1] for w, i in zip(t.words, first, strict=True) if w}
-    assert 0.99 < sum(p.values()) < 1 + 1e-6  # but for a line feed in a word
+    every = [x for x in range(256) if x not in (10, 32)]
+    for x in every:
+        t.add([b"ab", prefix + bytes([x])])
+    t.kinds = [7] * len(t.words)  # the class is given
+    t.close()
+    chance = 0.0
+    for tail, (m, u) in enumerate(zip((x.mixer for x in found), contextmix.units(t), strict=True)):
+        bits, at = m.bits(u), {}
+        for i, owner in enumerate(u.owner.tolist()):
+            at.setdefault(owner, []).append(i)
+        if len(prefix) < 2 and not tail:
+            for i in range(len(every)):
+                chance += 2.0 ** -bits[at[int(t.which[3 * i + 1])][len(prefix)]]
+        elif len(prefix) >= 2 and tail:
+            for i in range(len(every)):
+                chance += 2.0 ** -bits[at[int(t.at[3 * i + 1])][len(prefix) - 2]]
+    assert 0.05 < chance < 1 + 1e-5  # the rest is the blank's and the line feed's
 
 
 def test_a_token_costs_by_its_length_and_learning_pays(spark, table):
@@ -137,9 +141,9 @@ def test_a_token_costs_by_its_length_and_learning_pays(spark, table):
     assert np.isfinite(got[101]["score"]) and got[101]["score"] < 5 * got[100]["score"] < 5 * -600
 
 
-def test_held_out_text_of_the_documents_is_scored_better_than_by_the_base(spark):
+def test_two_megabytes_suffice_to_reach_the_base(spark):
     rows = queries.op10_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert rows[0] > rows[1]
+    assert rows[0] > 1.01 * rows[1]
 
 
 @pytest.fixture(scope="module")
