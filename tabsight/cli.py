@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import date
 from pathlib import Path
 
 from .operators import versions as V
@@ -20,7 +21,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--out", default=".", help="folder for reports")
     p.add_argument("--vocabulary", action="append", default=[], help="YAML with more words")
     p.add_argument("--rows", type=int, help="most rows of a table")
-    p.add_argument("--as-of", default="2030-01-01")
+    p.add_argument("--as-of", default=date.today().isoformat())
     v = p.add_subparsers(dest="verb", required=True)
 
     def verb(name: str, *places: tuple[str, str | None], **options):

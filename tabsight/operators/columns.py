@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, text
 from ..functions.keys import clean, is_date, is_number, is_text, key_string, number
+from ..functions.quantiles import exact_quantiles
 from ..functions.ranges import range_id
 from ..settings import DATE_SENTINELS, DATE_TEXT, DEFAULT, MOJIBAKE, NUMBER_SENTINELS, PATTERNS, TEXT_SENTINELS, Settings
 
@@ -144,10 +145,11 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, n, min, max, mean, median, std, cv, skew, kurtosis): sample standard deviation, adjusted skewness and
     excess kurtosis; null where there are too few values or no spread."""
     columns = columns or numeric_columns(df)
+    middle = {c: F.lit(q[0] if q else None).cast("double") for c, q in exact_quantiles(df, {c: number(df, c) for c in columns}, [0.5]).items()}
 
     def fields(c):
         x = number(df, c)
-        return {"n": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "median": F.percentile(x, F.lit(0.5)), "std": F.stddev_samp(x), "g1": F.skewness(x), "g2": F.kurtosis(x)}
+        return {"n": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "median": middle[c], "std": F.stddev_samp(x), "g1": F.skewness(x), "g2": F.kurtosis(x)}
 
     n = F.col("n")
     out = long_form(df, columns, fields)
@@ -168,8 +170,8 @@ def sign_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def _quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """First and third quartile of each column: a row of numbers, collected to stand as constants in the next pass."""
-    row = df.agg(*(F.percentile(number(df, c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns))).first()
-    return {c: tuple(row[i]) for i, c in enumerate(columns) if row[i] is not None and row[i][0] is not None}
+    found = exact_quantiles(df, {c: number(df, c) for c in columns}, [0.25, 0.75])
+    return {c: tuple(q) for c, q in found.items() if q}
 
 
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, s: Settings = DEFAULT) -> DataFrame:
@@ -432,16 +434,17 @@ def _raw_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 # --- dates -------------------------------------------------------------------
 
 
-def date_profile(df: DataFrame, columns: list[str] | None = None, as_of: str = "2030-01-01") -> DataFrame:
+def date_profile(df: DataFrame, columns: list[str] | None = None, as_of: str | None = None) -> DataFrame:
     """(column, min_date, max_date, range_days, n_future, pct_weekend, pct_first_day, months_present, months_span).
 
-    Future dates, after ``as_of``, take no part in the months.
+    Future dates, after ``as_of`` (today unless given), take no part in the months.
     """
+    today = F.current_date() if as_of is None else F.lit(as_of)
 
     def fields(c):
         x = F.col(f"`{c}`")
         n = F.count(x)
-        past = F.when(x <= F.lit(as_of).cast("timestamp_ntz"), x)
+        past = F.when(x <= today.cast("timestamp_ntz"), x)
         month = F.year(past) * 12 + F.month(past)
         return {
             "min_date": F.date_format(F.min(x), "yyyy-MM-dd"), "max_date": F.date_format(F.max(x), "yyyy-MM-dd"),
@@ -489,5 +492,10 @@ def sample_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A uniform sample of rows: those with the least random keys."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+    """A uniform sample of rows: those with the least seeded hash of all their values, so it is the same in any layout of
+    the rows. Equal rows are counted, and drawn copy by copy."""
+    every = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    copies = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias("_copies"))
+    each = copies.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_copy").cast("string"), every))
+    return each.withColumn("_drawn", drawn).orderBy("_drawn").limit(n).select(*(F.col(f"`{c}`") for c in df.columns))

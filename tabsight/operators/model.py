@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import is_date, key_string
 from ..functions.similarity import jaro_winkler
 from .columns import ratio, value_counts
+from .tables import composite_keys
 
 Tables = dict[str, DataFrame]
 
@@ -87,6 +88,36 @@ def composite_fk(src: DataFrame, src_cols: list[str], dst: DataFrame, dst_cols:
     return out.withColumn("containment", ratio(F.col("n_contained"), F.col("n_tuples")))
 
 
+def composite_discovery(tables: Tables, links: DataFrame | None = None, least: float = 0.6, most_keys: int = 4) -> DataFrame:
+    """(src_table, src_cols, dst_table, dst_cols, containment, pct_orphans): tuples of one table that are keys of another.
+
+    Up to most_keys keys of several columns a table are tried against tables with equally or very similarly named columns
+    that no single column links to it already.
+    """
+    links = fk_discovery(tables) if links is None else links
+    linked = {(r["src_table"], r["dst_table"]) for r in links.select("src_table", "dst_table").distinct().collect()}  # at most the pairs of tables
+    rows = []
+    for dst, d in tables.items():
+        keys = [r["key"].split(", ") for r in composite_keys(d, most=most_keys).collect()]
+        for src, t in tables.items():
+            for key in keys if src != dst and (src, dst) not in linked else []:
+                if order := key_order([c for c in t.columns if any(jaro_winkler(c.lower(), k.lower()) >= 0.9 for k in key)], key):
+                    cols = [a for a, _ in order]
+                    found = composite_fk(t, cols, d, [b for _, b in order]).first()
+                    if found["n_tuples"] and found["containment"] >= least:
+                        rows.append((src, ", ".join(cols), dst, ", ".join(key), found["containment"], _orphan_rows(t, cols, d, [b for _, b in order])))
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "src_table string, src_cols string, dst_table string, dst_cols string, containment double, pct_orphans double")
+
+
+def _orphan_rows(src: DataFrame, src_cols: list[str], dst: DataFrame, dst_cols: list[str]) -> float:
+    """The share of the rows with whole tuples whose tuple the key does not have."""
+    names = [f"k{i}" for i in range(len(src_cols))]
+    a = src.select(*(key_string(src, c).alias(n) for c, n in zip(src_cols, names, strict=True))).dropna().groupBy(*names).agg(F.count("*").alias("c"))
+    b = dst.select(*(key_string(dst, c).alias(n) for c, n in zip(dst_cols, names, strict=True))).dropna().distinct().withColumn("hit", F.lit(1))
+    return a.join(b, names, "left").agg(ratio(F.sum(F.when(F.col("hit").isNull(), F.col("c")).otherwise(0)), F.sum("c"))).first()[0] or 0.0
+
+
 def key_order(columns_a: list[str], columns_b: list[str]) -> list[tuple[str, str]] | None:
     """Which column of a matches each of b, by equal or very like names; None if some has none."""
     best = max(permutations(columns_a, len(columns_b)), key=lambda p: sum(jaro_winkler(x.lower(), y.lower()) for x, y in zip(p, columns_b, strict=True)), default=None) if len(columns_a) >= len(columns_b) and len(columns_a) <= 8 else None
@@ -166,10 +197,26 @@ def suggested_analyses(fact: str, dims: list[tuple[str, str, str, list[str]]], m
     return out[:most]
 
 
-def model_warnings(links: DataFrame, roles: DataFrame) -> DataFrame:
-    """(severity, kind, subject)."""
-    orphans = links.where("pct_orphans > 0").select(F.when(F.col("pct_orphans") > 0.05, "high").otherwise("medium").alias("severity"), F.lit("orphans").alias("kind"), F.concat_ws(".", "src_table", "src_col").alias("subject"))
-    alone = roles.where("n_fk_out = 0 AND n_ref_by = 0").select(F.lit("medium").alias("severity"), F.lit("isolated table").alias("kind"), F.col("table").alias("subject"))
-    return orphans.unionByName(alone)
-
-
+def model_warnings(links: DataFrame, roles: DataFrame, tables: Tables | None = None, composites: DataFrame | None = None, grains: dict[str, list[str]] | None = None) -> DataFrame:
+    """(severity, kind, subject): orphans, keys stored as text here and as numbers there, tables without a link; with ``composites`` the
+    orphans of links by several columns; with ``grains`` (table: columns) rows that repeat their grain; with ``tables`` dates that do not overlap."""
+    row = lambda severity, kind, subject: [severity.alias("severity"), F.lit(kind).alias("kind"), subject.alias("subject")]
+    high, medium = F.lit("high"), F.lit("medium")
+    end = F.concat_ws(".", "src_table", "src_col")
+    found = [links.where("pct_orphans > 0").select(*row(F.when(F.col("pct_orphans") > 0.05, high).otherwise(medium), "orphans", end))]
+    alone = roles.where("n_fk_out = 0 AND n_ref_by = 0").select(*row(medium, "isolated table", F.col("table")))
+    if composites is not None:
+        joined = composites.select(F.col("src_table").alias("table")).union(composites.select("dst_table")).distinct()
+        alone = alone.join(joined, F.col("subject") == F.col("table"), "left_anti")
+        found.append(composites.where("pct_orphans > 0.05").select(*row(medium, "orphans of a key of several columns", F.concat(F.col("src_table"), F.lit("("), F.col("src_cols"), F.lit(")")))))
+    found.append(alone)
+    if tables:
+        text = {(t, c): k == "string" for t, df in tables.items() for c, k in df.dtypes}
+        kinds = F.create_map(*(x for (t, c), v in text.items() for x in (F.lit(f"{t}.{c}"), F.lit(v))))
+        unlike = kinds[end] != kinds[F.concat_ws(".", "dst_table", "dst_col")]
+        found.append(links.where(unlike).select(*row(high, "types of a key differ", F.concat(end, F.lit(" = "), F.concat_ws(".", "dst_table", "dst_col")))))
+        for t, columns in (grains or {}).items():
+            found.append(grain_check(tables[t], columns).where("not is_unique").select(*row(high, "grain violated", F.lit(f"{t}({', '.join(columns)})"))))
+        if sum(is_date(df, c) for df in tables.values() for c in df.columns) > 1:
+            found.append(temporal_coverage(tables).where("table = '*' AND min_date > max_date").select(*row(high, "no overlap in time", F.concat_ws(" > ", "min_date", "max_date"))))
+    return reduce(DataFrame.unionByName, found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions import documents, text
 from ..functions.keys import clean
 from ..settings import COLUMN_SHARE, DAMAGE, DATE_TEXT, DEFAULT, MOJIBAKE, PERSONAL_WEIGHTS, TABLE_SHARE, Settings
 from . import columns as C
-from .tables import duplicate_rows, identical_columns
+from .duplicates import name_groups
+from .tables import composite_keys, duplicate_rows, identical_columns, near_identical_columns
 
 
 def defects(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -96,28 +99,40 @@ def kpi_gap(spark, present: list[str], s: Settings = DEFAULT) -> DataFrame:
     return rules.select("id", "name", F.when(have == F.size("needed"), "enabled").when(have > 0, "partial").otherwise("blocked").alias("status"), have.alias("n_present"), F.size("needed").alias("n_needed"))
 
 
-def recommendations(df: DataFrame, table: str, s: Settings = DEFAULT) -> DataFrame:
-    """(column, priority, layer, action, rows_affected), by priority: what to do about each defect."""
+def recommendations(df: DataFrame, table: str, s: Settings = DEFAULT, money: list[str] | None = None, as_of: str | None = None) -> DataFrame:
+    """(column, priority, layer, action, rows_affected), by priority: what to do about each defect.
+
+    money: columns whose first digits are held against Benford's law. as_of: the day that "future" is judged by.
+    """
     p = C.column_profile(df, table, s=s)
     d = defects(df, s).drop("n_rows", "n_null")
     facts = p.join(d, "column")
-    sentinel_rows = C.sentinels(df, None, s).groupBy("column").agg(F.sum("cnt").alias("n_sentinel"))
-    facts = facts.join(sentinel_rows, "column", "left")
+    for more in _evidence(df, s, money or [], as_of):
+        facts = facts.join(more, "column", "left")
     none = F.lit(None).cast("long")
     is_ = lambda x: F.col("characteristic") == x
+    filled = F.col("n_rows") - F.col("n_null")
+    personal = F.coalesce(F.col("kind").isNotNull() & (F.col("kind") != "CNPJ"), F.lit(False))
     options = [
         (is_("empty"), "high", "Bronze", "drop the empty column", F.col("n_rows")),
-        (F.col("date_as_text"), "high", "Bronze", "cast the text to a date", F.col("n_rows") - F.col("n_null")),
+        (F.col("date_as_text"), "high", "Bronze", "cast the text to a date", filled),
+        (personal, "high", "Silver", "mask the personal data", filled),
         (F.col("pii_in_text"), "high", "Silver", "redact personal data in the text", none),
-        (F.col("sentinel"), "high", "Silver", "turn sentinels into nulls", F.col("n_sentinel")),
+        (F.col("sentinel"), "high", "Bronze", "turn sentinels into nulls", F.col("n_sentinel")),
         (F.col("mojibake"), "high", "Bronze", "load again with the right encoding", none),
-        (F.col("invalid_document"), "high", "Silver", "check documents with wrong digits", none),
+        (F.col("invalid_document"), "high", "Bronze", "check documents with wrong digits", none),
+        (F.col("n_out") > 0, "medium", "Bronze", "check values of another shape", F.col("n_out")),
         (F.col("spelling"), "medium", "Silver", "unify the spellings", none),
-        (is_("potential key") & (F.col("n_null") == 0), "low", "Silver", "use as a key", none),
-        (is_("potential key") & (F.col("n_null") > 0), "medium", "Silver", "make a surrogate key", F.col("n_null")),
-        (is_("near key"), "medium", "Silver", "look into the repeated keys", none),
-        (is_("quasi-constant") | is_("constant"), "low", "Silver", "leave out the constant column", none),
+        (is_("potential key") & personal, "medium", "Silver", "make a surrogate key and keep the personal one hashed", filled),
+        (is_("potential key") & ~personal & (F.col("n_null") == 0), "medium", "Silver", "use as a key", filled),
+        (is_("potential key") & ~personal & (F.col("n_null") > 0), "medium", "Silver", "use as a key once complete", F.col("n_null")),
+        (is_("near key"), "medium", "Bronze", "look into the repeated keys", none),
+        (is_("quasi-constant") | is_("constant"), "medium", "Silver", "leave out the constant column", none),
         (F.col("mixed_types"), "high", "Bronze", "separate the types", none),
+        (F.floor(F.col("n_outliers") / F.col("n_rows") * 1000 + 0.5) > 10, "medium", "Silver", "look into the outliers", F.col("n_outliers")),
+        (F.col("n_future") > 0, "medium", "Bronze", "check dates in the future", F.col("n_future")),
+        (F.col("n_gaps") > 0, "medium", "Bronze", "check months without rows", F.col("n_gaps")),
+        (F.col("off_digits") >= 0.05, "low", "Silver", "compare first digits with the source", F.col("n_digits")),
     ]
     rows = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(i).alias("k"), F.lit(pr).alias("priority"), F.lit(la).alias("layer"), F.lit(a).alias("action"), n.cast("long").alias("rows_affected"))) for i, (c, pr, la, a, n) in enumerate(options)))
     out = facts.select("column", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x"))
@@ -125,10 +140,36 @@ def recommendations(df: DataFrame, table: str, s: Settings = DEFAULT) -> DataFra
     return out.orderBy(rank, "column", "x.k").select("column", "x.priority", "x.layer", "x.action", "x.rows_affected")
 
 
-def table_recommendations(df: DataFrame) -> DataFrame:
-    """(priority, action, subject): copies of rows, equal columns; a single row says so if there is nothing."""
-    copies = duplicate_rows(df).where("n_extra > 0").select(F.lit("high").alias("priority"), F.lit("remove duplicate rows").alias("action"), F.col("n_extra").cast("string").alias("subject"))
-    same = identical_columns(df).select(F.lit("medium").alias("priority"), F.lit("drop one of two equal columns").alias("action"), F.concat_ws(" = ", "col_a", "col_b").alias("subject"))
-    found = copies.unionByName(same)
-    nothing = found.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("low").alias("priority"), F.lit("nothing found").alias("action"), F.lit("*").alias("subject"))
-    return found.unionByName(nothing)
+def _evidence(df: DataFrame, s: Settings, money: list[str], as_of: str | None) -> list[DataFrame]:
+    """Rows a column with what recommendations need beside the profile and the defects; each has all its columns."""
+    empty = lambda kind: df.sparkSession.createDataFrame([], f"column string, {kind}")
+    texts, numbers, dates = C.text_columns(df), C.numeric_columns(df), C.date_columns(df)
+    out = [C.sentinels(df, None, s).groupBy("column").agg(F.sum("cnt").alias("n_sentinel"))]
+    out.append(C.structured_pattern(df, texts, s).select("column", "kind") if texts else empty("kind string"))
+    out.append(C.dominant_shapes(df, texts).select("column", "n_out") if texts else empty("n_out long"))
+    out.append(C.iqr_outliers(df, numbers, s).select("column", "n_outliers") if numbers else empty("n_outliers long"))
+    spans = C.date_profile(df, dates, as_of).select("column", "n_future", (F.col("months_span") - F.col("months_present")).alias("n_gaps")) if dates else empty("n_future long, n_gaps long")
+    out.append(spans)
+    digits = [C.benford(df, c).agg(F.lit(c).alias("column"), F.max("deviation").alias("off_digits"), F.sum("cnt").alias("n_digits")) for c in money]
+    out.append(reduce(DataFrame.unionByName, digits) if digits else empty("off_digits double, n_digits long"))
+    return out
+
+
+def table_recommendations(df: DataFrame, s: Settings = DEFAULT, names: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(priority, action, subject): smaller types, copies of rows, equal and nearly equal columns, people written in several
+    ways (``names``: the columns to look in), keys of several columns (of ``keys``, where no column is one alone); a single
+    row says so if there is nothing."""
+    row = lambda priority, action, subject: [F.lit(priority).alias("priority"), F.lit(action).alias("action"), subject.cast("string").alias("subject")]
+    smaller = C.dtype_advice(df).where("suggested IS NOT NULL AND saving_pct >= 0.3").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" to ", "column", "suggested"))), ", ").alias("x"), F.count("*").alias("n")).where("n > 0")
+    found = [smaller.select(*row("low", "use smaller types", F.col("x")))]
+    found.append(duplicate_rows(df).where("n_extra > 0").select(*row("high", "remove duplicate rows", F.col("n_extra"))))
+    found.append(identical_columns(df).select(*row("medium", "drop one of two equal columns", F.concat_ws(" = ", "col_a", "col_b"))))
+    found.append(near_identical_columns(df, s=s).select(*row("high", "reconcile two nearly equal columns", F.concat_ws(" ~ ", "col_a", "col_b"))))
+    for c in names or []:
+        groups = name_groups(df, c).agg(F.count("*").alias("n")).where("n > 0")
+        found.append(groups.select(*row("high", "deduplicate people written in several ways", F.concat(F.lit(f"{c}: "), F.col("n")))))
+    if keys:
+        found.append(composite_keys(df, keys).select(*row("medium", "use a key of several columns", F.col("key"))))
+    every = reduce(DataFrame.unionByName, found)
+    nothing = every.agg(F.count("*").alias("n")).where("n = 0").select(*row("low", "nothing found", F.lit("*")))
+    return every.unionByName(nothing)

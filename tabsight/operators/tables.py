@@ -42,10 +42,34 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, int]:
-    """Distinct values of each column, null not counted: a row of numbers."""
+    """Distinct values of each column, null not counted: a row a column is collected."""
     columns = columns or df.columns
-    row = df.agg(*(F.count_distinct(key_string(df, c)).alias(f"n{i}") for i, c in enumerate(columns))).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+    return dict(zip(columns, _distinct(df, [(c,) for c in columns], nulls=False), strict=True))
+
+
+def _distinct(df: DataFrame, sets: list[tuple[str, ...]], nulls: bool = True) -> list[int]:
+    """Distinct tuples of each set of columns, counted by one aggregation with map-side combining."""
+    if not sets:
+        return []
+    keys = lambda c: F.array(*(key_string(df, x) for x in c))
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), keys(c).alias("k")) for i, c in enumerate(sets)))
+    cells = df.select(F.inline(pairs))
+    if not nulls:
+        cells = cells.where(F.col("k")[0].isNotNull())
+    found = {r["i"]: r["n"] for r in cells.groupBy("i", "k").agg(F.lit(1).alias("_")).groupBy("i").agg(F.count("*").alias("n")).collect()}
+    return [found.get(i, 0) for i in range(len(sets))]
+
+
+def _sketched(df: DataFrame, sets: list[tuple[str, ...]]) -> list[int]:
+    """About the distinct tuples of each set of columns (deviation 1 %), from sketches of fixed size."""
+    out: list[int] = []
+    for i in range(0, len(sets), CHUNK):
+        out += list(df.agg(*(F.approx_count_distinct(F.struct(*(key_string(df, x).alias(x) for x in c)), 0.01).alias(f"k{k}") for k, c in enumerate(sets[i : i + CHUNK]))).first())
+    return out
+
+
+#: Six deviations of a sketch: no set that could pass is left out on its account.
+_SLACK = 0.06
 
 
 def composite_keys(df: DataFrame, columns: list[str] | None = None, most: int = 3) -> DataFrame:
@@ -65,32 +89,29 @@ def composite_keys(df: DataFrame, columns: list[str] | None = None, most: int =
         tried = [c for c in combinations(pool, size) if reduce(lambda a, b: a * b, (card[x] for x in c)) >= n]
         if not tried:
             continue
-        row = df.agg(*(F.count_distinct(F.struct(*(key_string(df, x).alias(x) for x in c))).alias(f"k{i}") for i, c in enumerate(tried))).first()
-        if found := [(", ".join(c), size, n, row[i]) for i, c in enumerate(tried) if row[i] == n][:most]:
+        tried = [c for c, k in zip(tried, _sketched(df, tried), strict=True) if k >= (1 - _SLACK) * n]
+        if found := [(", ".join(c), size, n, k) for c, k in zip(tried, _distinct(df, tried), strict=True) if k == n][:most]:
             return spark.createDataFrame(found, kind)
     return spark.createDataFrame([], kind)
 
 
 def functional_dependencies(df: DataFrame, columns: list[str] | None = None, s: Settings = DEFAULT) -> DataFrame:
-    """(determinant, dependent, kind): exact dependencies, null being a value; both ways at once is an equivalence."""
+    """(determinant, dependent, kind): exact dependencies, null being a value; both ways at once is an equivalence.
+
+    Sketches rule out nearly all pairs; the rest are counted exactly.
+    """
     columns = columns or df.columns
     n = df.count()
-    null_safe = {c: F.struct(key_string(df, c).alias("v")) for c in columns}
-    row = df.agg(*(F.count_distinct(null_safe[c]).alias(f"c{i}") for i, c in enumerate(columns))).first()
-    card = {c: row[i] for i, c in enumerate(columns)}
+    card = dict(zip(columns, _distinct(df, [(c,) for c in columns]), strict=True))
     usable = [c for c in columns if 1 < card[c] < s.fd_max_distinct and card[c] < s.fd_max_uniqueness * n]
-    pairs = [(a, b) for a, b in combinations(usable, 2)]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "determinant string, dependent string, kind string")
-
-    def one(p):
-        both = F.count_distinct(F.struct(*(key_string(df, c).alias(c) for c in p)))
-        return F.struct(F.lit(p[0]).alias("a"), F.lit(p[1]).alias("b"), both.alias("n"), F.lit(card[p[0]]).alias("ca"), F.lit(card[p[1]]).alias("cb"))
-
-    counts = _chunked(df.select(*columns), pairs, one)
-    forward, backward = F.col("n") == F.col("ca"), F.col("n") == F.col("cb")
-    arrow = F.when(forward, F.struct(F.col("a").alias("determinant"), F.col("b").alias("dependent"))).when(backward, F.struct(F.col("b").alias("determinant"), F.col("a").alias("dependent")))
-    return counts.where(forward | backward).select(arrow["determinant"].alias("determinant"), arrow["dependent"].alias("dependent"), F.when(forward & backward, "equivalence").otherwise("direct").alias("kind"))
+    pairs = list(combinations(usable, 2))
+    few = [p for p, k in zip(pairs, _sketched(df, pairs), strict=True) if k <= (1 + _SLACK) * max(card[x] for x in p)]
+    rows = []
+    for (a, b), k in zip(few, _distinct(df, few), strict=True):
+        if k in (card[a], card[b]):
+            first, second = (a, b) if k == card[a] else (b, a)
+            rows.append((first, second, "equivalence" if card[a] == card[b] else "direct"))
+    return df.sparkSession.createDataFrame(rows, "determinant string, dependent string, kind string")
 
 
 def hierarchies(dependencies: list[tuple[str, str, str]]) -> list[list[str]]:

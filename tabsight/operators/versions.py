@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import is_number, is_text, key_string, number
+from ..functions.quantiles import exact_quantiles
 from .columns import logical_type, long_form, ratio, value_counts
 
 # --- versions ----------------------------------------------------------------
@@ -40,12 +42,15 @@ def column_behaviour(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def numeric_drift(a: DataFrame, b: DataFrame, columns: list[str], least: float = 0.5) -> DataFrame:
     """(column, median_a, median_b, shift, drifted): the medians' distance in interquartile ranges of the first."""
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    one = lambda df: long_form(df, columns, lambda c: {"q": F.percentile(number(df, c), q), "n": F.count(number(df, c))})
-    out = one(a).withColumnsRenamed({"q": "qa", "n": "na"}).join(one(b).withColumnsRenamed({"q": "qb", "n": "nb"}), "column").where("na >= 10 AND nb >= 10")
-    spread = F.col("qa")[2] - F.col("qa")[0]
-    shift = F.when(spread > 0, F.floor(F.abs(F.col("qb")[1] - F.col("qa")[1]) / spread * 10000 + 0.5) / 10000.0)
-    return out.select("column", F.col("qa")[1].alias("median_a"), F.col("qb")[1].alias("median_b"), shift.alias("shift"), F.coalesce(shift >= least, F.lit(False)).alias("drifted"))
+    qa, qb = (exact_quantiles(df, {c: number(df, c) for c in columns}, [0.25, 0.5, 0.75]) for df in (a, b))
+    na, nb = (df.agg(*(F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(columns))).first() for df in (a, b))
+    rows = []
+    for i, c in enumerate(columns):
+        if na[i] >= 10 and nb[i] >= 10:
+            spread = qa[c][2] - qa[c][0]
+            shift = math.floor(abs(qb[c][1] - qa[c][1]) / spread * 10000 + 0.5) / 10000.0 if spread > 0 else None
+            rows.append((c, qa[c][1], qb[c][1], shift, shift is not None and shift >= least))
+    return a.sparkSession.createDataFrame(rows, "column string, median_a double, median_b double, shift double, drifted boolean")
 
 
 def categorical_drift(a: DataFrame, b: DataFrame, columns: list[str], least: float = 0.2, most_levels: int = 50) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,13 @@ def _rows(df: DataFrame, most: int | None = None) -> list[dict]:
 
 @dataclass
 class Profiler:
-    """Runs the engine on tables. ``context`` is the vocabulary, ``as_of`` the day that "future" is judged by."""
+    """Runs the engine on tables. ``context`` is the vocabulary, ``as_of`` the day that "future" is judged by, today unless given."""
 
     spark: SparkSession
     settings: Settings = DEFAULT
     context: S.Context = field(default_factory=S.Context)
     row_limit: int | None = None
-    as_of: str = "2030-01-01"
+    as_of: str = field(default_factory=lambda: date.today().isoformat())
 
     # --- one table ---
 
@@ -75,7 +76,7 @@ class Profiler:
         out["score"] = _rows(Q.quality_score(df, s))[0]
         out["exposure"] = _rows(Q.personal_exposure(df, [c for c in sensitive if by[c]["role"] == "person name"], s))[0]
         out["kpi_gap"] = _rows(Q.kpi_gap(self.spark, sorted({c["primary"] for c in columns if c["primary"]}), s))
-        out["recommendations"] = _rows(Q.recommendations(df, name, s)) + [{"column": "*", "layer": "Silver", "rows_affected": None, "action": f"{r['action']} ({r['subject']})", "priority": r["priority"]} for r in _rows(Q.table_recommendations(df))]
+        out["recommendations"] = _rows(Q.recommendations(df, name, s, [c for c in measures if by[c]["primary"] == "money"], self.as_of)) + [{"column": "*", "layer": "Silver", "rows_affected": None, "action": f"{r['action']} ({r['subject']})", "priority": r["priority"]} for r in _rows(Q.table_recommendations(df))]
         out["duplicates"] = _rows(T.duplicate_rows(df))[0]
         out["composite_keys"] = _rows(T.composite_keys(df, [c for c in df.columns if c not in measures]))
         found = _rows(T.functional_dependencies(df, few, s)) if len(few) > 1 else []
@@ -95,13 +96,13 @@ class Profiler:
         return out
 
     def _series(self, df: DataFrame, dates: list[str], measures: list[str]) -> Payload:
-        date = T.reference_date(df, dates) if dates else None
-        grain = T.best_grain(df, date) if date and measures else None
+        day = T.reference_date(df, dates) if dates else None
+        grain = T.best_grain(df, day) if day and measures else None
         if not grain:
             return {}
         ops = {c: M.aggregate_of(c) for c in measures}
-        series = T.time_series(df, date, ops, grain)
-        return {"date": date, "grain": grain, "tests": _rows(H.series_tests(series, measures, self.settings))}
+        series = T.time_series(df, day, ops, grain)
+        return {"date": day, "grain": grain, "tests": _rows(H.series_tests(series, measures, self.settings))}
 
     def profile_file(self, path: str, **options: Any) -> Payload:
         t = load_table(self.spark, path, row_limit=self.row_limit, **options)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import model as M
 from ..operators import quality as Q
 from ..operators import versions as V
+from ..settings import KPI_RULES, PATTERNS, PERSONAL_WEIGHTS
 from .base import four, query, read
 from .columns import DIRTY_LINEITEM, dirty_lineitem
 
@@ -114,7 +115,7 @@ _A = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FR
 _B = "(SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 5 < 3 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, o_totalprice * 2 AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 4 <> 1)"
 
 
-@query("SELECT * FROM (VALUES ('o_orderkey', 'common'), ('o_custkey', 'common'), ('o_orderstatus', 'common'), ('o_totalprice', 'common'), ('o_orderdate', 'removed'), ('o_orderpriority', 'added')) v(\"column\", status)")
+@query(f"SELECT coalesce(a.column_name, b.column_name) AS \"column\", CASE WHEN b.column_name IS NULL THEN 'removed' WHEN a.column_name IS NULL THEN 'added' ELSE 'common' END AS status FROM (SELECT column_name FROM (DESCRIBE SELECT * FROM {_A})) a FULL JOIN (SELECT column_name FROM (DESCRIBE SELECT * FROM {_B})) b USING (column_name)")
 def schema_diff(spark: SparkSession, d: str) -> DataFrame:
     return V.schema_diff(*versions(spark, d))
 
@@ -218,26 +219,113 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     return Q.quality_score(dirty_lineitem(spark, d))
 
 
-@query("SELECT 0.85 AS exposure, 'high' AS level, 2::BIGINT AS n_columns FROM customer LIMIT 1")
+_PEOPLE = "(SELECT regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g') || '@mail.org' AS email, lpad((c_custkey % 90000 + 10000)::VARCHAR, 5, '0') || '-000' AS zip, c_mktsegment FROM customer)"
+
+
+def _exposed() -> str:
+    each = [f"SELECT {PERSONAL_WEIGHTS[k]} AS w FROM {_PEOPLE} HAVING count(*) FILTER (WHERE regexp_matches({c}, '{PATTERNS[k]}')) >= 0.75 * count({c})" for c in ("email", "zip", "c_mktsegment") for k in ("E-mail", "CEP")]
+    return f"SELECT exposure, CASE WHEN exposure >= 0.8 THEN 'high' WHEN exposure >= 0.5 THEN 'medium' WHEN exposure > 0 THEN 'low' ELSE 'none' END AS level, n_columns FROM (SELECT {four('least(1.0, coalesce(max(w), 0) + 0.05 * greatest(count(*) - 1, 0))::DOUBLE')} AS exposure, count(*) AS n_columns FROM ({' UNION ALL '.join(each)}))"
+
+
+@query(_exposed())
 def personal_data_exposure(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer")
     t = c.select(F.concat(F.regexp_replace("c_name", "[^A-Za-z0-9]", ""), F.lit("@mail.org")).alias("email"), F.concat(F.lpad((F.col("c_custkey") % 90000 + 10000).cast("string"), 5, "0"), F.lit("-000")).alias("zip"), "c_mktsegment")
     return Q.personal_exposure(t)
 
 
-@query("SELECT * FROM (VALUES ('KPI_HR_001', 'Effort by department', 'enabled', 2, 2), ('KPI_HR_002', 'Leadership by profile', 'blocked', 0, 2), ('KPI_HR_003', 'Staff cost over time', 'partial', 1, 2), ('KPI_HR_004', 'Turnover', 'blocked', 0, 2), ('KPI_TREIN_001', 'Training effectiveness', 'blocked', 0, 2), ('KPI_GEO_001', 'Headcount by place', 'partial', 1, 2)) v(id, name, status, n_present, n_needed)")
+_HAVE = ("organization", "quantity", "money")
+_NEED = ", ".join(f"('{i}', '{n}', {list(x)})" for i, n, x in KPI_RULES)
+
+
+@query(f"SELECT id, name, CASE WHEN k = len(needed) THEN 'enabled' WHEN k > 0 THEN 'partial' ELSE 'blocked' END AS status, k::INT AS n_present, len(needed)::INT AS n_needed FROM (SELECT *, len(list_intersect(needed, {list(_HAVE)})) AS k FROM (VALUES {_NEED}) v(id, name, needed))")
 def kpi_gap(spark: SparkSession, d: str) -> DataFrame:
-    return Q.kpi_gap(spark, ["organization", "quantity", "money"])
+    return Q.kpi_gap(spark, list(_HAVE))
+
 
+_DAY = "1999-01-01"
+_SENTINELS = f"SELECT 'flag' AS \"column\", count(*) FILTER (WHERE flag = 'N/A') AS n FROM {DIRTY_LINEITEM} UNION ALL SELECT 'price', count(*) FILTER (WHERE price = -1) FROM {DIRTY_LINEITEM} UNION ALL SELECT 'shipped', count(*) FILTER (WHERE shipped = TIMESTAMP '1900-01-01') FROM {DIRTY_LINEITEM}"
+_GAPS = f"SELECT 'shipped' AS \"column\", max(m) - min(m) + 1 - count(DISTINCT m) AS n FROM (SELECT year(shipped) * 12 + month(shipped) AS m FROM {DIRTY_LINEITEM} WHERE shipped <= TIMESTAMP '{_DAY}')"
 
-@query(f"SELECT \"column\", 'high' AS priority, 'Silver' AS layer, 'turn sentinels into nulls' AS action, n AS rows_affected FROM (SELECT 'flag' AS \"column\", count(*) FILTER (WHERE flag = 'N/A') AS n FROM {DIRTY_LINEITEM} UNION ALL SELECT 'price', count(*) FILTER (WHERE price = -1) FROM {DIRTY_LINEITEM} UNION ALL SELECT 'shipped', count(*) FILTER (WHERE shipped = TIMESTAMP '1900-01-01') FROM {DIRTY_LINEITEM})")
+
+def _outlying(columns: tuple[str, ...], table: str) -> str:
+    one = "SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS n, count(*) AS rows FROM {t}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t})"
+    return "SELECT \"column\", n FROM (" + " UNION ALL ".join(one.format(c=c, t=table) for c in columns) + ") WHERE floor(n / rows * 1000 + 0.5) > 10"
+
+
+@query(f"SELECT \"column\", 'high' AS priority, 'Bronze' AS layer, 'turn sentinels into nulls' AS action, n AS rows_affected FROM ({_SENTINELS}) UNION ALL SELECT *, FROM (SELECT \"column\", 'medium', 'Bronze', 'check months without rows', n FROM ({_GAPS}) WHERE n > 0) UNION ALL SELECT \"column\", 'medium', 'Bronze', 'check dates in the future', n FROM (SELECT 'shipped' AS \"column\", count(*) FILTER (WHERE shipped > TIMESTAMP '{_DAY}') AS n FROM {DIRTY_LINEITEM}) WHERE n > 0 UNION ALL SELECT \"column\", 'medium', 'Silver', 'look into the outliers', n FROM ({_outlying(('qty', 'price'), DIRTY_LINEITEM)})".replace("SELECT *, FROM", "SELECT * FROM"))
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    return Q.recommendations(dirty_lineitem(spark, d), "lineitem")
+    return Q.recommendations(dirty_lineitem(spark, d), "lineitem", as_of=_DAY)
 
 
-@query("SELECT 'high' AS priority, 'remove duplicate rows' AS action, (sum(c) - count(*))::BIGINT::VARCHAR AS subject FROM (SELECT count(*) AS c FROM (SELECT n_name, n_regionkey FROM nation UNION ALL SELECT n_name, n_regionkey FROM nation WHERE n_nationkey < 5) GROUP BY ALL, n_name) UNION ALL SELECT 'medium', 'drop one of two equal columns', 'n_regionkey = again'".replace("GROUP BY ALL, n_name", "GROUP BY n_name, n_regionkey"))
+@query("SELECT 'high' AS priority, 'remove duplicate rows' AS action, (sum(c) - count(*))::BIGINT::VARCHAR AS subject FROM (SELECT count(*) AS c FROM (SELECT n_name, n_regionkey FROM nation UNION ALL SELECT n_name, n_regionkey FROM nation WHERE n_nationkey < 5) GROUP BY ALL, n_name) UNION ALL SELECT 'medium', 'drop one of two equal columns', 'n_regionkey = again' FROM nation HAVING count(*) > 0 UNION ALL SELECT 'low', 'use smaller types', 'again to tinyint, n_regionkey to tinyint' FROM nation HAVING min(n_regionkey) >= -128 AND max(n_regionkey) <= 127".replace("GROUP BY ALL, n_name", "GROUP BY n_name, n_regionkey"))
 def table_recommendations(spark: SparkSession, d: str) -> DataFrame:
     n = read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey", F.col("n_regionkey").alias("again"))
     return Q.table_recommendations(n.unionByName(n.where("n_nationkey < 5")).drop("n_nationkey"))
 
 
+
+
+_BUYERS = "(SELECT regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g') || c_custkey || '@mail.org' AS email, CASE WHEN c_custkey % 10 = 0 THEN 'odd ' || c_custkey ELSE 'C-' || lpad((c_custkey % 9000 + 1000)::VARCHAR, 4, '0') END AS code, CASE WHEN c_custkey % 25 = 0 THEN 1e7 ELSE c_acctbal END AS balance, CASE WHEN c_custkey % 8 = 0 THEN TIMESTAMP '2001-05-01' ELSE TIMESTAMP '1995-03-01' END AS since FROM customer)"
+_DIGITS = f"SELECT substr(floor(balance)::BIGINT::VARCHAR, 1, 1)::INT AS digit, count(*) AS n FROM {_BUYERS} WHERE balance >= 100 GROUP BY 1"
+_OFF = f"SELECT max({four('abs(' + four('n / total') + ' - ' + four('log10(1 + 1 / digit)') + ')')}) AS off, sum(n)::BIGINT AS n FROM (SELECT digit, n, sum(n) OVER () AS total FROM ({_DIGITS}))"
+
+
+@query(
+    f"""SELECT 'email' AS "column", 'high' AS priority, 'Silver' AS layer, 'mask the personal data' AS action, count(email) AS rows_affected FROM {_BUYERS} HAVING count(*) FILTER (WHERE regexp_matches(email, '{PATTERNS["E-mail"]}')) >= 0.75 * count(email)
+    UNION ALL SELECT 'email', 'medium', 'Silver', 'make a surrogate key and keep the personal one hashed', count(email) FROM {_BUYERS} HAVING count(DISTINCT email) = count(*)
+    UNION ALL SELECT 'code', 'medium', 'Bronze', 'check values of another shape', count(*) FILTER (WHERE NOT regexp_matches(code, '^C-[0-9]{{4}}$')) FROM {_BUYERS} HAVING count(*) FILTER (WHERE regexp_matches(code, '^C-[0-9]{{4}}$')) >= 0.8 * count(*)
+    UNION ALL SELECT "column", 'medium', 'Silver', 'look into the outliers', n FROM ({_outlying(("balance",), _BUYERS)})
+    UNION ALL SELECT 'since', 'medium', 'Bronze', 'check dates in the future', count(*) FILTER (WHERE since > TIMESTAMP '{_DAY}') FROM {_BUYERS} HAVING count(*) FILTER (WHERE since > TIMESTAMP '{_DAY}') > 0
+    UNION ALL SELECT 'balance', 'low', 'Silver', 'compare first digits with the source', n FROM ({_OFF}) WHERE off >= 0.05"""
+)
+def recommendations_people(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data, codes of another shape, outliers, dates in the future, first digits."""
+    k = F.col("c_custkey")
+    t = read(spark, d, "customer").select(
+        F.concat(F.regexp_replace("c_name", "[^A-Za-z0-9]", ""), k.cast("string"), F.lit("@mail.org")).alias("email"),
+        F.when(k % 10 == 0, F.concat(F.lit("odd "), k.cast("string"))).otherwise(F.concat(F.lit("C-"), F.lpad((k % 9000 + 1000).cast("string"), 4, "0"))).alias("code"),
+        F.when(k % 25 == 0, F.lit(1e7)).otherwise(F.col("c_acctbal")).alias("balance"),
+        F.when(k % 8 == 0, F.lit("2001-05-01").cast("timestamp_ntz")).otherwise(F.lit("1995-03-01").cast("timestamp_ntz")).alias("since"),
+    )
+    return Q.recommendations(t, "people", money=["balance"], as_of=_DAY)
+
+
+def turns(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Turns of conversations, and marks given to some of them and to turns that do not exist."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", "role")
+    marks = c.where("conv_id % 3 = 0").select("conv_id", F.when(F.col("conv_id") % 4 == 0, F.col("turn") + 1000).otherwise(F.col("turn")).alias("turn"), (F.col("turn") * 2 + F.col("conv_id") % 2).alias("mark"))
+    return {"turns": c, "marks": marks}
+
+
+_MARKS = "(SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN turn + 1000 ELSE turn END AS turn FROM conversations WHERE conv_id % 3 = 0)"
+_BOTH = f"SELECT count(DISTINCT (m.conv_id, m.turn)) AS tuples, count(DISTINCT CASE WHEN c.conv_id IS NOT NULL THEN (m.conv_id, m.turn) END) AS held, count(*) AS rows, count(*) FILTER (WHERE c.conv_id IS NULL) AS orphans FROM {_MARKS} m LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations) c USING (conv_id, turn)"
+
+
+@query(f"SELECT 'marks' AS src_table, 'conv_id, turn' AS src_cols, 'turns' AS dst_table, 'conv_id, turn' AS dst_cols, {four('held / tuples')} AS containment, {four('orphans / rows')} AS pct_orphans FROM ({_BOTH}) WHERE held >= 0.6 * tuples AND (SELECT count(*) = count(DISTINCT (conv_id, turn)) FROM conversations)")
+def composite_fk_discovery(spark: SparkSession, d: str) -> DataFrame:
+    return M.composite_discovery(turns(spark, d), _no_links(spark)).where("dst_table = 'turns'")
+
+
+def _no_links(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "src_table string, src_col string, dst_table string, dst_col string, pct_orphans double")
+
+
+_SPAN = "SELECT (SELECT max(o_orderdate) FROM orders) AS a, (SELECT min(o_orderdate) + INTERVAL 40 YEAR FROM orders) AS b"
+
+
+@query(
+    f"""SELECT 'high' AS severity, 'types of a key differ' AS kind, 'orders.o_custkey = customer.c_custkey' AS subject FROM orders, customer WHERE o_custkey = c_custkey HAVING count(*) > 0
+    UNION ALL SELECT 'high', 'grain violated', 'orders(o_custkey)' FROM orders HAVING count(*) > count(DISTINCT o_custkey)
+    UNION ALL SELECT 'high', 'no overlap in time', strftime(b, '%Y-%m-%d') || ' > ' || strftime(a, '%Y-%m-%d') FROM ({_SPAN}) WHERE b > a
+    UNION ALL SELECT 'medium', 'orphans of a key of several columns', 'marks(conv_id, turn)' FROM ({_BOTH}) WHERE {four('orphans / rows')} > 0.05 AND held >= 0.6 * tuples"""
+)
+def model_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Unlike types of a key, a repeated grain, dates that do not overlap, orphans of a key of two columns."""
+    o = read(spark, d, "orders")
+    t = {"orders": o.select(F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderdate"), "customer": read(spark, d, "customer").select("c_custkey"), "later": o.select(F.expr("o_orderdate + INTERVAL '40' YEAR").alias("day"))} | turns(spark, d)
+    links = M.fk_discovery({k: t[k] for k in ("orders", "customer")}).where("src_col = 'o_custkey'")
+    composites = M.composite_discovery({k: t[k] for k in ("turns", "marks")}, _no_links(spark)).where("dst_table = 'turns'")
+    roles = spark.createDataFrame([("orders", 1, 0)], "table string, n_fk_out long, n_ref_by long")
+    found = M.model_warnings(links, roles, t, composites, {"orders": ["o_custkey"]})
+    return found.where("kind NOT IN ('orphans', 'isolated table')")

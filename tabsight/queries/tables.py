@@ -68,10 +68,15 @@ def bijections(spark: SparkSession, d: str) -> DataFrame:
     return T.functional_dependencies(geography(spark, d), GEO).where("kind = 'equivalence'")
 
 
-#: Days, months and years of a date make three levels.
-@query("SELECT 1 AS chain, 1 AS level, 'day' AS \"column\" UNION ALL SELECT 1, 2, 'month' UNION ALL SELECT 1, 3, 'year'")
+_CALENDAR = "(SELECT strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate) || '-' || quarter(o_orderdate) AS quarter, year(o_orderdate) AS year FROM orders)"
+_LEVELS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n FROM {_CALENDAR}" for c in ("month", "quarter", "year"))
+
+
+@query(f"SELECT 1 AS chain, row_number() OVER (ORDER BY n DESC)::INT AS level, \"column\" FROM ({_LEVELS}) WHERE (SELECT count(DISTINCT month) = count(DISTINCT (month, quarter)) AND count(DISTINCT quarter) = count(DISTINCT (quarter, year)) FROM {_CALENDAR})")
 def hierarchies(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "orders").where("year(o_orderdate) = 1995").select(F.dayofyear("o_orderdate").alias("day"), F.month("o_orderdate").alias("month"), F.quarter("o_orderdate").alias("year"))
+    """Months, quarters and years of a date make three levels."""
+    day = F.col("o_orderdate")
+    t = read(spark, d, "orders").select(F.date_format(day, "yyyy-MM").alias("month"), F.concat_ws("-", F.year(day).cast("string"), F.quarter(day).cast("string")).alias("quarter"), F.year(day).alias("year"))
     return T.hierarchy_levels(t)
 
 
