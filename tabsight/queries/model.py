@@ -253,7 +253,7 @@ def _outlying(columns: tuple[str, ...], table: str) -> str:
     return "SELECT \"column\", n FROM (" + " UNION ALL ".join(one.format(c=c, t=table) for c in columns) + ") WHERE floor(n / rows * 1000 + 0.5) > 10"
 
 
-@query(f"SELECT \"column\", 'high' AS priority, 'Bronze' AS layer, 'turn sentinels into nulls' AS action, n AS rows_affected FROM ({_SENTINELS}) UNION ALL SELECT *, FROM (SELECT \"column\", 'medium', 'Bronze', 'check months without rows', n FROM ({_GAPS}) WHERE n > 0) UNION ALL SELECT \"column\", 'medium', 'Bronze', 'check dates in the future', n FROM (SELECT 'shipped' AS \"column\", count(*) FILTER (WHERE shipped > TIMESTAMP '{_DAY}') AS n FROM {DIRTY_LINEITEM}) WHERE n > 0 UNION ALL SELECT \"column\", 'medium', 'Silver', 'look into the outliers', n FROM ({_outlying(('qty', 'price'), DIRTY_LINEITEM)})".replace("SELECT *, FROM", "SELECT * FROM"))
+@query(f"SELECT \"column\", 'high' AS priority, 'Bronze' AS layer, 'turn sentinels into nulls' AS action, n AS rows_affected FROM ({_SENTINELS}) UNION ALL SELECT *, FROM (SELECT \"column\", 'medium', 'Bronze', 'check months without rows', n FROM ({_GAPS}) WHERE n > 0) UNION ALL SELECT \"column\", 'medium', 'Bronze', 'check dates in the future', n FROM (SELECT 'shipped' AS \"column\", count(*) FILTER (WHERE shipped > TIMESTAMP '{_DAY}') AS n FROM {DIRTY_LINEITEM}) WHERE n > 0 UNION ALL SELECT \"column\", 'medium', 'Silver', 'look into the outliers', n FROM ({_outlying(('qty', 'price'), DIRTY_LINEITEM)}) UNION ALL SELECT 'flag', 'medium', 'Bronze', 'check values of another shape', n FROM (SELECT count(*) FILTER (WHERE length(flag) > 1) AS n, count(flag) AS filled FROM {DIRTY_LINEITEM}) WHERE n > 0 AND filled - n >= 0.8 * filled".replace("SELECT *, FROM", "SELECT * FROM"))
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
     return Q.recommendations(dirty_lineitem(spark, d), "lineitem", as_of=_DAY)
 
@@ -275,6 +275,7 @@ _OFF = f"SELECT max({four('abs(' + four('n / total') + ' - ' + four('log10(1 + 1
     f"""SELECT 'email' AS "column", 'high' AS priority, 'Silver' AS layer, 'mask the personal data' AS action, count(email) AS rows_affected FROM {_BUYERS} HAVING count(*) FILTER (WHERE regexp_matches(email, '{PATTERNS["E-mail"]}')) >= 0.75 * count(email)
     UNION ALL SELECT 'email', 'medium', 'Silver', 'make a surrogate key and keep the personal one hashed', count(email) FROM {_BUYERS} HAVING count(DISTINCT email) = count(*)
     UNION ALL SELECT 'code', 'medium', 'Bronze', 'check values of another shape', count(*) FILTER (WHERE NOT regexp_matches(code, '^C-[0-9]{{4}}$')) FROM {_BUYERS} HAVING count(*) FILTER (WHERE regexp_matches(code, '^C-[0-9]{{4}}$')) >= 0.8 * count(*)
+    UNION ALL SELECT 'code', 'medium', 'Silver', 'use as a key', count(code) FROM {_BUYERS} HAVING count(DISTINCT code) = count(*)
     UNION ALL SELECT "column", 'medium', 'Silver', 'look into the outliers', n FROM ({_outlying(("balance",), _BUYERS)})
     UNION ALL SELECT 'since', 'medium', 'Bronze', 'check dates in the future', count(*) FILTER (WHERE since > TIMESTAMP '{_DAY}') FROM {_BUYERS} HAVING count(*) FILTER (WHERE since > TIMESTAMP '{_DAY}') > 0
     UNION ALL SELECT 'balance', 'low', 'Silver', 'compare first digits with the source', n FROM ({_OFF}) WHERE off >= 0.05"""
