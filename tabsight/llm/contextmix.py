@@ -7,7 +7,7 @@ followed their hashed context in the training texts. Their stretched probabiliti
 gate selects (which decision, and how often the longer contexts were seen), and an adaptive map refines the mix.
 
 A token's first two bytes, its head, have contexts that reach across the blank: the word so far with the class, the last
-three and six bytes, and the word so far with the whole word before. The other bytes, its tail, have the last two bytes with
+three and six bytes, and the word so far with the whole word before and the class. The other bytes, its tail, have the last two bytes with
 the class, the last three, the word so far, and that with the class. So a head's bits are worked out once for each
 different (head, word before) of some texts, and a tail's once for each different word.
 """
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 
 #: The end of a text as a token (no word is empty), and as it is coded; also what stands before a text's first token.
 END, END_BYTE = b"", 10
@@ -35,7 +36,8 @@ _STEPS = 512
 #: Gates: decision (the last stands for all later ones), and how often each of the last three contexts was seen.
 _DEPTHS = 8
 _SETS = _DEPTHS * 64
-#: Cells of a decision's refinement, over stretched probabilities of -8 to 8; bytes that are worked on at once.
+#: Cells of a decision's refinement, over stretched probabilities of -8 to 8; bytes that are worked on at once,
+#: fewer of them as long as little is learned.
 _CELLS, PIECE = 33, 1 << 15
 #: The first texts of a task are learned from in parts that double so often; how fast weights are learned.
 FIRST_PARTS, RATE = 5, 0.05
@@ -121,12 +123,7 @@ class Tally:
         head = ((np.array(self.kinds, np.int64) * 256 + pad[:, 0]) * 256 + pad[:, 1]) * 2 + one
         self.heads, of = np.unique(head, return_inverse=True)
         key = of[self.at] * len(self.words) + before
-        order = np.argsort(key)
-        sorted_ = key[order]
-        new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]]) if len(key) else np.zeros(0, bool)
-        self.pairs = sorted_[new]
-        self.which = np.empty(len(key), np.int64)
-        self.which[order] = np.cumsum(new) - 1
+        self.which, self.pairs = pd.factorize(key)
 
 
 def class_of(tokens: list[bytes]) -> int:
@@ -136,20 +133,24 @@ def class_of(tokens: list[bytes]) -> int:
 
 
 class Units:
-    """Bytes to be coded: ``symbol``, and the hash of each predictor's context; a unit's bytes stand together.
+    """Bytes to be coded, each different one under its contexts once: ``symbol``, and the hash of each predictor's context.
 
-    owner: of each byte, its unit.
+    The last context tells bytes apart. owner, of: of each byte of the units, its unit and its place among the different ones.
     """
 
     def __init__(self, symbol: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray, units: int):
-        self.symbol, self.contexts, self.owner, self.units = symbol, contexts, owner, units
+        self.of, known = pd.factorize(hashed(contexts[-1] + symbol.astype(np.uint64) * _MUL, 30))
+        at = np.empty(len(known), np.int64)
+        at[self.of] = np.arange(len(symbol))
+        self.symbol, self.contexts, self.owner, self.units = symbol[at], [c[at] for c in contexts], owner, units
 
-    def some(self, at: np.ndarray) -> Units:
-        return Units(self.symbol[at], [c[at] for c in self.contexts], self.owner[at], self.units)
+    def times(self, n: np.ndarray) -> np.ndarray:
+        """How often each different byte occurs; n: how often each unit does."""
+        return np.bincount(self.of, n[self.owner], len(self.symbol)).astype(np.uint32)
 
     def add_up(self, bits: np.ndarray) -> np.ndarray:
         """Of each unit."""
-        return np.bincount(self.owner, bits, self.units)
+        return np.bincount(self.owner, bits[self.of], self.units)
 
 
 def _masked(last: np.ndarray, n) -> np.ndarray:
@@ -166,7 +167,7 @@ def units(tally: Tally) -> tuple[Units, Units]:
     size = np.fromiter(map(len, coded), np.int64, len(coded))
     first = np.cumsum(size) - size
     symbol = np.frombuffer(b"".join(coded), np.uint8)
-    owner = np.repeat(np.arange(len(coded)), size)
+    owner = np.repeat(np.arange(len(coded), dtype=np.int32), size)
     place = np.arange(len(symbol)) - first[owner]
     back = lambda x, k: np.concatenate([np.zeros(min(k, len(x)), x.dtype), x[: max(0, len(x) - k)]])
     last = back(symbol, 1).astype(np.uint64)  # the last eight bytes, the nearest lowest
@@ -192,8 +193,8 @@ def units(tally: Tally) -> tuple[Units, Units]:
     byte = np.stack([head >> 9 & 255, head >> 1 & 255], 1)
     prefix = np.where(place > 0, byte[owner, 0] + 1, 0).astype(np.uint64)
     across = np.where(place > 0, tail[before][owner] << np.uint64(8) | byte[owner, 0].astype(np.uint64), tail[before][owner])
-    k = hashed(kind[before], 0)[owner]  # a pair's tokens are of one class
-    contexts = [hashed(prefix ^ k, 5), hashed(_masked(across, 3) ^ (prefix << np.uint64(56)), 6), hashed(_masked(across, 6) ^ (prefix << np.uint64(56)), 7), hashed(whole[before][owner] ^ prefix * _MUL, 8)]
+    k = kind[before][owner]  # a pair's tokens are of one class
+    contexts = [hashed(prefix ^ k, 5), hashed(_masked(across, 3) ^ (prefix << np.uint64(56)), 6), hashed(_masked(across, 6) ^ (prefix << np.uint64(56)), 7), hashed(hashed(whole[before][owner] ^ prefix * _MUL, 8) ^ k, 9)]
     return Units(byte[owner, place].astype(np.uint8), contexts, owner, len(head)), tails
 
 
@@ -216,7 +217,7 @@ class Mixer:
     def refined(self, x: np.ndarray) -> None:
         self._refined, self.slopes = x, np.diff(x, axis=1)
 
-    def walk(self, u: Units, piece: int = PIECE) -> Iterator[tuple]:
+    def walk(self, all_symbols: np.ndarray, all_contexts: list[np.ndarray], piece: int = PIECE) -> Iterator[tuple]:
         """Piece by piece, decision by decision, what the predictors say.
 
         Yields the places of a piece's bytes at its start, and then (decision, bit, slots, stretched probabilities, gate,
@@ -224,12 +225,12 @@ class Mixer:
         for come first.
         """
         code = self.code
-        for lo in range(0, len(u.symbol), piece):
-            short = (255 - code.length[u.symbol[lo : lo + piece]]).astype(np.uint8)
+        for lo in range(0, len(all_symbols), piece):
+            short = (255 - code.length[all_symbols[lo : lo + piece]]).astype(np.uint8)
             order = np.argsort(short, kind="stable")
             open_ = np.searchsorted(short[order], np.arange(255, 255 - code.depth, -1))
             order += lo
-            symbol, contexts = u.symbol[order], [c[order] for c in u.contexts]
+            symbol, contexts = all_symbols[order], [c[order] for c in all_contexts]
             yield (order,)
             for d in range(code.depth):
                 n = int(open_[d])
@@ -261,10 +262,10 @@ class Mixer:
         return mixed, low, part, np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
 
     def bits(self, u: Units) -> np.ndarray:
-        """Bits of each byte."""
+        """Bits of each different byte."""
         out = np.ones(len(u.symbol))
         order = None
-        for step in self.walk(u):
+        for step in self.walk(u.symbol, u.contexts):
             if len(step) == 1:
                 if order is not None:
                     out[order] = chance
@@ -303,18 +304,14 @@ class Learner:
         self.used, self.sums = np.zeros(_SETS), np.zeros(self.mixer.weights.shape)
         self.hits = np.zeros((2, code.depth, _CELLS))
         self.power = np.ones(self.mixer.weights.shape, np.float32)
-        self.batches, self.refresh = 0, 0
+        self.batches, self.refresh, self.seen = 0, 0, 0
 
     def learn(self, u: Units, times: np.ndarray) -> None:
-        """times: how often each unit occurs."""
-        mix = hashed(u.owner.astype(np.uint64), 20)
-        order = np.argsort(mix >> np.uint64(48), kind="stable")  # frequent words do not come before all rare ones
-        order = order[times[u.owner[order]] > 0]
-        self._batch(u.some(order), times[u.owner[order]].astype(np.uint32))
-
-    def _batch(self, u: Units, times: np.ndarray) -> None:
+        """times: how often each different byte occurs."""
         m, counts = self.mixer, self.counts
-        for step in m.walk(u, PIECE if self.batches > FIRST_PARTS else PIECE >> 4):
+        order = np.random.default_rng(1).permutation(np.flatnonzero(times))  # frequent words do not come before all rare ones
+        times = times[order]
+        for step in m.walk(u.symbol[order], [c[order] for c in u.contexts], max(PIECE >> 4, min(PIECE, self.seen >> 4))):
             if len(step) == 1:
                 all_times = times[step[0]]
                 continue
@@ -335,6 +332,7 @@ class Learner:
             for i in slots:
                 np.add.at(counts, i * 2 + bit, times_)
         m.refined = refinement(self.hits)
+        self.seen += len(order)
         self.batches += 1
         if self.batches <= FIRST_PARTS + 1 or self.batches >= self.refresh:
             m.cells, self.refresh = cells(counts), 2 * self.batches - FIRST_PARTS
@@ -351,7 +349,7 @@ def learn(learners: list[Learner], tally: Tally, training: np.ndarray) -> None:
         taught = np.repeat(mine, tally.sizes)
         times = (np.bincount(x[taught], minlength=n) for x, n in ((tally.which, len(tally.pairs)), (tally.at, len(tally.words))))
         for x, u, n in zip(learners, found, times, strict=True):
-            x.learn(u, n)
+            x.learn(u, u.times(n))
 
 
 def squash(x: np.ndarray) -> np.ndarray:

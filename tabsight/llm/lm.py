@@ -21,7 +21,7 @@ from .common import as_bytes, stored
 from .contextmix import CLASSES, SLOTS, Code, Learner, Model, Tally, cells, learn, refinement
 
 #: Text bytes of a block; blocks that a training task takes where there are more than the cluster has cores.
-BLOCK, BLOCKS_A_TASK = 12 << 20, 32
+BLOCK, BLOCKS_A_TASK = 6 << 20, 64
 #: Counts that are added up together; weights are added up as whole numbers of 2**-_SHIFT, so that their order is of no matter.
 _CUT, _SHIFT = 1 << 18, 20
 _LOG10_2 = float(np.log10(2))
@@ -42,7 +42,10 @@ def _unzip(x: bytes, kind: str, n: int) -> np.ndarray:
 
 
 def _rows(batch: pa.RecordBatch, *names: str):
-    return zip(*(batch.column(k).to_pylist() for k in names), strict=True)
+    """Some columns of each row, one row at a time: a row may be a block."""
+    columns = [batch.column(k) for k in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
 
 
 def blocks(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

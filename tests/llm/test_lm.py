@@ -33,7 +33,7 @@ def decisions(text, code):
         for i, byte in enumerate(coded):
             p = coded[:i]
             word = (p[-8:], i)
-            head = [(kind, p), (before + p)[-3:] + b"|%d" % i, (before + p)[-6:] + b"|%d" % i, (whole, p)]
+            head = [(kind, p), (before + p)[-3:] + b"|%d" % i, (before + p)[-6:] + b"|%d" % i, (kind, whole, p)]
             contexts = head if i < 2 else [(kind, p[-2:]), p[-3:], word, (kind, word)]
             for d, bit in enumerate(code.words[byte]):
                 yield int(i >= 2), int(bit), d, [(i >= 2, j, x, code.words[byte][:d]) for j, x in enumerate(contexts)]
@@ -121,7 +121,7 @@ def test_continuations_add_up_to_one(prefix):
     chance = 0.0
     for tail, (m, u) in enumerate(zip((x.mixer for x in found), contextmix.units(t), strict=True)):
         bits, at = m.bits(u), {}
-        for i, owner in enumerate(u.owner.tolist()):
+        for i, owner in zip(u.of.tolist(), u.owner.tolist(), strict=True):
             at.setdefault(owner, []).append(i)
         if len(prefix) < 2 and not tail:
             for i in range(len(every)):
