@@ -25,8 +25,8 @@ from .common import ranges, stored
 #: Similarity; fewest different words of a line that can be removed where nothing else is asked for; partners of a line
 #: that are verified at first.
 THRESHOLD, MIN_WORDS, FIRST_PARTNERS = (4, 5), 3, 2
-#: Lines that a turn of the second comparison takes.
-REST = 200_000
+#: Bits (log2) of the filter of words that the second comparison asks for.
+FILTER = 25
 #: Counters of the rarity sketch (log2).
 SKETCH = 20
 _BASE = 0x9E3779B97F4A7C15
@@ -157,10 +157,27 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(rows.tobytes())])
 
 
-def _index(rows: DataFrame, counts, min_words: int) -> DataFrame:
-    """(word int, row binary): the prefix rows (ROW) of each set's first line in a chunk of a task; lines that repeat
-    an earlier one of the chunk are settled: one row each under any word, its place NONE."""
+def _prefix_rows(doc: np.ndarray, tie: np.ndarray, line: np.ndarray, h: np.ndarray, of: np.ndarray, size: np.ndarray, taken) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word that each prefix row meets others by, the prefix rows, a row for each set) of sets (h, of); taken: which sets, by their rows."""
     num, den = THRESHOLD
+    n = len(size)
+    key, a, b = _signatures(h, of, n)
+    row = np.empty(n, ROW)
+    for name, values in (("key", key), ("a", a), ("b", b), ("size", size), ("place", NONE), ("tie", tie), ("line", line), ("doc", doc)):
+        row[name] = values
+    prefix = np.where(taken(row), size - -(-size * num // den) + 1, 0)
+    out = np.repeat(row, prefix)
+    meet = np.where(out["size"] <= 2, out["key"], h[ranges(np.cumsum(size) - size, prefix)])
+    out["place"] = ranges(np.zeros(n, np.int64), prefix)
+    return (meet >> np.uint64(20)).astype(np.uint32).view(np.int32), out, row
+
+
+def _index(rows: DataFrame, counts, min_words: int, keep=None) -> DataFrame:
+    """(word int, asked boolean, row binary): the prefix rows (ROW) of each set's first line in a chunk of a task; lines
+    that repeat an earlier one of the chunk are settled: one row each under any word, its place NONE.
+
+    keep: a filter of words (``_filter``); then only prefix rows under those, and none of settled lines.
+    """
 
     def run(batches):
         split, rare = Splitter(), counts.value
@@ -170,54 +187,109 @@ def _index(rows: DataFrame, counts, min_words: int) -> DataFrame:
                 h, of, text, line = _sets(*split(texts), rare)
                 n = len(text)
                 size = np.bincount(of, minlength=n)
-                key, a, b = _signatures(h, of, n)
-                row = np.empty(n, ROW)
-                for name, values in (("key", key), ("a", a), ("b", b), ("size", size), ("place", NONE), ("tie", tie[start + text] if n else 0), ("line", line), ("doc", doc[start + text] if n else 0)):
-                    row[name] = values
-                order = np.lexsort((line, row["tie"], row["doc"], key))
                 first = np.zeros(n, bool)
-                first[order] = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if n else True
-                enough = size >= min_words
-                start_of = np.cumsum(size) - size
-                prefix = np.where(first & enough, size - -(-size * num // den) + 1, 0)
-                at = ranges(start_of, prefix)
-                out = np.repeat(row, prefix)
-                meet = np.where(out["size"] <= 2, out["key"], h[at])
-                out["place"] = ranges(np.zeros(n, np.int64), prefix)
-                settled = row[~first & enough]
-                # Dealt by place: rows of any number of copies spread over all tasks.
-                word = np.concatenate([(meet >> np.uint64(20)).astype(np.uint32), (settled["doc"].astype(np.uint32) * np.uint32(2654435761)) ^ settled["line"]]).view(np.int32)
-                out = np.concatenate([out, settled])
+
+                def taken(row, first=first, size=size):
+                    order = np.lexsort((row["line"], row["tie"], row["doc"], row["key"]))
+                    key = row["key"][order]
+                    first[order] = np.concatenate([[True], key[1:] != key[:-1]]) if len(row) else True
+                    return first & (size >= min_words)
+
+                word, out, row = _prefix_rows(doc[start + text] if n else 0, tie[start + text] if n else 0, line, h, of, size, taken)
+                if keep is None:
+                    settled = row[~first & (size >= min_words)]
+                    # Dealt by place: rows of any number of copies spread over all tasks.
+                    word = np.concatenate([word, ((settled["doc"].astype(np.uint32) * np.uint32(2654435761)) ^ settled["line"]).view(np.int32)])
+                    out = np.concatenate([out, settled])
+                else:
+                    wanted = _in_filter(keep.value, word)
+                    word, out = word[wanted], out[wanted]
                 for lo in range(0, len(out), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(word[lo : lo + 100_000]), _binary(out[lo : lo + 100_000])], ["word", "row"])
+                    yield _index_batch(word[lo : lo + 100_000], out[lo : lo + 100_000], False)
+
+    return rows.mapInArrow(run, "word int, asked boolean, row binary")
+
+
+def _index_batch(word: np.ndarray, rows: np.ndarray, asked: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.full(len(word), asked)), _binary(rows)], ["word", "asked", "row"])
+
+
+def _asked(sets: DataFrame, counts) -> DataFrame:
+    """Index rows, marked as asked, of lines given by their sets (doc, tie, line, words)."""
+
+    def run(batches):
+        for batch in batches:
+            doc, tie, line = (batch.column(i).to_numpy() for i in range(3))
+            words = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            if not words:
+                continue
+            n = np.fromiter(map(len, words), np.int64, len(words))
+            h, of, at, _ = _sets(np.concatenate(words), np.repeat(np.arange(len(words)), n), np.zeros(int(n.sum()), np.int64), counts.value)
+            word, out, _ = _prefix_rows(doc[at], tie[at], line[at], h, of, np.bincount(of, minlength=len(at)), lambda row: np.ones(len(row), bool))
+            yield _index_batch(word, out, True)
+
+    return sets.mapInArrow(run, "word int, asked boolean, row binary")
+
+
+def _at_bit(word: np.ndarray) -> np.ndarray:
+    return (word.view(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - FILTER)
+
+
+def _in_filter(bits: np.ndarray, word: np.ndarray) -> np.ndarray:
+    at = _at_bit(word)
+    return (bits[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(index: DataFrame) -> np.ndarray:
+    """A bit for each word of an index, by hash: a filter of fixed size, put together in pieces."""
+    cut = 1 << 16
+
+    def partial(batches):
+        bits = np.zeros(1 << FILTER, bool)
+        for batch in batches:
+            bits[_at_bit(batch.column(0).to_numpy())] = True
+        bits = np.packbits(bits, bitorder="little")
+        at = [i for i in range(0, len(bits), cut) if bits[i : i + cut].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([zlib.compress(bits[i : i + cut].tobytes(), 1) for i in at], pa.binary())], ["at", "piece"])
+
+    def add(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[at] = found.get(at, 0) | np.frombuffer(zlib.decompress(piece), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in found.values()], pa.binary())], ["at", "piece"])
 
-    return rows.mapInArrow(run, "word int, row binary")
+    out = np.zeros((1 << FILTER) // 8, np.uint8)
+    for r in index.select("word").mapInArrow(partial, "at long, piece binary").repartition("at").mapInArrow(add, "at long, piece binary").collect():  # one filter
+        out[r["at"] : r["at"] + cut] = np.frombuffer(zlib.decompress(r["piece"]), np.uint8)
+    return out
 
 
-def _pairs(index: DataFrame, most: int | None, only: DataFrame | None = None) -> DataFrame:
+def _pairs(index: DataFrame, most: int | None, first: bool = True) -> DataFrame:
     """(doc, tie, line, doc2, tie2, line2, more): a set's first line and an earlier line of another set that may be
     similar; or, with doc2 null, a line whose set an earlier line has.
 
-    Of a line's partners under one word the ``most`` nearest by bitmap are returned; more says that there were others. only:
-    (doc, tie, line) of the lines whose partners are asked for; then no equal sets are returned.
+    Of a line's partners under one word the ``most`` nearest by bitmap are returned; more says that there were others.
+    Unless ``first``, partners are found for the rows marked as asked only, and no equal sets are returned.
     """
     num, den = THRESHOLD
-    first = only is None
-    wanted = set() if first else {(r["doc"], r["tie"], r["line"]) for r in only.collect()}
 
     def run(batches):
-        words, rows = [], []
+        words, rows, marks = [], [], []
         for batch in batches:
             if batch.num_rows:
-                column = batch.column(1)
+                column = batch.column(2)
                 raw = np.frombuffer(column.buffers()[2], np.uint8)
                 offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
                 rows.append(raw[offsets[0] : offsets[-1]].view(ROW).copy())
                 words.append(batch.column(0).to_numpy().copy())
+                marks.append(batch.column(1).to_numpy(zero_copy_only=False))
         if not rows:
             return
-        word, row = np.concatenate(words), np.concatenate(rows)
-        del words, rows
+        word, row, mark = np.concatenate(words), np.concatenate(rows), np.concatenate(marks)
+        del words, rows, marks
+        word_asked, row_asked = word[mark], row[mark]
+        word, row = word[~mark], row[~mark]
         settled = row["place"] == NONE
         if first and settled.any():
             yield _gone(row[settled])
@@ -243,8 +315,14 @@ def _pairs(index: DataFrame, most: int | None, only: DataFrame | None = None) ->
         start = np.searchsorted(word, word)
         if first:
             asked = np.arange(len(row))
-        else:
-            asked = np.array([i for i, x in enumerate(zip(row["doc"].tolist(), row["tie"].tolist(), row["line"].tolist(), strict=True)) if x in wanted], np.int64)
+        else:  # an asked row's twin stands right before it
+            both, twice = np.concatenate([row, row_asked]), np.concatenate([word, word_asked])
+            order = np.lexsort((np.arange(len(both)) >= len(row), both["line"], both["tie"], both["doc"], twice))
+            before = order[np.flatnonzero(order >= len(row)) - 1]
+            alike = (before < len(row)) & (before >= 0)
+            mine = order[np.flatnonzero(order >= len(row))]
+            alike &= (twice[before] == twice[mine]) & (both["doc"][before] == both["doc"][mine]) & (both["tie"][before] == both["tie"][mine]) & (both["line"][before] == both["line"][mine])
+            asked = np.sort(before[alike])
         count = asked - start[asked]  # all earlier rows of the word
         total = np.concatenate([[0], np.cumsum(count)])
         size, place, a, b = (row[k].astype(t) for k, t in (("size", np.int32), ("place", np.int32), ("a", np.uint64), ("b", np.uint32)))
@@ -283,8 +361,9 @@ def _gone(row: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(row["doc"]), pa.array(row["tie"].astype(np.int64)), pa.array(row["line"].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.zeros(n, bool))], PAIR)
 
 
-def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with similar: whether the Jaccard similarity of the two lines' sets reaches the threshold."""
+def _verified(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with similar: whether the Jaccard similarity of the two lines' sets reaches the threshold; and the sets
+    (doc, tie, line, words) of all their lines."""
     num, den = THRESHOLD
     line = ["doc", "tie", "line"]
     wanted = pairs.select(*line).unionByName(pairs.select(*(F.col(f"{c}2").alias(c) for c in line))).distinct().groupBy("doc", "tie").agg(F.collect_list("line").alias("lines"))  # at most a document's own lines
@@ -310,29 +389,31 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 similar.append(den * shared >= num * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "tie", "line", "more")), pa.array(similar, pa.bool_())], ["doc", "tie", "line", "more", "similar"])
 
-    return both.select(*line, "more", "words", "words2").mapInArrow(judge, "doc long, tie long, line int, more boolean, similar boolean")
+    return both.select(*line, "more", "words", "words2").mapInArrow(judge, "doc long, tie long, line int, more boolean, similar boolean"), sets
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, tie, line) of each line that an earlier similar line removes; see ``line_dedup`` for the keys.
 
     The nearest FIRST_PARTNERS candidates of a line under each word are verified first, which settles nearly every line
-    that has a similar one. Lines of which none was, while others remain, are then compared with all of them.
+    that has a similar one. Lines of which none was, while others remain, are then compared with all of them: their prefix
+    words, as a filter, pick the rows of the index that they meet.
     """
     rows = _documents(docs, id_col, text_col)
     line = ["doc", "tie", "line"]
     counts = docs.sparkSession.sparkContext.broadcast(_rarity(rows))  # a sketch of fixed size
     index = _index(rows, counts, min_words)
     pairs = stored(_pairs(index, FIRST_PARTNERS))
-    found = stored(_verified(rows, pairs.where("doc2 IS NOT NULL")))
-    by_line = found.groupBy(*line).agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
+    found, sets = _verified(rows, pairs.where("doc2 IS NOT NULL"))
+    by_line = stored(found).groupBy(*line).agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
+    by_line = stored(by_line)
     gone = pairs.where("doc2 IS NULL").select(*line).unionByName(by_line.where("similar").select(*line))
-    rest = stored(by_line.where("more AND NOT similar").select(*line))
-    n = rest.count()
-    turns = -(-n // REST)
-    for turn in range(turns):  # so many lines at a time as a task can know by name
-        some = rest.where(F.pmod(F.xxhash64(*line), F.lit(turns)) == turn)
-        gone = gone.unionByName(stored(_verified(rows, stored(_pairs(index, None, some)))).where("similar").select(*line))
+    rest = by_line.where("more AND NOT similar").select(*line)
+    if rest.limit(1).count():
+        asked = stored(_asked(sets.join(rest, line, "left_semi").select(*line, "words"), counts))
+        keep = docs.sparkSession.sparkContext.broadcast(_filter(asked))  # of fixed size
+        others = _pairs(asked.unionByName(_index(rows, counts, min_words, keep)), None, first=False)
+        gone = gone.unionByName(stored(_verified(rows, stored(others))[0]).where("similar").select(*line))
     return gone.distinct()
 
 
@@ -342,7 +423,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text has no line, is returned as null, and an empty one has an empty line. Lines of under min_words
     different words stay; with 1 every line that has a word takes part. A null id counts as the least. Rows that repeat an id with other texts follow each other
     by checksum; rows that repeat both are one document, each returned. Without keep_text there is no text column,
-    and texts are not joined.
+    and texts are not joined. An empty table gives no rows; lines of any length are compared whole; other columns of
+    ``docs`` are not read.
     """
     data = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     gone = removed_lines(docs, id_col, text_col, min_words).groupBy("doc", "tie").agg(F.sort_array(F.collect_list("line")).alias("removed"))
