@@ -6,8 +6,8 @@ bytes, frequent bytes by few of them. For each decision several predictors look
 followed their hashed context in the training texts. Their stretched probabilities are mixed by the weights of a set that a
 gate selects (which decision, and how often the longer contexts were seen), and an adaptive map refines the mix.
 
-A token's first two bytes, its head, have contexts that reach across the blank: the word so far with the class, the last
-three and six bytes, and the word so far with the whole word before and the class. The other bytes, its tail, have the last two bytes with
+A token's first two bytes, its head, have contexts that reach across the blank: the word so far with the class, the last six
+bytes, and the word so far with the whole word before and the class. The other bytes, its tail, have the last two bytes with
 the class, the last three, the word so far, and that with the class. So a head's bits are worked out once for each
 different (head, word before) of some texts, and a tail's once for each different word.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,7 +29,7 @@ END, END_BYTE = b"", 10
 HEAD, CLASSES = 2, 256
 #: Slots (log2) of the counts of each predictor of heads and of tails, which bound what a task holds; contexts share slots
 #: when the corpus has more of them.
-SLOTS = ((18, 19, 21, 21), (20, 20, 21, 21))
+SLOTS = ((18, 21, 21), (20, 20, 21, 21))
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: A slot's cell: its stretched probability in steps of 1 / _STEPS, times four, plus a class of how often it was seen.
 _STEPS = 512
@@ -70,6 +70,20 @@ class Code:
         self.node = np.array([[int("1" + w[:d], 2) & ((1 << 64) - 1) if d < len(w) else 0 for w in words] for d in range(0, self.depth, 4)], np.uint64)
 
 
+class _Index(dict):
+    """Numbers the tokens of a class as they come."""
+
+    def __init__(self, words: list[bytes], kinds: list[int], kind: int):
+        self.words, self.kinds, self.kind = words, kinds, kind
+        self[END]  # the first
+
+    def __missing__(self, w: bytes) -> int:
+        i = self[w] = len(self.words)
+        self.words.append(w)
+        self.kinds.append(self.kind)
+        return i
+
+
 class Tally:
     """The different tokens of some texts, and the different pairs of a token's head and the token before it, apart for
     each class of texts.
@@ -79,7 +93,7 @@ class Tally:
     """
 
     def __init__(self) -> None:
-        self.index: dict[int, dict[bytes, int]] = {}
+        self.index: dict[int, _Index] = {}
         self.words: list[bytes] = []
         self.kinds: list[int] = []
         self.classes: list[int] = []
@@ -88,20 +102,10 @@ class Tally:
     def add(self, tokens: list[bytes]) -> None:
         """A text's words."""
         kind = class_of(tokens)
-        words, kinds = self.words, self.kinds
         index = self.index.get(kind)
         if index is None:
-            index = self.index[kind] = {END: len(words)}
-            words.append(END)
-            kinds.append(kind)
-        found = []
-        for w in tokens:
-            i = index.get(w)
-            if i is None:
-                i = index[w] = len(words)
-                words.append(w)
-                kinds.append(kind)
-            found.append(i)
+            index = self.index[kind] = _Index(self.words, self.kinds, kind)
+        found = [index[w] for w in tokens]
         found.append(index[END])
         self._at.append(found)
         self.classes.append(kind)
@@ -128,21 +132,22 @@ class Tally:
 
 def class_of(tokens: list[bytes]) -> int:
     """The class of a text: that of the most frequent word of at most three bytes (the greatest of several)."""
-    c = Counter(w for w in tokens if len(w) <= 3)
+    c = Counter([w for w in tokens if len(w) <= 3])
     return zlib.crc32(max(c.items(), key=lambda x: (x[1], x[0]))[0]) % CLASSES if c else 0
 
 
 class Units:
     """Bytes to be coded, each different one under its contexts once: ``symbol``, and the hash of each predictor's context.
 
-    The last context tells bytes apart. owner, of: of each byte of the units, its unit and its place among the different ones.
+    last: the context that tells bytes apart; contexts: of the bytes at given places, all predictors'. owner, of: of each byte
+    of the units, its unit and its place among the different ones.
     """
 
-    def __init__(self, symbol: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray, units: int):
-        self.of, known = pd.factorize(hashed(contexts[-1] + symbol.astype(np.uint64) * _MUL, 30))
+    def __init__(self, symbol: np.ndarray, last: np.ndarray, contexts: Callable[[np.ndarray], list[np.ndarray]], owner: np.ndarray, units: int):
+        self.of, known = pd.factorize((last + symbol) * _ODD)
         at = np.empty(len(known), np.int64)
         at[self.of] = np.arange(len(symbol))
-        self.symbol, self.contexts, self.owner, self.units = symbol[at], [c[at] for c in contexts], owner, units
+        self.symbol, self.contexts, self.owner, self.units = symbol[at], contexts(at), owner, units
 
     def times(self, n: np.ndarray) -> np.ndarray:
         """How often each different byte occurs; n: how often each unit does."""
@@ -180,22 +185,26 @@ def units(tally: Tally) -> tuple[Units, Units]:
     tail = np.where(symbol[end] == END_BYTE, np.uint64(END_BYTE), last[end] << np.uint64(8) | np.uint64(32))
     kind = (np.array(tally.kinds, np.uint64) + np.uint64(1)) * _MUL
     at = np.flatnonzero(place >= HEAD)
-    k = kind[owner[at]]
     last, word, owner = last[at], word[at], owner[at]
-    tails = Units(symbol[at], [hashed(_masked(last, 2) ^ k, 11), hashed(_masked(last, 3), 3), word, hashed(word ^ k, 12)], owner, len(coded))
+    k = kind[owner]
+    own = hashed(word ^ k, 12)
+    tails = Units(symbol[at], own, lambda i: [hashed(_masked(last[i], 2) ^ k[i], 11), hashed(_masked(last[i], 3), 3), word[i], own[i]], owner, len(coded))
 
     head, before = np.divmod(tally.pairs, max(1, len(tally.words)))
     head = tally.heads[head]
-    two = (head & 1) == 0
-    size = 1 + two
-    owner = np.repeat(np.arange(len(head)), size)
-    place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    size = 2 - (head & 1)
+    unit = np.repeat(np.arange(len(head), dtype=np.int32), size)
+    place = np.arange(len(unit)) - (np.cumsum(size) - size)[unit]
     byte = np.stack([head >> 9 & 255, head >> 1 & 255], 1)
-    prefix = np.where(place > 0, byte[owner, 0] + 1, 0).astype(np.uint64)
-    across = np.where(place > 0, tail[before][owner] << np.uint64(8) | byte[owner, 0].astype(np.uint64), tail[before][owner])
-    k = kind[before][owner]  # a pair's tokens are of one class
-    contexts = [hashed(prefix ^ k, 5), hashed(_masked(across, 3) ^ (prefix << np.uint64(56)), 6), hashed(_masked(across, 6) ^ (prefix << np.uint64(56)), 7), hashed(hashed(whole[before][owner] ^ prefix * _MUL, 8) ^ k, 9)]
-    return Units(byte[owner, place].astype(np.uint8), contexts, owner, len(head)), tails
+    prefix = np.where(place > 0, byte[unit, 0] + 1, 0).astype(np.uint64)
+    after = hashed((whole ^ kind)[before][unit] ^ prefix * _MUL, 8)  # a pair's tokens are of one class
+
+    def contexts(i: np.ndarray) -> list[np.ndarray]:
+        p, b = prefix[i], before[unit[i]]
+        across = np.where(p > 0, tail[b] << np.uint64(8) | (p - np.uint64(1)), tail[b])
+        return [hashed(p ^ kind[b], 5), hashed(_masked(across, 6) ^ p << np.uint64(56), 7), after[i]]
+
+    return Units(byte[unit, place].astype(np.uint8), after, contexts, unit, len(head)), tails
 
 
 class Mixer:

@@ -104,11 +104,9 @@ def vocabulary(block: DataFrame) -> DataFrame:
                 bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    i = order[edge[b] : edge[b + 1]]
-                    if len(i):
-                        values = [b, number, [words[k] for k in i], counts[i].tobytes(), _zip(i.astype(np.uint32))]
-                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, dealt, strict=True)], ["bucket", "block", "words", "counts", "i"])
+                found = [(b, order[edge[b] : edge[b + 1]]) for b in range(buckets) if edge[b] < edge[b + 1]]
+                values = [[b for b, _ in found], [number] * len(found), [[words[k] for k in i.tolist()] for _, i in found], [counts[i].tobytes() for _, i in found], [_zip(i.astype(np.uint32)) for _, i in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, dealt, strict=True)], ["bucket", "block", "words", "counts", "i"])
 
     dealt = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
     out = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32()), ("i", pa.binary()), ("v", pa.binary())]))]
@@ -224,8 +222,8 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for totals, places in _rows(batch, "totals", "places"):
                 totals = np.frombuffer(totals, np.int64)
-                for p in places:
-                    yield pa.RecordBatch.from_arrays([pa.array([p["block"]]), pa.array([p["n"]], pa.int32()), pa.array([p["i"]], pa.binary()), pa.array([_zip(totals[_unzip(p["v"], "<u4", p["n"])])], pa.binary())], ["of", "n", "i", "c"])
+                found = [_zip(totals[_unzip(p["v"], "<u4", p["n"])]) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array([p["block"] for p in places], pa.int64()), pa.array([p["n"] for p in places], pa.int32()), pa.array([p["i"] for p in places], pa.binary()), pa.array(found, pa.binary())], ["of", "n", "i", "c"])
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         c = np.zeros(sum(right.column("n").to_pylist()), np.int64)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabsight.llm import contextmix, lm, queries
 
-SLOTS = ((18,) * 4,) * 2
+SLOTS = ((18,) * 3, (18,) * 4)
 
 
 def words(text):
@@ -33,7 +33,7 @@ def decisions(text, code):
         for i, byte in enumerate(coded):
             p = coded[:i]
             word = (p[-8:], i)
-            head = [(kind, p), (before + p)[-3:] + b"|%d" % i, (before + p)[-6:] + b"|%d" % i, (kind, whole, p)]
+            head = [(kind, p), (before + p)[-6:] + b"|%d" % i, (kind, whole, p)]
             contexts = head if i < 2 else [(kind, p[-2:]), p[-3:], word, (kind, word)]
             for d, bit in enumerate(code.words[byte]):
                 yield int(i >= 2), int(bit), d, [(i >= 2, j, x, code.words[byte][:d]) for j, x in enumerate(contexts)]
@@ -50,7 +50,7 @@ def plain_bits(model, counts, text):
             n = zeros + ones
             x.append(round(math.log((ones + 0.3) / (zeros + 0.3)) * 512) / 512 if n else 0.0)
             seen.append(0 if n == 0 else 1 + (n > 1) + (n > 3))
-        gate = ((min(d, 7) * 4 + seen[1]) * 4 + seen[2]) * 4 + seen[3]
+        gate = ((min(d, 7) * 4 + seen[-3]) * 4 + seen[-2]) * 4 + seen[-1]
         mix = m.weights[-1, gate] + sum(m.weights[j, gate] * v for j, v in enumerate(x))
         at = (min(max(mix, -7.999), 7.999) + 8) * 2
         low, part = int(at), at - int(at)
@@ -72,7 +72,7 @@ def test_scores_are_those_of_a_plain_mixer(table):
     texts, docs = table
     taught = lambda d: d % 7 != 2
     training = F.col("doc_id") % 7 != 2
-    slots = ((23,) * 4,) * 2
+    slots = ((23,) * 3, (23,) * 4)
     block = lm.stored(lm.blocks(docs, training))
     byte, kind = lm.frequencies(block)
     model = lm.train(block, contextmix.Code(byte), slots)
