@@ -79,10 +79,15 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: list[float
         if rest:
             shares_in = {key: sorted({min(1.0, max(0.0, (open_[key][0] - inside[key][0] + d) / inside[key][1])) for d in (-inside[key][1] * margin, inside[key][1] * margin)}) for key in rest}
             cuts = x.agg(*(F.percentile_approx(F.when(F.col(f"x{i}").between(*open_[i, k][2:]), F.col(f"x{i}")), shares_in[i, k], accuracy).alias(f"c{j}") for j, (i, k) in enumerate(rest))).first()
+            stuck = False
             for j, key in enumerate(rest):
                 a, b, low, high = open_[key]
                 narrow = (max(low, cuts[j][0]), min(high, cuts[j][-1]))
+                stuck = stuck or narrow == (low, high)
                 open_[key] = (a, b, *narrow)
+            if stuck:  # many equal values at the edges: a finer sketch, exact in the end
+                accuracy = min(10 * accuracy, 1 << 30)
+                margin = 3 / accuracy
     out: dict[str, list[float] | None] = {}
     for i, name in enumerate(names):
         if not size[i]:

@@ -169,12 +169,14 @@ def ljung_box(y: np.ndarray) -> tuple[float, float, int]:
 
 
 def kernel_sample(df: DataFrame, column: str, n: int) -> np.ndarray:
-    """At most n values, those of the least row hashes; for kernels that take no more."""
+    """At most n values, those of the least hashes of value and copy, whatever the rows' layout; for kernels that take no more."""
     x = number(df, column)
     rows = df.select(x.alias("x")).where("x IS NOT NULL")
     total = rows.count()
     if total > n:
-        rows = rows.withColumn("h", F.xxhash64("x", F.monotonically_increasing_id())).orderBy("h").limit(n)
+        copies = rows.groupBy("x").agg(F.count("*").alias("c"))
+        each = copies.select("x", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("k"))
+        rows = each.withColumn("h", F.xxhash64("x", "k")).orderBy("h", "x", "k").limit(n)
     return np.array([r["x"] for r in rows.select("x").collect()], float)
 
 
@@ -225,7 +227,7 @@ def medcouple_outliers(df: DataFrame, columns: list[str], s: Settings = DEFAULT)
     from .columns import _quartiles, long_form
 
     q = _quartiles(df, columns)
-    mc = {c: medcouple(kernel_sample(df, c, 2_000)) for c in q}
+    mc = {c: medcouple(kernel_sample(df, c, s.kernel_rows)) for c in q}
 
     def fields(c):
         a, b = q[c]
@@ -293,8 +295,11 @@ def _erfc_neg(t):
 
 
 def series_tests(series: DataFrame, columns: list[str], s: Settings = DEFAULT, most: int = 50_000) -> DataFrame:
-    """(column, n, adf, adf_p, stationary, q, q_p, autocorrelated) of a series (period, columns...) of at most ``most`` periods."""
-    rows = series.orderBy("period").limit(most).collect()  # bounded
+    """(column, n, adf, adf_p, stationary, q, q_p, autocorrelated) of a series (period, columns...) of at most ``most`` periods;
+    more are an error, and ask for a wider grain."""
+    rows = series.orderBy("period").limit(most + 1).collect()  # bounded
+    if len(rows) > most:
+        raise ValueError(f"a series of over {most} periods: choose a wider grain")
     out = []
     for c in columns:
         y = np.array([float(r[c]) for r in rows if r[c] is not None])

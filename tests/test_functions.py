@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsight.functions import documents, similarity, text
+from tabsight.functions.quantiles import exact_quantiles
 from tabsight.operators import statistics as S
 
 
@@ -106,3 +107,22 @@ def test_best_distribution(spark):
 def test_mean_ci(spark):
     r = S.mean_ci(spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 5)], "x double")).first()
     assert (r["mean"], round(r["hi"], 4)) == (3.0, round(3 + 2.7764451 * math.sqrt(2.5 / 5), 4))
+
+
+@pytest.mark.parametrize(("accuracy", "collected"), [(10_000, 200_000), (20, 30)])
+def test_quantiles_are_exact_however_coarse_the_sketches(spark, accuracy, collected):
+    r = random.Random(1)
+    rows = [(r.choice([0.0, 1.0, r.gauss(0, 100)]), i if i % 3 else None, 7.0, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double").repartition(4)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = exact_quantiles(df, {c: F.col(c) for c in df.columns}, shares, accuracy, collected)
+    want = df.agg(*(F.percentile(c, shares).alias(c) for c in "abc")).first()
+    assert {c: got[c] for c in "abc"} == {c: pytest.approx(list(want[c])) for c in "abc"} and got["d"] is None
+
+
+def test_a_sample_does_not_depend_on_the_layout_of_the_rows(spark):
+    from tabsight.operators.columns import uniform_sample
+
+    rows = [(i % 40, str(i % 40)) for i in range(200)]
+    one, other = (sorted(tuple(r) for r in uniform_sample(spark.createDataFrame(x, "a int, b string").repartition(n), 50).collect()) for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert one == other and len(one) == 50
