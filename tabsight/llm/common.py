@@ -20,11 +20,13 @@ SPACES = " \t\n\x0b\x0c\r"
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a local session, as in tests) a
-    temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset, in a local session as in tests, a
+    temporary folder is made and set; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tabsight-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tabsight-{uuid.uuid4().hex}"
