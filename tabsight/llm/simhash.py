@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, ranges, spanning, stored, whole
+from .common import as_bytes, components, forest, ranges, spanning, stored, whole
 
 #: Length, dimension and generator polynomial of the binary Golay code; its covering radius.
 GOLAY_BITS, GOLAY_WORDS, GOLAY_POLY, RADIUS = 23, 4096, 0b101011100011, 3
@@ -207,15 +207,15 @@ def _busy(fps: DataFrame, plan: Plan, most: int) -> dict[int, int]:
     return {r["cell"]: -(-r["n"] // most) for r in rows}
 
 
-def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Links (a, b) that join the near fingerprints of ``fps`` (node long, fp binary; distinct): of those found in a
-    task a spanning forest, so that no task returns more rows than it was given.
+def candidates(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15) -> DataFrame:
+    """Links (a, b) of fingerprints that share an anchor and are near in the compared words: of those found in a task a
+    spanning forest, so that no task returns more rows than it was given.
 
-    If only some words are compared, those links are no answer, but any two near fingerprints that share an anchor are
-    in one family (component) of them; all pairs of a family are then judged, see ``_judged``, by their sets as well if
-    ``sets`` gives the shingle sets (node, words binary) of nodes.
+    If only some words are compared, these links name families only: then they are stars, and those of a node meet in one
+    task, which joins them, so that a family has about as many links as nodes, in however many tasks it was found.
     """
     busy = _busy(fps, plan, most_homes)
+    thin = _fewest if plan.compared == plan.words else _stars
     names = ["cell", "home", "block", "node", *(f"w{i}" for i in range(plan.compared))]
     kind = "cell long, home boolean, block int, node long, " + ", ".join(f"w{i} long" for i in range(plan.compared))
 
@@ -271,14 +271,33 @@ def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15, sets: Callable[
                     found.append((node[x][near], node[y][near], differ[near]))
                     held += int(near.sum())
                     if held > 2_000_000:
-                        found = [_fewest(found)]
+                        found = [thin(found)]
                         held = len(found[0][0])
                     lo = hi
         if held:
-            a, b, _ = _fewest(found)
+            a, b, _ = thin(found)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def merge(batches):
+        table = whole(batches)
+        if table is not None:
+            a, b, _ = _stars([tuple(np.asarray(x.combine_chunks()) for x in table.columns)])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     edges = fps.mapInArrow(spread, kind).repartition("cell").mapInArrow(compare, "a long, b long")
+    if plan.compared == plan.words:
+        return edges
+    return edges.repartition("b").mapInArrow(merge, "a long, b long")
+
+
+def links(fps: DataFrame, plan: Plan, most_homes: int = 1 << 15, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links (a, b) that join the near fingerprints of ``fps`` (node long, fp binary; distinct).
+
+    If only some words are compared, the candidates are no answer, but any two near fingerprints that share an anchor are
+    in one family (component) of them; all pairs of a family are then judged, see ``_judged``, by their sets as well if
+    ``sets`` gives the shingle sets (node, words binary) of nodes.
+    """
+    edges = candidates(fps, plan, most_homes)
     if plan.compared == plan.words:
         return edges
     members = components(edges).withColumnRenamed("root", "family").join(fps, "node")
@@ -367,6 +386,12 @@ def _confirm(held: list[pa.RecordBatch], key: tuple[int, int, int], plan: Plan,
                 b.append(int(node[n]))
 
 
+def _stars(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Links of each node to the least that it is joined to: tasks that see the same group agree on most of them."""
+    child, root = forest(*(np.concatenate(x) for x in list(zip(*found, strict=True))[:2]))
+    return root, child, np.zeros(len(child), np.int16)
+
+
 def _fewest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
     pick = spanning(a, b, d)

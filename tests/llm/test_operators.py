@@ -406,3 +406,21 @@ def test_fences_follow_a_group_of_long_words(spark):
     rows.append((60, "\n".join(line() * 8 for _ in range(14)), "zh", "web"))
     got = {x["doc_id"]: x["kept"] for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert sum(got[i] for i in range(60)) >= 55 and not got[60]
+
+
+def test_a_family_has_about_as_many_links_as_nodes(spark):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    fps = simhash.stored(simhash.fingerprints(docs, simhash.SIMILAR).select("node", "fp"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = simhash.stored(simhash.candidates(fps, simhash.SIMILAR))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.count() < 5 * len(texts)
+    assert common.components(found).groupBy("root").count().collect()[0]["count"] == len(texts)
