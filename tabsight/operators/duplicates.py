@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.similarity import token_sort_ratio
+from ..functions.graph import components, forest, stored
+from ..functions.similarity import near_texts
 
 
 def name_groups(df: DataFrame, column: str) -> DataFrame:
@@ -20,42 +21,74 @@ def name_groups(df: DataFrame, column: str) -> DataFrame:
     return keyed.groupBy("key").agg(F.count("*").alias("n_values"), F.sum("c").alias("n_rows")).where("n_values > 1")
 
 
-@lru_cache(1 << 16)
-def _letters(name: str) -> tuple[Counter, int]:
-    """The letters of the words, sorted and joined by one blank, as token_sort_ratio compares them; and how many."""
-    joined = " ".join(name.split())
-    return Counter(joined), len(joined)
+def _cells(df: DataFrame, column: str, most_in_block: int) -> DataFrame:
+    """(block, low, high, part, v): the keys of names of eight characters and two words or more, once for each part of its
+    block that a name's part meets."""
+    values = df.where(F.col(column).isNotNull()).select(text.person_key(F.col(column)).alias("v")).distinct().where((F.length("v") >= 8) & F.contains("v", F.lit(" ")))
+    block = values.withColumn("block", F.concat(F.substring("v", 1, 1), F.lit(":"), F.floor(F.length("v") / 4).cast("string")))
+    size = block.groupBy("block").agg(F.count("*").alias("n"))
+    block = block.join(size, "block").withColumn("ways", F.ceil(F.col("n") / most_in_block).cast("int")).withColumn("part", F.pmod(F.xxhash64("v"), F.col("ways")).cast("int"))
+    block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    cells = size.agg(F.sum(F.ceil(F.col("n") / most_in_block) * (F.ceil(F.col("n") / most_in_block) + 1) / 2)).first()[0] or 1  # a row
+    tasks = min(1 << 15, max(4 * df.sparkSession.sparkContext.defaultParallelism, int(cells)))  # by work, not by bytes
+    block = block.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "v")
+    return block.repartition(tasks, "block", "low", "high")
 
 
-def _most_ratio(a: str, b: str) -> float:
-    """A bound on token_sort_ratio: a common subsequence has no more letters than the two have in common in any order."""
-    (x, m), (y, n) = _letters(a), _letters(b)
-    return 200.0 * sum(min(c, y[k]) for k, c in x.items() if k in y) / (m + n) if m + n else 100.0
+def _near(rows: pa.Table, least: float) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, place, place, similarity) of the near pairs of a cell, each once."""
+    rows = rows.sort_by("v")
+    names = rows.column("v").cast(pa.binary()).to_pylist()
+    part, low, high = (np.asarray(rows.column(k).combine_chunks()) for k in ("part", "low", "high"))
+    a, b = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    plain = np.unique([v.translate(None, b"0123456789") for v in names], return_inverse=True)[1]
+    same = len(low) > 0 and low[0] == high[0]
+    for x, y, r in near_texts([names[i] for i in a.tolist()], [names[i] for i in b.tolist()], least):
+        x, y = a[x], b[y]
+        pick = plain[x] != plain[y]
+        if same:
+            pick &= x < y
+        yield names, x[pick], y[pick], r[pick]
 
 
-def similar_names(df: DataFrame, column: str, least: float = 92.0, most_in_block: int = 400) -> DataFrame:
+def similar_names(df: DataFrame, column: str, least: float = 92.0, most_in_block: int = 1 << 13) -> DataFrame:
     """(name_a, name_b, similarity): different names of eight characters and two words or more, alike to 92 of 100.
 
-    Names meet in blocks (first character, length by fours), whatever their size; the pairs of a block of over 400 names
-    are dealt over a grid of tasks. Names that differ in digits only are not duplicates. Pairs whose letters alone, in
-    any order, rule the similarity out are not compared; the others are, in Arrow batches.
+    Names meet in blocks (first character, length by fours), whatever their size; a block of over most_in_block names is
+    dealt over a grid of tasks. Names that differ in digits only are not duplicates. A task walks its names down a trie
+    of the others, so its work follows what is alike, not all pairs. Where many names are alike, their pairs are many: see
+    ``name_classes``.
     """
-    values = df.where(F.col(column).isNotNull()).select(text.person_key(F.col(column)).alias("v")).distinct().where((F.length("v") >= 8) & F.contains("v", F.lit(" ")))
-    block = values.withColumn("block", F.concat(F.substring("v", 1, 1), F.lit(":"), F.floor(F.length("v") / 4).cast("string")))
-    size = block.groupBy("block").agg(F.count("*").alias("n"))
-    block = block.join(size, "block").withColumn("ways", F.ceil(F.col("n") / most_in_block).cast("int")).withColumn("part", F.pmod(F.xxhash64("v"), F.col("ways")).cast("int"))
-    block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
-    block = block.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "v")
-    a, b = block.withColumnsRenamed({"v": "name_a", "part": "part_a"}), block.withColumnsRenamed({"v": "name_b", "part": "part_b"})
-    near = (F.length("name_a") * 1.0 / F.length("name_b")).between(0.85, 1.18)
-    pairs = a.join(b, ["block", "low", "high"]).where(((F.col("low") == F.col("high")) | (F.col("part_a") != F.col("part_b"))) & (F.col("name_a") < F.col("name_b")) & near & ~text.digits_only_differ(F.col("name_a"), F.col("name_b"))).select("name_a", "name_b")
-
-    def compare(batches):
-        for batch in batches:
-            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            possible = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if _most_ratio(p, q) >= least]
-            r = [token_sort_ratio(x[i], y[i]) for i in possible]
-            pick = pa.array(possible, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(r, pa.float64())], ["name_a", "name_b", "similarity"])
-
-    return pairs.mapInArrow(compare, "name_a string, name_b string, similarity double").where(F.col("similarity") >= least)
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for names, x, y, r in _near(rows, least):
+            x, y = np.minimum(x, y), np.maximum(x, y)  # places are in order of the names
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in k.tolist()], pa.binary()).cast(pa.string()) for k in (x, y)] + [pa.array(r, pa.float64())], ["name_a", "name_b", "similarity"])
+
+    kind = "name_a string, name_b string, similarity double"
+    empty = pa.schema([("name_a", pa.string()), ("name_b", pa.string()), ("similarity", pa.float64())])
+    return _cells(df, column, most_in_block).groupBy("block", "low", "high").applyInArrow(lambda t: pa.Table.from_batches(pairs(t), empty), kind)
+
+
+def name_classes(df: DataFrame, column: str, least: float = 92.0, most_in_block: int = 1 << 13) -> DataFrame:
+    """(name, key, class, n_links): each different name, its key, the least key that links of ``similar_names`` reach from
+    it, its own included, and the number of keys it is linked to. Names of one key are copies. Null names have no row.
+    """
+
+    def links(rows: pa.Table) -> pa.Table:
+        n, names, a, b = np.zeros(rows.num_rows, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for names, x, y, _ in _near(rows, least):
+            n += np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
+            a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
+        root = np.arange(len(n))
+        root[a] = b
+        at = np.flatnonzero(n)
+        v = [pa.array([names[i] for i in k.tolist()], pa.binary()).cast(pa.string()) for k in (at, root[at])]
+        return pa.table([*v, pa.array(n[at])], ["v", "to", "n"])
+
+    found = stored(_cells(df, column, most_in_block).groupBy("block", "low", "high").applyInArrow(links, "v string, to string, n long"))
+    roots = components(found.select(F.xxhash64("v").alias("a"), F.xxhash64("to").alias("b")))
+    each = found.groupBy("v").agg(F.sum("n").alias("n_links")).join(roots, F.xxhash64("v") == F.col("node"))
+    classes = each.join(each.groupBy("root").agg(F.min("v").alias("class")), "root").select(F.col("v").alias("key"), "class", "n_links")
+    names = df.where(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct().withColumn("key", text.person_key(F.col("name")))
+    return names.join(classes, "key", "left").select("name", "key", F.coalesce("class", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -253,3 +253,34 @@ def test_shapes_of_personal_data_and_of_dates_as_text_are_not_judged(spark):
     rows = [(f"Customer{i}@mail.org", f"C-{i % 90:02d}" if i % 9 else "odd", f"1995-03-{i % 28 + 1:02d}" + ("" if i % 9 else " 00:00")) for i in range(20, 120)]
     got = quality.recommendations(spark.createDataFrame(rows, "email string, code string, day string"), "people").where("action = 'check values of another shape'")
     assert [r["column"] for r in got.collect()] == ["code"]
+
+
+def test_name_classes_hold_all_links_of_similar_names(spark):
+    import random
+    from itertools import combinations
+
+    from tabsight.functions.similarity import near_texts, token_sort_ratio
+    from tabsight.operators import duplicates
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    odd = sorted({" ".join(sorted(r.choice(words) for _ in range(r.randint(2, 5)))) for _ in range(500)})
+    got = {(i, j): x for a, b, s in near_texts([v.encode() for v in odd], [v.encode() for v in odd], 80.0) for i, j, x in zip(a.tolist(), b.tolist(), s.tolist(), strict=True)}
+    near = lambda a, b: 85 * len(b) <= 100 * len(a) <= 118 * len(b)
+    assert got == {(i, j): token_sort_ratio(a, b) for i, a in enumerate(odd) for j, b in enumerate(odd) if near(a, b) and token_sort_ratio(a, b) >= 80}
+
+    names = sorted({f"a{r.randrange(10**4)} maria {''.join(r.choice('bcde') for _ in range(6))} oliveira pereira" for _ in range(300)}) + ["Ana", "zoe lima souza"]
+    key = {n: " ".join(sorted(n.lower().split())) for n in names}
+    strip = lambda v: "".join(c for c in v if not c.isdigit())
+    links = [(a, b) for a, b in combinations(key.values(), 2) if min(len(a), len(b)) >= 8 and a[0] == b[0] and len(a) // 4 == len(b) // 4 and near(a, b) and token_sort_ratio(a, b) >= 92 and strip(a) != strip(b)]
+    count, root = dict.fromkeys(key.values(), 0), {v: v for v in key.values()}
+    for a, b in links:
+        count[a], count[b] = count[a] + 1, count[b] + 1
+    for _ in names:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(links) > 50
+    table = spark.createDataFrame([(x,) for x in [*names, names[0], None]], "name string")
+    for most in (1 << 13, 70):
+        got = duplicates.name_classes(table, "name", most_in_block=most).collect()
+        assert sorted(map(tuple, got)) == sorted((n, k, root[k], count[k]) for n, k in key.items())
