@@ -16,15 +16,16 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
-#: The end of a text as a token (no word is empty), and as it is coded; also what stands before a text's first token.
-END, END_BYTE = b"", 10
+from .common import ranges
+
+#: The end of a text as it is coded (a word has no such byte); also what stands before a text's first token.
+END_BYTE = 10
 #: Bytes of a head, and classes of texts.
 HEAD, CLASSES = 2, 256
 #: Slots (log2) of the counts of each predictor of heads and of tails, which bound what a task holds; contexts share slots
@@ -38,9 +39,13 @@ _DEPTHS = 8
 _SETS = _DEPTHS * 64
 #: Cells of a decision's refinement, over stretched probabilities of -8 to 8; bytes that are worked on at once,
 #: fewer of them as long as little is learned.
-_CELLS, PIECE = 33, 1 << 15
+_CELLS, PIECE = 33, 1 << 16
 #: The first texts of a task are learned from in parts that double so often; how fast weights are learned.
 FIRST_PARTS, RATE = 5, 0.05
+#: Bytes whose contexts are held at once.
+UNITS = 1 << 19
+#: A-Z lowered, and every white space a blank.
+PLAIN = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5))
 
 
 def hashed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -70,70 +75,134 @@ class Code:
         self.node = np.array([[int("1" + w[:d], 2) & ((1 << 64) - 1) if d < len(w) else 0 for w in words] for d in range(0, self.depth, 4)], np.uint64)
 
 
-class _Index(dict):
-    """Numbers the tokens of a class as they come."""
+def bounds(coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, size) of each of some coded tokens: a blank or a line feed ends each and stands in none."""
+    end = np.flatnonzero((coded == 32) | (coded == END_BYTE))
+    first = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+    return first, end + 1 - first
 
-    def __init__(self, words: list[bytes], kinds: list[int], kind: int):
-        self.words, self.kinds, self.kind = words, kinds, kind
-        self[END]  # the first
 
-    def __missing__(self, w: bytes) -> int:
-        i = self[w] = len(self.words)
-        self.words.append(w)
-        self.kinds.append(self.kind)
-        return i
+def binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Strings of bytes that stand one after the other."""
+    edge = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 class Tally:
     """The different tokens of some texts, and the different pairs of a token's head and the token before it, apart for
     each class of texts.
 
-    words, kinds: the tokens and their class; the first token of a class is END. at: the tokens of all texts, one text after
-    another; sizes: of each text; classes: of each text.
+    coded, kinds: the tokens as they are coded, one after another, and their class. at: the tokens of all texts, one text
+    after another; sizes: of each text; classes: of each text; bytes: those of each text's tokens, as coded.
     """
 
     def __init__(self) -> None:
-        self.index: dict[int, _Index] = {}
-        self.words: list[bytes] = []
-        self.kinds: list[int] = []
-        self.classes: list[int] = []
-        self._at: list[list[int]] = []
+        self.texts: list[bytes] = []
+        self.at = None
 
     def add(self, tokens: list[bytes]) -> None:
         """A text's words."""
-        kind = class_of(tokens)
-        index = self.index.get(kind)
-        if index is None:
-            index = self.index[kind] = _Index(self.words, self.kinds, kind)
-        found = [index[w] for w in tokens]
-        found.append(index[END])
-        self._at.append(found)
-        self.classes.append(kind)
+        self.texts.append(b" ".join(tokens))
+
+    def add_text(self, text: bytes) -> None:
+        self.texts.append(text.translate(PLAIN))
+
+    @property
+    def words(self) -> list[bytes]:
+        """The different tokens without what ends them."""
+        if self.at is None:
+            self.number()
+        first, size = bounds(self.coded)
+        return [self.coded[i : i + n - 1].tobytes() for i, n in zip(first.tolist(), size.tolist(), strict=True)]
+
+    def number(self) -> None:
+        """Numbers the tokens of the texts, which end with it."""
+        n = len(self.texts)
+        length = np.fromiter(map(len, self.texts), np.int64, n) + 1
+        raw = np.frombuffer(b"\n".join([*self.texts, b""]), np.uint8)
+        self.texts = []
+        blank = (raw == 32) | (raw == END_BYTE)
+        edge = np.flatnonzero(np.diff(blank, prepend=True))
+        start, size = edge[::2], (edge[1::2] - edge[::2]).astype(np.int32)
+        count = np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(length)])))
+        del edge, start
+        data = raw[~blank]
+        del raw, blank
+        found = binaries(data, size).dictionary_encode()
+        code, distinct = found.indices.to_numpy(), found.dictionary
+        del found, data
+        text = np.repeat(np.arange(n, dtype=np.int32), count)
+        self.classes = _classes(distinct, code, text, size <= 3, n)
+        self.sizes = count + 1
+        of_end = len(distinct)
+        key = np.full(len(code) + n, of_end, np.int64)
+        key[np.arange(len(code)) + text] = code
+        key += np.repeat(self.classes.astype(np.int64), self.sizes) * (of_end + 1)
+        del code, text
+        at, known = pd.factorize(key)
+        self.at = at.astype(np.int32)
+        kinds, code = np.divmod(known, of_end + 1)
+        self.kinds = kinds.astype(np.uint8)
+        edge, data = _buffers(distinct)
+        size = np.append(np.diff(edge), 0)[code]
+        first = np.cumsum(size + 1) - size - 1
+        self.coded = np.full(int((size + 1).sum()), 32, np.uint8)
+        self.coded[ranges(first, size)] = data[ranges(np.append(edge[:-1], 0)[code], size)]
+        self.coded[first[code == of_end]] = END_BYTE
+        self.bytes = np.add.reduceat((size + 1)[self.at], np.cumsum(self.sizes) - self.sizes) if n else np.zeros(0, np.int64)
 
     def close(self, pairs: bool = True) -> None:
-        self.sizes = np.fromiter(map(len, self._at), np.int64, len(self._at))
-        self.at = np.fromiter(chain.from_iterable(self._at), np.int64, int(self.sizes.sum()))
-        self._at = []
+        if self.at is None:
+            self.number()
         if pairs:
             self.pair_up()
 
     def pair_up(self) -> None:
+        coded = self.coded
+        self.first, self.size = bounds(coded)
+        end = self.first + self.size - 1
+        self.kind = (np.asarray(self.kinds, np.uint64) + np.uint64(1)) * _MUL
+        one = self.size == 1
+        second = coded[np.minimum(self.first + 1, end)].astype(np.int64)
+        second[one] = 0
+        head = ((np.asarray(self.kinds, np.int64) * 256 + coded[self.first]) * 256 + second) * 2 + one
+        self.heads, self.head = np.unique(head, return_inverse=True)
         before = np.concatenate([self.at[:1], self.at[:-1]])
         first = np.cumsum(self.sizes) - self.sizes
         before[first] = self.at[first + self.sizes - 1]  # END stands before the first token
-        coded = [w[:HEAD] if len(w) >= HEAD else w + b" " if w else b"\n" for w in self.words]
-        pad = np.frombuffer(b"".join(x.ljust(HEAD, b"\0") for x in coded), np.uint8).reshape(-1, HEAD).astype(np.int64)
-        one = np.fromiter((len(x) == 1 for x in coded), np.int64, len(coded))
-        head = ((np.array(self.kinds, np.int64) * 256 + pad[:, 0]) * 256 + pad[:, 1]) * 2 + one
-        self.heads, of = np.unique(head, return_inverse=True)
-        key = of[self.at] * len(self.words) + before
-        self.which, self.pairs = pd.factorize(key)
-
-
-def class_of(tokens: list[bytes]) -> int:
-    """The class of a text: that of the most frequent word of at most three bytes (the greatest of several)."""
-    c = Counter([w for w in tokens if len(w) <= 3])
-    return zlib.crc32(max(c.items(), key=lambda x: (x[1], x[0]))[0]) % CLASSES if c else 0
+        key = self.head[self.at] * len(self.first)
+        key += before
+        del before
+        which, self.pairs = pd.factorize(key)
+        self.which = which.astype(np.int32)
+        last = _last(coded, end, self.size - 1)
+        self.whole = _word(last, self.size - 1)
+        self.tail = np.where(one, np.uint64(END_BYTE), last << np.uint64(8) | np.uint64(32))
+
+
+def _buffers(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, bytes) of an array of large binaries."""
+    _, edge, data = x.buffers()
+    edge = np.frombuffer(edge, np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+    return edge, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
+def _classes(distinct: pa.Array, code: np.ndarray, text: np.ndarray, short: np.ndarray, n: int) -> np.ndarray:
+    """The class of each text: that of its most frequent word of at most three bytes (the greatest of several)."""
+    out = np.zeros(n, np.uint8)
+    if not short.any():
+        return out
+    known, times = np.unique(text[short].astype(np.int64) * len(distinct) + code[short], return_counts=True)
+    of, word = np.divmod(known, len(distinct))
+    words, word = np.unique(word, return_inverse=True)
+    words = distinct.take(pa.array(words)).to_pylist()
+    rank = np.empty(len(words), np.int64)
+    rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    order = np.lexsort((rank[word], times, of))
+    best = order[np.append(of[order][1:] != of[order][:-1], True)]
+    kind = np.array([zlib.crc32(w) % CLASSES for w in words], np.uint8)
+    out[of[best]] = kind[word[best]]
+    return out
 
 
 class Units:
@@ -166,45 +235,83 @@ def _masked(last: np.ndarray, n) -> np.ndarray:
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def units(tally: Tally) -> tuple[Units, Units]:
-    """The heads of a Tally's pairs, and the tails of its tokens."""
-    coded = [w + b" " if w else b"\n" for w in tally.words]
-    size = np.fromiter(map(len, coded), np.int64, len(coded))
-    first = np.cumsum(size) - size
-    symbol = np.frombuffer(b"".join(coded), np.uint8)
-    owner = np.repeat(np.arange(len(coded), dtype=np.int32), size)
-    place = np.arange(len(symbol)) - first[owner]
-    back = lambda x, k: np.concatenate([np.zeros(min(k, len(x)), x.dtype), x[: max(0, len(x) - k)]])
-    last = back(symbol, 1).astype(np.uint64)  # the last eight bytes, the nearest lowest
-    for k in (1, 2, 4):
-        last = last | back(last, k) << np.uint64(8 * k)
-    last = _masked(last, place)
-    word = hashed(last + place.astype(np.uint64) * _MUL, 4)  # known by its last eight bytes and its length
-    end = first + size - 1
-    whole = word[end]
-    tail = np.where(symbol[end] == END_BYTE, np.uint64(END_BYTE), last[end] << np.uint64(8) | np.uint64(32))
-    kind = (np.array(tally.kinds, np.uint64) + np.uint64(1)) * _MUL
-    at = np.flatnonzero(place >= HEAD)
-    last, word, owner = last[at], word[at], owner[at]
-    k = kind[owner]
+def _last(coded: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The eight bytes before each place of ``at`` in its token, the nearest lowest; place: how many there are."""
+    last = np.zeros(len(at), np.uint64)
+    for k in range(1, 9):
+        last |= coded[np.maximum(at - k, 0)].astype(np.uint64) << np.uint64(8 * k - 8)
+    return _masked(last, place)
+
+
+def _word(last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The hash of a word so far: known by its last eight bytes and its length."""
+    return hashed(last + place.astype(np.uint64) * _MUL, 4)
+
+
+def tails(tally: Tally, of: np.ndarray, start: np.ndarray, size: np.ndarray) -> Units:
+    """Of the tokens ``of`` a Tally, ``size`` bytes each from ``start``; heads are left out."""
+    at, owner = ranges(start, size), np.repeat(of, size)
+    place = at - tally.first[owner]
+    symbol = tally.coded[at]
+    last = _last(tally.coded, at, place)
+    word, k = _word(last, place), tally.kind[owner]
     own = hashed(word ^ k, 12)
-    tails = Units(symbol[at], own, lambda i: [hashed(_masked(last[i], 2) ^ k[i], 11), hashed(_masked(last[i], 3), 3), word[i], own[i]], owner, len(coded))
+    return Units(symbol, own, lambda i: [hashed(_masked(last[i], 2) ^ k[i], 11), hashed(_masked(last[i], 3), 3), word[i], own[i]], owner, len(tally.first))
+
 
-    head, before = np.divmod(tally.pairs, max(1, len(tally.words)))
+def heads(tally: Tally, of: np.ndarray) -> Units:
+    """Of the pairs ``of`` a Tally."""
+    head, before = np.divmod(tally.pairs[of], max(1, len(tally.first)))
     head = tally.heads[head]
     size = 2 - (head & 1)
     unit = np.repeat(np.arange(len(head), dtype=np.int32), size)
     place = np.arange(len(unit)) - (np.cumsum(size) - size)[unit]
     byte = np.stack([head >> 9 & 255, head >> 1 & 255], 1)
     prefix = np.where(place > 0, byte[unit, 0] + 1, 0).astype(np.uint64)
-    after = hashed((whole ^ kind)[before][unit] ^ prefix * _MUL, 8)  # a pair's tokens are of one class
+    after = hashed((tally.whole ^ tally.kind)[before][unit] ^ prefix * _MUL, 8)  # a pair's tokens are of one class
 
     def contexts(i: np.ndarray) -> list[np.ndarray]:
         p, b = prefix[i], before[unit[i]]
-        across = np.where(p > 0, tail[b] << np.uint64(8) | (p - np.uint64(1)), tail[b])
-        return [hashed(p ^ kind[b], 5), hashed(_masked(across, 6) ^ p << np.uint64(56), 7), after[i]]
+        across = np.where(p > 0, tally.tail[b] << np.uint64(8) | (p - np.uint64(1)), tally.tail[b])
+        return [hashed(p ^ tally.kind[b], 5), hashed(_masked(across, 6) ^ p << np.uint64(56), 7), after[i]]
 
-    return Units(byte[unit, place].astype(np.uint8), after, contexts, unit, len(head)), tails
+    return Units(byte[unit, place].astype(np.uint8), after, contexts, of[unit], len(tally.pairs))
+
+
+def _mingled(group: np.ndarray) -> np.ndarray:
+    """An order in which a group stands together, and groups as it happens."""
+    return np.argsort(hashed(group.astype(np.uint64), 21), kind="stable")
+
+
+def some_heads(tally: Tally, of: np.ndarray, most: int | None = None) -> Iterator[Units]:
+    """Those of the pairs ``of``, about ``most`` bytes at once. What follows one token stands together, as equal bytes under equal contexts do."""
+    of = of[_mingled(tally.pairs[of] % max(1, len(tally.first)))]
+    most = most or UNITS
+    for lo in range(0, len(of), most // HEAD):
+        yield heads(tally, of[lo : lo + most // HEAD])
+
+
+def some_tails(tally: Tally, of: np.ndarray, most: int | None = None) -> Iterator[Units]:
+    """Those of the tokens ``of``, at most ``most`` bytes at once, a long token's apart. Tokens of one head stand together."""
+    of = of[tally.size[of] > HEAD]
+    of = of[_mingled(tally.head[of])]
+    start, size = tally.first[of] + HEAD, tally.size[of] - HEAD
+    edge = np.cumsum(size)
+    most = most or UNITS
+    for lo in range(0, int(size.sum()), most):
+        hi = lo + most
+        a, b = int(np.searchsorted(edge, lo, "right")), min(len(of), int(np.searchsorted(edge, hi, "left")) + 1)
+        begin, n = start[a:b].copy(), size[a:b].copy()
+        n[-1] -= max(0, int(edge[b - 1]) - hi)
+        skip = lo - int(edge[a] - size[a])
+        begin[0] += skip
+        n[0] -= skip
+        yield tails(tally, of[a:b], begin, n)
+
+
+def units(tally: Tally) -> tuple[Units, Units]:
+    """All heads of a Tally's pairs, and all tails of its tokens."""
+    return heads(tally, np.arange(len(tally.pairs))), tails(tally, np.arange(len(tally.first)), tally.first + HEAD, np.maximum(tally.size - HEAD, 0))
 
 
 class Mixer:
@@ -297,8 +404,12 @@ class Model:
         """Bits of each of the Tally's texts, its class not counted."""
         if not len(tally.sizes):
             return np.zeros(0)
-        heads, tails = (u.add_up(m.bits(u)) for u, m in zip(units(tally), self.mixers, strict=True))
-        return np.add.reduceat(heads[tally.which] + tails[tally.at], np.cumsum(tally.sizes) - tally.sizes)
+        found = []
+        for m, parts, n in zip(self.mixers, (some_heads, some_tails), (len(tally.pairs), len(tally.first)), strict=True):
+            found.append(np.zeros(n))
+            for u in parts(tally, np.arange(n)):
+                found[-1] += u.add_up(m.bits(u))
+        return np.add.reduceat(found[0][tally.which] + found[1][tally.at], np.cumsum(tally.sizes) - tally.sizes)
 
 
 class Learner:
@@ -340,25 +451,30 @@ class Learner:
                 self.hits[:, d] += (np.bincount(cell, n - right, 2 * _CELLS) + np.bincount(cell + 2, right, 2 * _CELLS)).reshape(-1, 2).T
             for i in slots:
                 np.add.at(counts, i * 2 + bit, times_)
-        m.refined = refinement(self.hits)
         self.seen += len(order)
+
+    def close(self) -> None:
+        """Ends a batch."""
+        m = self.mixer
+        m.refined = refinement(self.hits)
         self.batches += 1
         if self.batches <= FIRST_PARTS + 1 or self.batches >= self.refresh:
-            m.cells, self.refresh = cells(counts), 2 * self.batches - FIRST_PARTS
+            m.cells, self.refresh = cells(self.counts), 2 * self.batches - FIRST_PARTS
 
 
 def learn(learners: list[Learner], tally: Tally, training: np.ndarray) -> None:
     """From the training texts of a Tally; from the first in growing parts."""
     texts = np.flatnonzero(training)
     cuts = [] if learners[0].batches else [len(texts) >> k for k in range(FIRST_PARTS, 0, -1)]
-    found = units(tally)
     for part in np.split(texts, cuts):
         mine = np.zeros(len(training), bool)
         mine[part] = True
         taught = np.repeat(mine, tally.sizes)
-        times = (np.bincount(x[taught], minlength=n) for x, n in ((tally.which, len(tally.pairs)), (tally.at, len(tally.words))))
-        for x, u, n in zip(learners, found, times, strict=True):
-            x.learn(u, u.times(n))
+        for x, parts, at, n in zip(learners, (some_heads, some_tails), (tally.which, tally.at), (len(tally.pairs), len(tally.first)), strict=True):
+            times = np.bincount(at[taught], minlength=n)
+            for u in parts(tally, np.flatnonzero(times)):
+                x.learn(u, u.times(times))
+            x.close()
 
 
 def squash(x: np.ndarray) -> np.ndarray:

@@ -9,28 +9,40 @@ from. A block's task then scores that block alone.
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored
-from .contextmix import CLASSES, SLOTS, Code, Learner, Model, Tally, cells, learn, refinement
+from .common import as_bytes, ranges, stored
+from .contextmix import CLASSES, SLOTS, Code, Learner, Model, Tally, binaries, bounds, cells, learn, refinement
 
 #: Text bytes of a block; blocks that a training task takes where there are more than the cluster has cores.
-BLOCK, BLOCKS_A_TASK = 6 << 20, 64
+BLOCK, BLOCKS_A_TASK = 12 << 20, 32
+#: Bytes of rows that Spark hands a worker at once, about; a block more at most.
+_AT_ONCE = 1 << 20
 #: Counts that are added up together; weights are added up as whole numbers of 2**-_SHIFT, so that their order is of no matter.
 _CUT, _SHIFT = 1 << 18, 20
 _LOG10_2 = float(np.log10(2))
 _KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
-_BLOCK = {"block": "long", "sizes": "array<int>", "bytes": "array<long>", "classes": "binary", "training": "binary", "at": "binary", "words": "array<binary>", "kinds": "binary", "counts": "binary"}
+_BLOCK = {"block": "long", "sizes": "array<int>", "bytes": "array<long>", "classes": "binary", "training": "binary", "at": "binary", "length": "long", "coded": "binary", "kinds": "binary", "counts": "binary"}
+_TALLY = ("sizes", "classes", "at", "length", "coded", "kinds")
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands rows of some MB to workers a few at a time, not 64 MB of them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -49,48 +61,55 @@ def _rows(batch: pa.RecordBatch, *names: str):
 
 
 def blocks(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in blocks: a Tally's (sizes, classes, at, words, kinds) with the ids, bytes and training mark of each text,
+    """Documents in blocks: a Tally's (sizes, classes, at, coded, kinds) with the ids, bytes and training mark of each text,
     and how often each token occurs in training texts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
 
-    def batch(number: int, t: Tally, ids: list, id_type: pa.DataType, taught: list[bool], size: list[int]) -> pa.RecordBatch:
-        counts = np.bincount(t.at[np.repeat(taught, t.sizes)], minlength=len(t.words)).astype(np.uint32)
-        values = [number, t.sizes, size, bytes(t.classes), bytes(taught), _zip(t.at.astype(np.uint32)), t.words, bytes(t.kinds), counts.tobytes()]
+    def batch(number: int, t: Tally, ids: list, id_type: pa.DataType, taught: list[bool]) -> pa.RecordBatch:
+        t.close(pairs=False)
+        counts = np.bincount(t.at[np.repeat(taught, t.sizes)], minlength=len(t.kinds)).astype(np.uint32)
+        values = [number, t.sizes, t.bytes, t.classes.tobytes(), bytes(taught), _zip(t.at.astype(np.uint32)), len(t.coded), _zip(t.coded), t.kinds.tobytes(), _zip(counts)]
         columns = [pa.array([v], _KINDS[kind]) for v, kind in zip(values, _BLOCK.values(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(id_type)), *columns], ["ids", *_BLOCK])
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
-        t, ids, taught, size, held, id_type = Tally(), [], [], [], 0, None
+        t, ids, taught, held, id_type = Tally(), [], [], 0, None
         for found in batches:
             id_type = found.column(0).type
             for doc, text, mark in zip(found.column(0).to_pylist(), as_bytes(found.column(1)), found.column(2).to_pylist(), strict=True):
-                words = tokens(text)
-                t.add(words)
+                t.add_text(text)
                 ids.append(doc)
                 taught.append(mark)
-                size.append(sum(map(len, words)) + len(words) + 1)
                 held += len(text)
                 if held >= BLOCK or len(ids) >= 100_000:
-                    t.close(pairs=False)
-                    yield batch(task << 32 | number, t, ids, id_type, taught, size)
-                    t, ids, taught, size, held, number = Tally(), [], [], [], 0, number + 1
+                    yield batch(task << 32 | number, t, ids, id_type, taught)
+                    t, ids, taught, held, number = Tally(), [], [], 0, number + 1
         if ids:
-            t.close(pairs=False)
-            yield batch(task << 32 | number, t, ids, id_type, taught, size)
+            yield batch(task << 32 | number, t, ids, id_type, taught)
 
     kind = ", ".join(f"{k} {v}" for k, v in _BLOCK.items())
     return rows.mapInArrow(run, f"ids array<{dict(rows.dtypes)['doc_id']}>, {kind}")
 
 
-def _tally(sizes: list[int], classes: bytes, at: bytes, words: list[bytes], kinds: bytes) -> Tally:
+def _tally(sizes: list[int], classes: bytes, at: bytes, length: int, coded: bytes, kinds: bytes) -> Tally:
     t = Tally()
-    t.sizes, t.classes, t.words, t.kinds = np.array(sizes, np.int64), list(classes), words, list(kinds)
-    t.at = _unzip(at, "<u4", int(t.sizes.sum())).astype(np.int64)
+    t.sizes, t.classes, t.kinds, t.coded = np.array(sizes, np.int64), np.frombuffer(classes, np.uint8), np.frombuffer(kinds, np.uint8), _unzip(coded, "u1", length)
+    t.at = _unzip(at, "<u4", int(t.sizes.sum())).astype(np.int32)
     t.pair_up()
     return t
 
 
+def _hashes(coded: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of whole tokens."""
+    base = 0x9E3779B97F4A7C15
+    power, inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(coded), x, np.uint64)]), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((coded.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+    h = (sums[first + size] - sums[first]) * inverse[first]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 def vocabulary(block: DataFrame) -> DataFrame:
     """A row a bucket: (bucket, n, types, totals, places). n, types: its tokens and different tokens in training texts;
     totals: occurrences of each; for each block (block, n, i, v): its tokens i are the bucket's v."""
@@ -99,34 +118,38 @@ def vocabulary(block: DataFrame) -> DataFrame:
 
     def deal(batches):
         for batch in batches:
-            for number, words, counts in _rows(batch, "block", "words", "counts"):
-                counts = np.frombuffer(counts, np.uint32)
-                bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
+            for number, length, coded, kinds, counts in _rows(batch, "block", "length", "coded", "kinds", "counts"):
+                coded, counts = _unzip(coded, "u1", length), _unzip(counts, "<u4", len(kinds))
+                first, size = bounds(coded)
+                bucket = (_hashes(coded, first, size) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                found = [(b, order[edge[b] : edge[b + 1]]) for b in range(buckets) if edge[b] < edge[b + 1]]
-                values = [[b for b, _ in found], [number] * len(found), [[words[k] for k in i.tolist()] for _, i in found], [counts[i].tobytes() for _, i in found], [_zip(i.astype(np.uint32)) for _, i in found]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, dealt, strict=True)], ["bucket", "block", "words", "counts", "i"])
-
-    dealt = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+                size = size[order]
+                coded = coded[ranges(first[order], size)]
+                at = np.concatenate([[0], np.cumsum(size)])[edge]
+                found = [(b, edge[b], edge[b + 1], at[b], at[b + 1]) for b in range(buckets) if edge[b] < edge[b + 1]]
+                values = [[f[0] for f in found], [number] * len(found), [coded[c:d].tobytes() for *_, c, d in found], [counts[order[i:j]].tobytes() for _, i, j, *_ in found], [_zip(order[i:j].astype(np.uint32)) for _, i, j, *_ in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, dealt, strict=True)], ["bucket", "block", "coded", "counts", "i"])
+
+    dealt = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     out = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("block", pa.int64()), ("n", pa.int32()), ("i", pa.binary()), ("v", pa.binary())]))]
 
     def merge(batches):
-        held: dict[int, tuple] = {}
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for b, number, words, counts, i in _rows(batch, "bucket", "block", "words", "counts", "i"):
-                index, totals, places = held.setdefault(b, ({}, [], []))
-                v = np.fromiter((index.setdefault(w, len(index)) for w in words), np.uint32, len(words))
-                totals.append((v, np.frombuffer(counts, np.uint32)))
-                places.append({"block": number, "n": len(v), "i": i, "v": _zip(v)})
-        for b, (index, totals, places) in held.items():
-            c = np.zeros(len(index), np.int64)
-            for v, counts in totals:
-                c += np.bincount(v, counts, len(index)).astype(np.int64)
+            for b, *row in _rows(batch, "bucket", "block", "coded", "counts", "i"):
+                held.setdefault(b, []).append(tuple(row))
+        for b in list(held):
+            numbers, coded, counts, i = zip(*held.pop(b), strict=True)
+            coded, n = np.frombuffer(b"".join(coded), np.uint8), [len(x) // 4 for x in counts]
+            found = binaries(coded, bounds(coded)[1]).dictionary_encode()
+            v = found.indices.to_numpy()
+            c = np.bincount(v, np.frombuffer(b"".join(counts), "<u4"), len(found.dictionary)).astype(np.int64)
+            places = [{"block": k, "n": len(x), "i": y, "v": _zip(x.astype(np.uint32))} for k, y, x in zip(numbers, i, np.split(v, np.cumsum(n)[:-1]), strict=True)]
             values = [b, int(c.sum()), int((c > 0).sum()), c.tobytes(), places]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, out, strict=True)], ["bucket", "n", "types", "totals", "places"])
 
-    rows = block.select("block", "words", "counts").mapInArrow(deal, "bucket int, block long, words array<binary>, counts binary, i binary")
+    rows = block.select("block", "length", "coded", "kinds", "counts").mapInArrow(deal, "bucket int, block long, coded binary, counts binary, i binary")
     return rows.repartition("bucket").mapInArrow(merge, "bucket int, n long, types long, totals binary, places array<struct<block:long,n:int,i:binary,v:binary>>")
 
 
@@ -136,17 +159,14 @@ def frequencies(block: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         n = np.zeros(256 + CLASSES, np.int64)
         for batch in batches:
-            for words, counts, classes, taught in _rows(batch, "words", "counts", "classes", "training"):
-                counts = np.frombuffer(counts, np.uint32).astype(np.int64)
-                size = np.fromiter(map(len, words), np.int64, len(words))
-                n[:256] += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(counts, size), 256).astype(np.int64)
-                n[32] += counts[size > 0].sum()
-                n[10] += counts[size == 0].sum()
+            for length, coded, kinds, counts, classes, taught in _rows(batch, "length", "coded", "kinds", "counts", "classes", "training"):
+                coded, counts = _unzip(coded, "u1", length), _unzip(counts, "<u4", len(kinds))
+                n[:256] += np.bincount(coded, np.repeat(counts, bounds(coded)[1]), 256).astype(np.int64)
                 n[256:] += np.bincount(np.frombuffer(classes, np.uint8)[np.frombuffer(taught, bool)], minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["at", "n"])
 
     n = np.zeros(256 + CLASSES, np.int64)
-    for r in block.select("words", "counts", "classes", "training").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a byte and class
+    for r in block.select("length", "coded", "kinds", "counts", "classes", "training").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a byte and class
         n[r["at"]] = r["n"]
     return n[:256], n[256:]
 
@@ -162,7 +182,7 @@ def train(block: DataFrame, code: Code, slots: tuple[tuple[int, ...], ...] = SLO
     def run(batches):
         found = [Learner(code, s) for s in slots]
         for batch in batches:
-            for *tally, taught in _rows(batch, "sizes", "classes", "at", "words", "kinds", "training"):
+            for *tally, taught in _rows(batch, *_TALLY, "training"):
                 if any(taught):
                     learn(found, _tally(*tally), np.frombuffer(taught, bool))
         for part, (x, width) in enumerate(zip(found, widths, strict=True)):
@@ -185,7 +205,7 @@ def train(block: DataFrame, code: Code, slots: tuple[tuple[int, ...], ...] = SLO
     model = Model(code, slots)
     empty = [Learner(code, (4,) * len(s)) for s in slots]
     rest = [np.zeros(len(learned(x))) for x in empty]
-    taught = block.select("sizes", "classes", "at", "words", "kinds", "training").coalesce(tasks).mapInArrow(run, kind)
+    taught = block.select(*_TALLY, "training").coalesce(tasks).mapInArrow(run, kind)
     for r in taught.repartition("part", "at").mapInArrow(add, kind).toLocalIterator():  # tables of fixed size
         part, at, n = r["part"], r["at"], r["n"]
         if at < widths[part]:
@@ -209,12 +229,13 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     Repeated rows are scored, and learned from, each. Without training rows every count is 0 and all predictors are at a loss;
     an empty table has no rows. A text's score counts its own contexts too if it is learned from.
     """
-    block = stored(blocks(docs, training, id_col, text_col))
-    byte, kind = frequencies(block)
-    vocab = stored(vocabulary(block))
-    total = vocab.agg(F.sum("n").alias("n"), F.sum("types").alias("types")).first()
-    n_all, n_types = total["n"] or 0, total["types"] or 0
-    model = docs.sparkSession.sparkContext.broadcast(train(block, Code(byte), slots))  # tables of fixed size
+    with _small_batches(docs.sparkSession):
+        block = stored(blocks(docs, training, id_col, text_col))
+        byte, kind = frequencies(block)
+        vocab = stored(vocabulary(block))
+        total = vocab.agg(F.sum("n").alias("n"), F.sum("types").alias("types")).first()
+        n_all, n_types = total["n"] or 0, total["types"] or 0
+        model = docs.sparkSession.sparkContext.broadcast(train(block, Code(byte), slots))  # tables of fixed size
     class_bits = -np.log2((kind + 1) / (kind.sum() + CLASSES))
     whole = float(n_all + n_types + 1)
 
@@ -232,7 +253,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
         base = np.log10((c + 1) / whole)
         ids, out = [], []
         for r in left.to_pylist():
-            t = _tally(*(r[k] for k in ("sizes", "classes", "at", "words", "kinds")))
+            t = _tally(*(r[k] for k in _TALLY))
             first = np.cumsum(t.sizes) - t.sizes
             bits = model.value.text_bits(t) + class_bits[t.classes]
             ids += r["ids"]
@@ -243,5 +264,5 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     told = vocab.select("totals", "places").mapInArrow(tell, "of long, n int, i binary, c binary")
     id_type = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
     out = f"doc_id {id_type}, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    payload = block.select("block", "ids", "sizes", "bytes", "classes", "at", "words", "kinds")
+    payload = block.select("block", "ids", "bytes", *_TALLY)
     return payload.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(add, out)

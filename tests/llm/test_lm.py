@@ -169,3 +169,51 @@ def test_counts_and_base(odd):
         assert r["score"] < 0 and r["bits_per_byte"] > 0
     assert lm.score(docs.limit(0), training, slots=SLOTS).count() == 0
     assert lm.score(docs, F.lit(False), slots=SLOTS).where("n_known > 0").count() == 0
+
+
+def some_texts(n, sizes):
+    r = random.Random(8)
+    word = lambda: bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice(sizes)))
+    return [[word() for _ in range(50)] + [b"the"] for _ in range(n)]
+
+
+def test_memory_of_a_block_does_not_follow_its_bytes(monkeypatch):
+    """Contexts are held for some bytes at once, so most of what a block takes is its tokens' numbers."""
+    import tracemalloc
+
+    monkeypatch.setattr(contextmix, "UNITS", 1 << 14, raising=False)
+    taught = contextmix.Tally()
+    for x in some_texts(400, [30, 40, 50]):
+        taught.add(x)
+    taught.close()
+    found = [contextmix.Learner(contextmix.Code(np.ones(256, np.int64)), (8,) * len(x)) for x in SLOTS]
+    tracemalloc.start()
+    contextmix.learn(found, taught, np.ones(400, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * sum(len(w) + 1 for w in taught.words)
+
+
+def test_parts_of_a_block_score_as_the_whole(monkeypatch):
+    t = contextmix.Tally()
+    for x in [*some_texts(20, [1, 2, 3, 9]), [b"x" * 5000, b"a"], [], [b"x" * 5000]]:
+        t.add(x)
+    t.close()
+    code = contextmix.Code(np.arange(256))
+    found = [contextmix.Learner(code, x) for x in SLOTS]
+    contextmix.learn(found, t, np.ones(len(t.sizes), bool))
+    model = contextmix.Model(code, SLOTS)
+    model.mixers = [x.mixer for x in found]
+    heads, tails = (u.add_up(m.bits(u)) for u, m in zip(contextmix.units(t), model.mixers, strict=True))
+    whole = np.add.reduceat(heads[t.which] + tails[t.at], np.cumsum(t.sizes) - t.sizes)
+    for most in (7, 1000, 1 << 20):
+        monkeypatch.setattr(contextmix, "UNITS", most)
+        assert model.text_bits(t) == pytest.approx(whole)
+        assert all(len(u.of) <= most for u in contextmix.some_tails(t, np.arange(len(t.kinds))))
+
+
+def test_the_limit_of_batches_is_put_back(spark, table):
+    _, docs = table
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    assert lm.score(docs, F.col("doc_id") % 7 != 2, slots=SLOTS).count() == 45 and spark.conf.get(name) == before
