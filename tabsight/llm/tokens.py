@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import ranges, stored
 
-#: Ids in a file, about. Pieces of text whose ids a worker remembers.
-IDS_PER_FILE, CACHE = 1 << 24, 400_000
+#: Ids in a file, about. Pieces of text whose ids a worker remembers, their characters on average, and of one at most.
+IDS_PER_FILE, CACHE, CHARS, LONGEST = 1 << 24, 1_000_000, 16, 256
 
 #: Number of bytes of each of the four ids of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.int32)
@@ -51,7 +51,8 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder(dict):
-    """{piece: its ids as bytes} by the tokenizers library; remembers some CACHE to 2 CACHE pieces.
+    """{piece: its ids as bytes} by the tokenizers library; remembers some CACHE to 2 CACHE pieces, fewer where they are
+    longer than CHARS characters, and none over LONGEST.
 
     A piece that is one word, or a word and a full stop or comma, goes to the library's model at once, as its
     pre-tokenizer would hand it over; any other piece goes through the whole tokenizer.
@@ -62,8 +63,11 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every piece is asked for once
         self.tokenize = self.tokenizer.model.tokenize
         self.older: dict[str, bytes] = {}
+        self.chars = 0
         #: Two or four bytes an id, as the vocabulary needs.
         self.code, self.width = ("H", "<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", "<u4")
         plain = json.loads(self.tokenizer.to_str())
@@ -83,14 +87,17 @@ class Encoder(dict):
                     found += self.marks[x[-1]]
             else:
                 found = array(self.code, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
-        self[x] = found
+        if len(x) <= LONGEST:
+            self[x] = found
+            self.chars += len(x)
         return found
 
     def ids(self, text: str, end: bytes) -> bytes:
         """All ids of a text and the ids in ``end``, as bytes of the encoder's width."""
-        if len(self) > CACHE:  # the pieces met since the last turn stay at hand
+        if len(self) > CACHE or self.chars > CHARS * CACHE:  # the pieces met since the last turn stay at hand
             self.older = dict(self)
             self.clear()
+            self.chars = 0
         return b"".join(map(self.__getitem__, pieces(text))) + end
 
 

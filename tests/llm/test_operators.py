@@ -424,3 +424,23 @@ def test_a_family_has_about_as_many_links_as_nodes(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found.count() < 5 * len(texts)
     assert common.components(found).groupBy("root").count().collect()[0]["count"] == len(texts)
+
+
+def test_what_an_encoder_remembers(monkeypatch):
+    import public_tokenizers
+
+    known = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked = []
+    known.tokenize = lambda x: asked.append(x) or []
+    word = lambda i: " " + "".join("abcdefghij"[int(c)] for c in str(i))
+    for _ in range(2):
+        for lo in range(0, 850_000, 50_000):
+            known.ids("".join(word(i) for i in range(lo, lo + 50_000)), b"")
+    assert len(asked) == len(set(asked))  # no piece of 850,000 is tokenized twice
+
+    monkeypatch.setattr(tokens, "CACHE", 100)
+    known = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["ab" * 100 + "cdefghij"[i % 8] * i for i in range(200)] + ["ab" * 20_000]
+    found = [known.ids(x, b"") for x in texts]
+    assert sum(map(len, known)) + sum(map(len, known.older)) <= 2 * (100 * 16 + 256)
+    assert found == [np.array(known.tokenizer.encode(x, add_special_tokens=False).ids, known.width).tobytes() for x in texts]
