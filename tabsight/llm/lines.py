@@ -31,6 +31,8 @@ FILTER = 25
 SKETCH = 20
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 2 << 20
+#: Bytes of texts that are split at once: what is worked out for them stays in a core's cache.
+_SPLIT = 1 << 19
 _FIRST = np.iinfo(np.int64).min
 #: The place of a row that is settled already.
 NONE = 0xFFFFFFFF
@@ -48,13 +50,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Splitter:
-    """Words of texts as 64-bit hashes, all at once."""
+    """Words of texts as 64-bit hashes, many texts at once."""
 
     def __init__(self) -> None:
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, text, line within its text) of each word."""
+        found, lo, size = [], 0, 0
+        for i, x in enumerate(texts):
+            size += len(x) + 1
+            if size >= _SPLIT or i == len(texts) - 1:
+                h, text, line = self.some(texts[lo : i + 1])
+                found.append((h, text + lo, line))
+                lo, size = i + 1, 0
+        return found[0] if len(found) == 1 else tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def some(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = _LOW[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         if len(self.power) <= len(raw):
             self.power, self.inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(raw) * 5 // 4 + 16, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
@@ -85,6 +97,9 @@ def _chunks(batch: pa.RecordBatch, column: int):
 
 #: What a prefix row carries beside its word.
 ROW = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u4"), ("size", "<u4"), ("place", "<u4"), ("tie", "<u4"), ("line", "<u4"), ("doc", "<i8")])
+#: The same with its word, as rows travel.
+WITH_WORD = np.dtype([("word", "<i4"), *ROW.descr])
+INDEX = "part int, asked boolean, rows binary"
 
 
 def _sets(h: np.ndarray, text: np.ndarray, line: np.ndarray, rare: np.ndarray):
@@ -152,11 +167,6 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(key.alias("doc"), (F.crc32(data) if repeated else F.lit(0)).cast("long").alias("tie"), data.alias("data"))
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    n, size = len(rows), rows.dtype.itemsize
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(rows.tobytes())])
-
-
 def _prefix_rows(doc: np.ndarray, tie: np.ndarray, line: np.ndarray, h: np.ndarray, of: np.ndarray, size: np.ndarray, taken) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word that each prefix row meets others by, the prefix rows, a row for each set) of sets (h, of); taken: which sets, by their rows."""
     num, den = THRESHOLD
@@ -173,12 +183,14 @@ def _prefix_rows(doc: np.ndarray, tie: np.ndarray, line: np.ndarray, h: np.ndarr
 
 
 def _index(rows: DataFrame, counts, min_words: int, keep=None) -> DataFrame:
-    """(word int, asked boolean, row binary): the prefix rows (ROW) of each set's first line in a chunk of a task; lines
-    that repeat an earlier one of the chunk are settled: one row each under any word, its place NONE.
+    """(INDEX): the prefix rows (ROW) of each set's first line in a chunk of a task, a chunk's rows for one of all parts
+    together; lines that repeat an earlier one of the chunk are settled: one row each under any word, its place NONE.
 
     keep: a filter of words (``_filter``); then only prefix rows under those, and none of settled lines.
     """
 
+    parts = _parts(rows)
+
     def run(batches):
         split, rare = Splitter(), counts.value
         for batch in batches:
@@ -204,19 +216,50 @@ def _index(rows: DataFrame, counts, min_words: int, keep=None) -> DataFrame:
                 else:
                     wanted = _in_filter(keep.value, word)
                     word, out = word[wanted], out[wanted]
-                for lo in range(0, len(out), 100_000):
-                    yield _index_batch(word[lo : lo + 100_000], out[lo : lo + 100_000], False)
+                for lo in range(0, len(out), 400_000):
+                    yield _index_batch(word[lo : lo + 400_000], out[lo : lo + 400_000], False, parts)
+
+    return rows.mapInArrow(run, INDEX)
+
+
+def _plain(full: np.ndarray) -> np.ndarray:
+    out = np.empty(len(full), ROW)
+    for name in ROW.names:
+        out[name] = full[name]
+    return out
+
+
+def _parts(rows: DataFrame) -> int:
+    """Tasks that index rows are dealt over by their words."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    return rows.mapInArrow(run, "word int, asked boolean, row binary")
 
+def _index_batch(word: np.ndarray, rows: np.ndarray, asked: bool, parts: int) -> pa.RecordBatch:
+    part = (word.view(np.uint32) * np.uint32(2654435761) >> np.uint32(4)) % np.uint32(parts)
+    order = np.argsort(part, kind="stable")
+    full = np.empty(len(rows), WITH_WORD)
+    full["word"] = word[order]
+    rows = rows[order]
+    for name in ROW.names:
+        full[name] = rows[name]
+    known, edge = np.unique(part[order], return_index=True)
+    edge = (np.append(edge, len(rows)) * WITH_WORD.itemsize).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(edge), pa.py_buffer(full.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(known.astype(np.int32)), pa.array(np.full(len(known), asked)), packed], ["part", "asked", "rows"])
 
-def _index_batch(word: np.ndarray, rows: np.ndarray, asked: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.full(len(word), asked)), _binary(rows)], ["word", "asked", "row"])
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (WITH_WORD) of a column of packed rows, and how many each holds."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return raw.view(WITH_WORD), np.diff(offsets) // WITH_WORD.itemsize
 
 
 def _asked(sets: DataFrame, counts) -> DataFrame:
     """Index rows, marked as asked, of lines given by their sets (doc, tie, line, words)."""
 
+    parts = _parts(sets)
+
     def run(batches):
         for batch in batches:
             doc, tie, line = (batch.column(i).to_numpy() for i in range(3))
@@ -226,9 +269,9 @@ def _asked(sets: DataFrame, counts) -> DataFrame:
             n = np.fromiter(map(len, words), np.int64, len(words))
             h, of, at, _ = _sets(np.concatenate(words), np.repeat(np.arange(len(words)), n), np.zeros(int(n.sum()), np.int64), counts.value)
             word, out, _ = _prefix_rows(doc[at], tie[at], line[at], h, of, np.bincount(of, minlength=len(at)), lambda row: np.ones(len(row), bool))
-            yield _index_batch(word, out, True)
+            yield _index_batch(word, out, True, parts)
 
-    return sets.mapInArrow(run, "word int, asked boolean, row binary")
+    return sets.mapInArrow(run, INDEX)
 
 
 def _at_bit(word: np.ndarray) -> np.ndarray:
@@ -247,7 +290,8 @@ def _filter(index: DataFrame) -> np.ndarray:
     def partial(batches):
         bits = np.zeros(1 << FILTER, bool)
         for batch in batches:
-            bits[_at_bit(batch.column(0).to_numpy())] = True
+            if batch.num_rows:
+                bits[_at_bit(_unpacked(batch.column(0))[0]["word"].copy())] = True
         bits = np.packbits(bits, bitorder="little")
         at = [i for i in range(0, len(bits), cut) if bits[i : i + cut].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([zlib.compress(bits[i : i + cut].tobytes(), 1) for i in at], pa.binary())], ["at", "piece"])
@@ -260,7 +304,7 @@ def _filter(index: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in found.values()], pa.binary())], ["at", "piece"])
 
     out = np.zeros((1 << FILTER) // 8, np.uint8)
-    for r in index.select("word").mapInArrow(partial, "at long, piece binary").repartition("at").mapInArrow(add, "at long, piece binary").collect():  # one filter
+    for r in index.select("rows").mapInArrow(partial, "at long, piece binary").repartition("at").mapInArrow(add, "at long, piece binary").collect():  # one filter
         out[r["at"] : r["at"] + cut] = np.frombuffer(zlib.decompress(r["piece"]), np.uint8)
     return out
 
@@ -278,12 +322,10 @@ def _pairs(index: DataFrame, most: int | None, first: bool = True) -> DataFrame:
         words, rows, marks = [], [], []
         for batch in batches:
             if batch.num_rows:
-                column = batch.column(2)
-                raw = np.frombuffer(column.buffers()[2], np.uint8)
-                offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-                rows.append(raw[offsets[0] : offsets[-1]].view(ROW).copy())
-                words.append(batch.column(0).to_numpy().copy())
-                marks.append(batch.column(1).to_numpy(zero_copy_only=False))
+                full, n = _unpacked(batch.column(2))
+                rows.append(_plain(full))
+                words.append(full["word"].copy())
+                marks.append(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n))
         if not rows:
             return
         word, row, mark = np.concatenate(words), np.concatenate(rows), np.concatenate(marks)
@@ -352,7 +394,7 @@ def _pairs(index: DataFrame, most: int | None, first: bool = True) -> DataFrame:
                 x, y, more = x[rank < most], y[rank < most], more[rank < most]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (row["doc"][x], row["tie"][x].astype(np.int64), row["line"][x].astype(np.int32), row["doc"][y], row["tie"][y].astype(np.int64), row["line"][y].astype(np.int32), more)], PAIR)
 
-    rows = index.repartition("word").mapInArrow(run, "doc long, tie long, line int, doc2 long, tie2 long, line2 int, more boolean")
+    rows = index.repartitionById(_parts(index), F.col("part")).mapInArrow(run, "doc long, tie long, line int, doc2 long, tie2 long, line2 int, more boolean")
     return rows.groupBy(*PAIR[:-1]).agg(F.max("more").alias("more"))
 
 

@@ -444,3 +444,21 @@ def test_what_an_encoder_remembers(monkeypatch):
     found = [known.ids(x, b"") for x in texts]
     assert sum(map(len, known)) + sum(map(len, known.older)) <= 2 * (100 * 16 + 256)
     assert found == [np.array(known.tokenizer.encode(x, add_special_tokens=False).ids, known.width).tobytes() for x in texts]
+
+
+def test_lines_travel_packed(spark):
+    r = random.Random(4)
+    text = "\n".join(" ".join(str(r.randint(0, 10**6)) for _ in range(8)) for _ in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, text[: len(text) // 2])], "doc_id long, text string").coalesce(1)
+    rows = lines._documents(docs, "doc_id", "text")
+    index = lines._index(rows, spark.sparkContext.broadcast(lines._rarity(rows)), 1)
+    assert index.count() <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # of some 7,500 prefix rows
+
+
+def test_texts_split_in_parts_are_the_same(monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choice("aB \n\t,") for _ in range(r.choice([0, 1, 5, 60]))).encode() for _ in range(300)]
+    whole = lines.Splitter()(texts)
+    for size in (1, 64, 1000):
+        monkeypatch.setattr(lines, "_SPLIT", size)
+        assert all((x == y).all() for x, y in zip(whole, lines.Splitter()(texts), strict=True))
